@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, url_filter
-from .common import table
+from . import decontaminate, packing, quality, sharding, token_count, token_output, url_filter
+from .common import scratch, table
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -19,6 +20,10 @@ URL_RULES = [
 ]
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines_removed n_words_removed base_failed kept"
     return quality.judge(table(spark, sf_dir, "documents")).select(columns.split())
@@ -31,6 +36,23 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-ids")
+    token_output.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end=1)
+    return token_output.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_count.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), scratch(spark, "token-counts"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -38,9 +60,13 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
+    "op6_packing": op6_packing,
+    "op8_token_output": op8_token_output,
     "op9_url_filters": op9_url_filters,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: White space and words as every operator here takes them.
