@@ -36,7 +36,7 @@ from .tokens import encoder
 MAGIC = b"PLTOKEN1"
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 65_536
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "<u4"), ("size", "<u4"), ("offset", "<u8"), ("ids", "<u8"), ("before", "<u8")])
-FOOTER = struct.Struct("<QQQQ8s")
+FOOTER = "<QQQQ8s"
 
 
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -102,7 +102,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int, files: int | Non
                     index.append((doc or 0, doc is None, len(frame), at, n, total))
                     out.write(frame)
                     at, total = at + len(frame), total + n
-            out.write(np.array(index, INDEX).tobytes() + FOOTER.pack(at, len(index), total, int(width[-1]), MAGIC))
+            out.write(np.array(index, INDEX).tobytes() + struct.pack(FOOTER, at, len(index), total, int(width[-1]), MAGIC))
         final = f"{root}/part-{part:06d}.ids"
         fs.move(temporary, final)
         yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(index)], "ids": [total]}, schema=pa.schema([("part", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
@@ -128,7 +128,7 @@ class IdFile:
     def __init__(self, fs: pyarrow.fs.FileSystem, path: str, dictionary: bytes) -> None:
         self.source = fs.open_input_file(path)
         size = self.source.size()
-        at, n, self.ids, width, magic = FOOTER.unpack(self.source.read_at(FOOTER.size, size - FOOTER.size))
+        at, n, self.ids, width, magic = struct.unpack(FOOTER, self.source.read_at(struct.calcsize(FOOTER), size - struct.calcsize(FOOTER)))
         head = self.source.read_at(len(MAGIC) + 32, 0)
         if magic != MAGIC or head[: len(MAGIC)] != MAGIC:
             raise ValueError(f"{path} is no token file")
