@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows a table may have, at most, for it to be sent to all executors; beyond it the same join is a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Spark's setting that shuffle files go as soon as their query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +31,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: what follows doesn't repeat the work, and it outlives executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the shuffles of the write aren't needed after it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, *tables: DataFrame) -> None:

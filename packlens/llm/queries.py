@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, sharding, token_count, token_output, url_filter
+from . import decontaminate, ngram_join, packing, quality, sharding, token_count, token_output, url_filter
 from .common import scratch, table
 
 URL_RULES = [
@@ -20,6 +20,11 @@ URL_RULES = [
 ]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.join_documents(table(spark, sf_dir, "documents"), ngram_join.Join(n=4, share=85))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +65,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
