@@ -66,11 +66,12 @@ def count_tokens(
         .parquet(cache)
         .where(F.col("tokenizer") == version)
         .groupBy(F.col("digest").alias("_t_digest"))
-        .agg(F.max("n_tokens").alias("n_tokens"))
+        .agg(F.max("n_tokens").alias("_t_n"))
     )
     return (
         docs.withColumns({"n_bytes": F.octet_length(whole_text()).cast("long"), "_t_digest": digest})
         .join(counts, "_t_digest", "left")
-        .drop("_t_digest")
+        .withColumn("n_tokens", F.col("_t_n"))
+        .drop("_t_digest", "_t_n")
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )
