@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, quality, sharding, suffix_dedup, token_count, token_output, url_filter
+from . import decontaminate, html_extract, ngram_join, packing, quality, sharding, suffix_dedup, token_count, token_output, url_filter
 from .common import scratch, table
 
 URL_RULES = [
@@ -51,6 +51,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-ids")
     token_output.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end=1)
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
+    "op7_html_extract": op7_html_extract,
     "op8_token_output": op8_token_output,
     "op9_url_filters": op9_url_filters,
     "op10_token_counts": op10_token_counts,
