@@ -17,14 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash, whole_text
 from .sharding import _quantiles, _range_of, _sample
 from .tokens import encoder
 
-DIMENSIONS, AXES, BITS = 4096, 3, 10
+DIMENSIONS, AXES, BITS = 1024, 3, 10
 
 
 def directions() -> np.ndarray:
@@ -65,7 +65,7 @@ def curve_keys(documents: list[np.ndarray], axes: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     vectors = np.empty((len(documents), DIMENSIONS))
     for row, ids in zip(vectors, documents, strict=True):
-        row[:] = np.bincount((ids.astype(np.uint32) * np.uint32(2_654_435_761)) >> np.uint32(20), minlength=DIMENSIONS)
+        row[:] = np.bincount((ids.astype(np.uint32) * np.uint32(2_654_435_761)) >> np.uint32(22), minlength=DIMENSIONS)
     np.sqrt(vectors, out=vectors)
     placed = (vectors @ axes) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     share = np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in placed.ravel()]).reshape(placed.shape)
@@ -80,7 +80,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, width: str = "<u2") ->
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                arrays = [np.append(np.frombuffer(code.encode(t), "<u4"), np.uint32(end)) for t in batch.column("text").to_pylist()]
+                made = code.batches(batch.column("text").to_pylist())
+                arrays = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)) for x in made]
                 packed = [a.astype(width).tobytes() for a in arrays]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -103,26 +104,26 @@ def pack(
     docs: DataFrame, tokenizer: str, end: int, length: int = 1024, ranges: int = 192, per_range: int = 24, width: str = "<u2"
 ) -> DataFrame:
     """The pieces: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
     rows = stash(tokenized(docs, tokenizer, end, width), "ids")
     splitters = _quantiles(_sample(rows, ranges * per_range), ranges)
     ranged = rows.withColumn("_s_range", _range_of(splitters))
     sums = {r["_s_range"]: r["b"] for r in ranged.groupBy("_s_range").agg(F.sum("size").alias("b")).collect()}
     bases, total = [], 0
     for r in range(len(splitters) + 1):
-        bases.append((r, total))
+        bases.append(total)
         total += sums.get(r, 0)
-    base = F.broadcast(spark.createDataFrame(bases, "_s_range int, base bigint"))
-    order = Window.partitionBy("_s_range").orderBy("_s_key", "_s_id", "crc")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = ranged.withColumn("before", before).join(base, "_s_range").select("doc_id", "ids", (F.col("base") + F.col("before")).alias("at"))
+    # a range is whole in one partition, in order
+    placed = ranged.repartition("_s_range").sortWithinPartitions("_s_range", "_s_key", "_s_id", "crc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        at, last = 0, None
         for whole in batches:
             out: list[tuple] = []
-            for doc, packed, at in zip(*(whole.column(c).to_pylist() for c in ("doc_id", "ids", "at")), strict=True):
+            for doc, packed, part in zip(*(whole.column(c).to_pylist() for c in ("doc_id", "ids", "_s_range")), strict=True):
+                if part != last:
+                    at, last = bases[part], part
                 ids = np.frombuffer(packed, width)
                 start = 0
                 while start < len(ids):
@@ -130,13 +131,14 @@ def pack(
                     stop = min(len(ids), start + length - offset)
                     out.append((doc, start, stop - start, ids[start:stop].astype("<u4").tobytes(), len(ids), sequence, offset))
                     start = stop
+                at += len(ids)
                 if len(out) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return placed.mapInArrow(cut, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return placed.select("doc_id", "ids", "_s_range").mapInArrow(cut, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def sequences(pieces: DataFrame, length: int = 1024, pad: int = 0) -> DataFrame:

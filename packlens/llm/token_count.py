@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import stash, whole_text
 from .tokens import encoder, file_digest
 
 CACHE = "digest binary, tokenizer string, n_tokens bigint"
@@ -35,7 +35,7 @@ def _counter(tokenizer: str, version: str) -> Callable[[Iterator[pa.RecordBatch]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
         for batch in batches:
-            counts = [code.count(t) for t in batch.column("_t_text").to_pylist()]
+            counts = [len(ids) // 4 for ids in code.batches(batch.column("_t_text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_t_digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())],
                 ["digest", "tokenizer", "n_tokens"],
@@ -61,12 +61,13 @@ def count_tokens(
         misses = misses.join(stored, F.col("_t_digest") == F.col("digest"), "left_anti")
     distinct = misses.groupBy("_t_digest").agg(F.first("_t_text").alias("_t_text"))
     distinct.mapInArrow(_counter(tokenizer, version), CACHE).write.mode("append").parquet(cache)
-    counts = (
+    counts = stash(
         spark.read.schema(CACHE)
         .parquet(cache)
         .where(F.col("tokenizer") == version)
         .groupBy(F.col("digest").alias("_t_digest"))
-        .agg(F.max("n_tokens").alias("_t_n"))
+        .agg(F.max("n_tokens").alias("_t_n")),
+        "counts",
     )
     return (
         docs.withColumns({"n_bytes": F.octet_length(whole_text()).cast("long"), "_t_digest": digest})

@@ -63,7 +63,7 @@ def train(docs: DataFrame, tokenizer: str, end: int, width: str) -> bytes:
         code = encoder(tokenizer)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_packed(code.encode(t), end, width) for t in batch.column("text").to_pylist()], pa.binary())], ["ids"]
+                [pa.array([_packed(x, end, width) for x in code.batches(batch.column("text").to_pylist())], pa.binary())], ["ids"]
             )
 
     samples = sorted(bytes(r[0]) for r in sample.mapInArrow(ids, "ids binary").collect())
@@ -95,8 +95,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int, files: int | Non
         with fs.open_output_stream(temporary) as out:
             out.write(MAGIC + hashed)
             for batch in batches:
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = _packed(code.encode(text), end, width)
+                made = code.batches(batch.column("text").to_pylist())
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), made, strict=True):
+                    ids = _packed(ids, end, width)
                     frame = press.compress(ids)
                     n = len(ids) // int(width[-1])
                     index.append((doc or 0, doc is None, len(frame), at, n, total))

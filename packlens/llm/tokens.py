@@ -1,10 +1,10 @@
 """Token ids exactly as the ``tokenizers`` library gives them, with each distinct piece encoded once.
 
 A byte-pair tokenizer first splits a text into pieces (words, digits, punctuation runs) and then encodes each piece on
-its own. Pieces repeat far more often than texts do, so ``PieceEncoder`` splits a text itself, asks the library only
-for pieces it has not met, and joins the remembered ids. It does so only for texts made of characters whose class,
-case and composition are the same in every Unicode version (see ``_PLAIN``) and without strings of special tokens;
-all other texts go through the library whole. Either way the ids are the library's.
+its own. ``PieceEncoder`` splits a text itself, asks the library only for pieces it has not met, and joins the
+remembered ids. It does so only for texts made of characters whose class, case and composition are the same in every
+Unicode version (see ``_PLAIN``) and without strings of special tokens; all other texts go through the library whole.
+Either way the ids are the library's.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
+from tokenizers import Tokenizer, normalizers
 
 #: Characters whose letter, number and space classes and lower case don't depend on the Unicode version.
 _PLAIN = r"\t\n\r -~¡-¬®-įĲ-ž‐-―‘-„•…€"
@@ -40,11 +42,7 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, normalizers
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path, self._library = path, None
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         with open(path, encoding="utf-8") as file:
@@ -54,12 +52,17 @@ class PieceEncoder:
         self.kind = {frozenset({"ByteLevel", None}): "byte", frozenset({"Sequence"}): "word"}.get(frozenset(kinds))
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
-        if self.kind == "byte":
-            self.gap, self.mark = "\n", self.bare.token_to_id("Ċ")  # the byte-level name of a line feed
-        elif self.kind == "word":
-            self.gap, vocabulary = " ", self.bare.get_vocab()
-            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        # what sets pieces apart when many are encoded at once: a tab, or a bar between spaces
+        self.gap, name = ("\t", "ĉ") if self.kind == "byte" else (" | ", "|</w>")
+        self.mark = self.bare.token_to_id(name)
+
+    @property
+    def library(self) -> Tokenizer:
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
 
     def _plain(self, text: str) -> bool:
         return self.kind is not None and not _ODD.search(text) and not any(s in text for s in self.special)
@@ -72,42 +75,40 @@ class PieceEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Has the library encode new pieces, set apart in one text where they can be told apart again."""
-        if len(self.known) + len(pieces) > MAX_PIECES:
-            self.known.clear()
-        new = [x for x in pieces if not x.isspace()]
+        sign = self.gap.strip(" ")
+        new = [x for x in pieces if x and not x.isspace() and sign not in x]
         ids = np.asarray(self.bare.encode_batch_fast([self.gap.join(new)], add_special_tokens=False)[0].ids, "<u4")
-        if self.kind == "byte":
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            starts = np.append(0, ends[:-1] + 1)
-        else:
-            ends = np.flatnonzero(self.last[ids]) + 1
-            starts = np.append(0, ends[:-1])
-        if len(ends) != len(new):
-            starts = ends = ()
-        packed = ids.tobytes()
-        for piece, start, end in zip(new, 4 * np.asarray(starts, int), 4 * np.asarray(ends, int), strict=False):
-            self.known[piece] = packed[start:end]
+        ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+        if len(ends) == len(new):
+            packed = ids.tobytes()
+            for piece, start, end in zip(new, 4 * np.append(0, ends[:-1] + 1), 4 * ends, strict=True):
+                self.known[piece] = packed[start:end]
         for piece in pieces.difference(self.known):
             self.known[piece] = np.asarray(self.bare.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The packed ids of each text."""
+        split = [self._pieces(t) if t and self._plain(t) else None for t in texts]
+        new = set().union(*(x for x in split if x)).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > MAX_PIECES:
+                self.known.clear()
+                new = set().union(*(x for x in split if x))
+            self._learn(new)
+        get = self.known.__getitem__
+        return [
+            b"".join(map(get, pieces)) if pieces is not None else self._whole(text) if text else b""
+            for pieces, text in zip(split, texts, strict=True)
+        ]
+
     def encode(self, text: str | None) -> bytes:
         """The ids of one text, packed."""
-        if not text:
-            return b""
-        if not self._plain(text):
-            return self._whole(text)
-        pieces = self._pieces(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            distinct = set(pieces)
-            self._learn(distinct.difference(self.known))
-            if not distinct <= self.known.keys():  # forgotten meanwhile
-                self._learn(distinct.difference(self.known))
-            return b"".join(map(self.known.__getitem__, pieces))
-
-    def count(self, text: str | None) -> int:
-        return len(self.encode(text)) // 4
+        return self.encode_many([text])[0]
+
+    def batches(self, texts: list[str | None], size: int = 128) -> Iterator[bytes]:
+        """The packed ids of each text in turn, some texts at a time."""
+        for at in range(0, len(texts), size):
+            yield from self.encode_many(texts[at : at + size])
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
