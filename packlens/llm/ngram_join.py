@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stash, whole_text
+from .common import drop, small, stash, whole_text
 
 #: Counters of the sketch, in chunks; its size is fixed, whatever the input.
 SKETCH_BITS, CHUNK_BITS = 20, 16
@@ -174,20 +174,29 @@ def postings(docs: DataFrame, join: Join, classes: np.ndarray) -> DataFrame:
     return docs.select(whole_text().alias("text")).mapInArrow(run, "token bigint, id bigint, size int, pos int")
 
 
-def sets_of(docs: DataFrame, join: Join) -> DataFrame:
-    """(id, set): the shingle hashes of every text, packed."""
+def sets_of(docs: DataFrame, join: Join, texts: DataFrame) -> DataFrame:
+    """(id, set): the shingle hashes, packed, of one text of each wanted set; ``texts`` has their hashes (th)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for whole in batches:
             for at in range(0, len(whole), 512):
-                found = {set_id(s): s.tobytes() for s in (shingles(t, join.n) for t in whole.column("text").slice(at, 512).to_pylist())}
+                sets = (shingles(t, join.n) for t in whole.column("text").slice(at, 512).to_pylist())
+                found = {i: s.tobytes() for s in sets if (i := set_id(s)) not in done}
+                done = set(found) | (done if len(done) < 100_000 else set())  # copies nearby
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "set"])
 
-    return docs.select(whole_text().alias("text")).mapInArrow(run, "id bigint, set binary")
+    text = whole_text()
+    wanted = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(small(texts), "th", "left_semi")
+    return stash(wanted.select("text").mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"]), "packed")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) that link."""
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) that link. Only sets that stand in a pair are read from the texts, each once."""
+    pairs = stash(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = rows.where("n > 0").groupBy("id").agg(F.min("th").alias("th")).join(ids, "id", "left_semi").select("th")
+    sets = sets_of(docs, join, stash(texts, "texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +214,9 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
     right = pairs.join(sets.withColumnsRenamed({"id": "b", "set": "set_b"}), "b")
     both = right.join(sets.withColumnsRenamed({"id": "a", "set": "set_a"}), "a")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    out = stash(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint"), "links")
+    drop(docs.sparkSession, sets, pairs)
+    return out
 
 
 def _forest(links: DataFrame) -> DataFrame:
@@ -268,11 +279,10 @@ def classes_and_groups(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFram
     classes = rarity(found.where("chunk is not null").select("chunk", "counts"))
     # one more band is 1 / t times the size: sets that link are in the same band or neighbours
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(join.per / join.share))).cast("int")
-    posted = postings(docs, join, classes)
+    posted = stash(postings(docs, join, classes), "postings")
     lists = posted.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     index = stash(posted.join(lists.select("token"), "token").distinct().withColumn("band", band), "index")
-    ids = index.select("id").distinct()
-    sets = stash(sets_of(docs, join).join(small(stash(ids, "ids")), "id", "left_semi").dropDuplicates(["id"]), "packed")
+    drop(docs.sparkSession, posted)
 
     leaders = index.groupBy("token", "band").agg(F.min(F.struct("id", "size", "pos")).alias("y"))
     first = (
@@ -282,7 +292,7 @@ def classes_and_groups(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFram
         .select(F.col("x.id").alias("b"), F.col("y.id").alias("a"))
         .distinct()
     )
-    links = stash(verified(first, sets, join), "links")
+    links = verified(first, docs, rows, join)
     group = groups(links)
 
     known = index.join(group, "id", "left").withColumn("group", F.coalesce("group", "id"))
@@ -300,7 +310,7 @@ def classes_and_groups(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFram
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
     )
-    more = stash(verified(second, sets, join), "links")
+    more = verified(second, docs, rows, join)
     return rows, groups(links.unionByName(more)) if not more.isEmpty() else group
 
 
