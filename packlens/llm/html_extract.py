@@ -397,7 +397,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """Adds text and n_chars; html itself is dropped."""
     shared = pages.sparkSession.sparkContext.broadcast((model or train(pages)).weights)
     keep = [f for f in pages.schema.fields if f.name not in ("html", "text", "n_chars")]
-    schema = StructType(keep).add("text", "string").add("n_chars", "long")
+    schema = StructType([*keep]).add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Labeller.__new__(Labeller)

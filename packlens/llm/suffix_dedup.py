@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BROADCAST_ROWS, stash, whole_text
+from .common import BROADCAST_ROWS, drop, stash, whole_text
 
 #: Contexts of one entry that one task compares at most.
 LIST = 2048
@@ -198,7 +198,9 @@ class Family:
         at = 0
         while at < len(self.levels) and (level := self.levels[at]) is not None:
             merged = level.unionByName(array).groupBy("h", "c").agg(F.sum("k").alias("k"))
+            old = array
             array = stash(merged.repartition("h").sortWithinPartitions("h", "c"), "array")
+            drop(array.sparkSession, old, level)
             self.levels[at] = None
             at += 1
         self.levels += [None] * (at + 1 - len(self.levels))
@@ -206,13 +208,20 @@ class Family:
 
     def repeated(self) -> DataFrame:
         """(h, c, k) of the entries whose h was found twice."""
-        known = [x for x in self.levels if x is not None]
-        arrays, found = known[0], self.found[0]
-        for x in known[1:]:
-            arrays = arrays.unionByName(x)
+        found = self.found[0]
         for x in self.found[1:]:
             found = found.unionByName(x)
-        return arrays.join(found.distinct(), "h", "left_semi").groupBy("h", "c").agg(F.sum("k").alias("k"))
+        arrays, *others = [x for x in self.levels if x is not None]
+        for x in others:
+            arrays = arrays.unionByName(x)
+        out = arrays.join(stash(found.distinct(), "found"), "h", "left_semi")
+        return out.groupBy("h", "c").agg(F.sum("k").alias("k")) if others else out
+
+    def drop(self) -> None:
+        """Deletes the family's tables."""
+        for x in [*self.levels, *self.found]:
+            if x is not None:
+                drop(x.sparkSession, x)
 
 
 def _strings(contexts: list[bytes], r: Repeats) -> np.ndarray:
@@ -329,13 +338,26 @@ def _from_long_lists(contexts: DataFrame, r: Repeats) -> DataFrame:
     return settled.groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
 
-def _per_text(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row for each (th, n) with the array ``at`` of its structs; broadcast only if counted within the bound."""
-    grouped = stash(rows.groupBy("th", "n").agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("at")), "texts")
+def _per_text(rows: DataFrame, *columns: str, merge: bool = False) -> DataFrame:
+    """One row for each (th, n) with the array ``at`` of its structs, merged into runs if they are intervals.
+
+    Broadcast only if its rows and elements are counted within the bound.
+    """
+    grouped = rows.groupBy("th", "n").agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("at"))
+    if merge:
+        grouped = grouped.mapInArrow(_merged, grouped.schema)
+    grouped = stash(grouped, "texts")
     total = grouped.agg(F.count("*"), F.sum(F.size("at"))).first()
     return F.broadcast(grouped) if total[0] <= BROADCAST_ROWS and (total[1] or 0) <= 4 * BROADCAST_ROWS else grouped
 
 
+def _merged(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in source:
+        runs = [[{"lo": a, "hi": b} for a, b in _runs(at)] for at in batch.column("at").to_pylist()]
+        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column("th"), batch.column("n"), pa.array(runs, kind)], ["th", "n", "at"])
+
+
 def _with_texts(docs: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
     """``docs`` (columns prefixed ``_d``) joined to the arrays of their texts."""
     text = whole_text()
@@ -371,23 +393,28 @@ def _contexts(docs: DataFrame, wanted: DataFrame, r: Repeats) -> DataFrame:
 
 
 def spans(docs: DataFrame, r: Repeats = Repeats(), batches: int = 4) -> DataFrame:
-    """(th, n, at): for each text, by hash and size, the byte intervals (lo, hi) to remove; they may overlap."""
+    """(th, n, at): for each text, by hash and size, the byte intervals (lo, hi) to remove."""
     index = stash(index_entries(docs, r, batches), "entries")
     family = Family()
     for batch in range(batches):
         family.add(as_array(index.where(F.col("batch") == batch)))
     folded = stash(family.repeated(), "folded")
-    lists = folded.groupBy("h").agg(F.count("*").alias("contexts"))
+    family.drop()
+    lists = folded.groupBy("h").agg(F.count("*").alias("contexts"), F.min("k").alias("least"))
     hits = index.join(folded, ["h", "c"])
     left, right = F.least(F.col("pos"), F.lit(r.reach)), F.least(F.col("n") - F.col("pos"), F.lit(r.length))
     hits = stash(hits.where(left + right >= r.length).select("h", "c", "th", "n", "pos", "k"), "hits")
+    lists = stash(lists, "lists")
 
-    several = lists.where("contexts > 1").select("h", F.ceil(F.col("contexts") / LIST).cast("long").alias("parts"))
+    drop(docs.sparkSession, index, folded)
+    # lists in which every context repeats whole are settled
+    several = lists.where("contexts > 1 and least = 1").select("h", F.ceil(F.col("contexts") / LIST).cast("long").alias("parts"))
     wanted = hits.groupBy("h", "c").agg(F.min(F.struct("th", "n", "pos")).alias("x")).join(several, "h")
     contexts = stash(_contexts(docs, wanted.select("h", "c", "parts", "x.*"), r), "contexts")
     short = _from_lists(contexts.where("parts = 1").drop("parts"), r)
     long = _from_long_lists(contexts.where("parts > 1"), r)
     settled = stash(short.unionByName(long).distinct(), "settled")
+    drop(docs.sparkSession, contexts)
 
     whole = hits.where("k > 1").select("th", "n", (F.col("pos") - left).alias("lo"), (F.col("pos") + right).alias("hi"))
     parts = (
@@ -395,7 +422,7 @@ def spans(docs: DataFrame, r: Repeats = Repeats(), batches: int = 4) -> DataFram
         .join(settled, ["h", "c"])
         .select("th", "n", (F.col("pos") - left + F.col("first")).alias("lo"), (F.col("pos") - left + F.col("last") + r.length).alias("hi"))
     )
-    return _per_text(whole.unionByName(parts).distinct(), "lo", "hi")
+    return _per_text(whole.unionByName(parts).distinct(), "lo", "hi", merge=True)
 
 
 def _runs(at: list[dict] | None) -> list[tuple[int, int]]:
