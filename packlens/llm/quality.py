@@ -62,15 +62,21 @@ def with_statistics(docs: DataFrame, window: int = 8) -> DataFrame:
     covered = F.transform(
         "_q_starts", lambda i, k: F.least(F.lit(window), F.coalesce(F.get("_q_starts", k + 1) - i, F.lit(window)))
     )
-    n_repeat = F.aggregate(covered, F.lit(0), lambda s, x: s + x)
-    return df.withColumns(
-        {
-            "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
-            "n_repeat_words": F.coalesce(n_repeat, F.lit(0)).cast("long"),
-        }
-    ).withColumn(
+    n_repeat = F.coalesce(F.aggregate(covered, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long")
+    made = {
+        "n_words": F.col("n_words"),
+        "word_chars": F.col("word_chars"),
+        "n_symbols": F.col("n_symbols"),
+        "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
+        "n_repeat_words": n_repeat,
+    }
+    # a generator of one row: a later filter on the statistics stays above it, so nothing is computed anew for each element
+    row = F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items()))))
+    kept = [F.col(c) for c in docs.columns if c not in made]
+    df = df.select(*kept, row.alias("_q_made")).select(*kept, "_q_made.*")
+    return df.withColumn(
         "base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    ).drop("_q_words", "_q_lines", "_q_hashes", "_q_order", "_q_starts")
+    )
 
 
 def normal_line(line: Column) -> Column:
