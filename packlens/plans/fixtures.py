@@ -111,3 +111,9 @@ def plain(sql: str) -> str:
     for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
     return sql
+
+
+CROPS = """select p_partkey as package_id, o as ord, 'c' || cast(o as string) as label, cast((p_partkey * 37 + o * 61) % 500 as int) as x,
+  cast((p_partkey * 53 + o * 29 * (p_partkey % 3)) % 400 as int) as y, cast(300 + (p_partkey * o) % 200 as int) as w,
+  cast(60 + (p_partkey + o * 7) % 50 as int) as h, cast((p_partkey * 31 + o * 17) % 100 as double) / 100 as score
+from {part} cross join (select 1 as o union all select 2 union all select 3 union all select 4 union all select 5) five"""

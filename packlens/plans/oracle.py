@@ -362,6 +362,16 @@ select package_id, text as best_text, attempts from o where n = 1"""
 select hint.package_id, not coalesce(m.currency = 'INR' and m.amount <> '', false) as needs_recovery,
   case when coalesce(m.currency = 'INR' and m.amount <> '', false) and hint.tax_inclusive_phrase and coalesce(m.tax_inclusive_phrase, '') <> 'true'
     then round(least(0.96, greatest(m.confidence, 0.90)), 6) end as enriched_confidence from hint left join m on m.package_id = hint.package_id"""
+    SQL["crop_select"] = f"""with c as ({fixtures.plain(fixtures.CROPS)}), o as (select *, row_number() over (partition by package_id order by score desc, ord) as n,
+  lead(score) over (partition by package_id order by score desc, ord) as nxt from c), s as (select package_id, case when score >= greatest(0.30, 1.30 * nxt) then 1 else 2 end as k from o where n = 1)
+select package_id, string_agg(label, ',' order by n) as chosen from o join s using (package_id) where n <= k group by package_id"""
+    SQL["remap_polygon"] = f"""with {REGIONS} select package_id, id, round(least(1, greatest(0, 0.25 + x * 0.9)), 6) as x0, round(least(1, greatest(0, 0.5 + y * 0.7)), 6) as y0,
+  round(least(1, greatest(0, 0.25 + (x + w) * 0.9)), 6) as x1, round(least(1, greatest(0, 0.5 + (y + h) * 0.7)), 6) as y1 from region where region_ord in (2, 5, 9)"""
+    SQL["payload_regions"] = f"""with {REGIONS}, b as (select *, least(1, greatest(0, (x * 1000 - 300) / 1000)) as a, least(1, greatest(0, (x + w) * 1000 / 1000)) as c,
+  least(1, greatest(0, y * 600 / 600)) as d, least(1, greatest(0, (y + h) * 900 / 600)) as e,
+  row_number() over (partition by package_id order by region_ord) as row_number from region)
+select package_id, 'r' || row_number as region_id, {strip('text')} as text, round(case when region_ord = 3 then 0 when region_ord = 5 then 1 else confidence end, 6) as confidence,
+  round(least(a, c), 6) as x, round(least(d, e), 6) as y, round(abs(c - a), 6) as w, round(abs(e - d), 6) as h from b where regexp_matches(text, '\\S')"""
 
 
 _fill()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..operators import fusion, recovery, rules, spatial
+from ..operators import fusion, recovery, rules, spatial, vision
 from ..sources import ingest, report
 from . import fixtures
 
@@ -261,6 +263,100 @@ def recovery_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.derive(spark, sf_dir, fixtures.CROPS)
+    return rows.groupBy("package_id").agg(F.collect_list(F.struct("ord", "label", "x", "y", "w", "h", "score")).alias("crops"))
+
+
+def crop_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = recovery.suppress(F.col("crops"))
+    return _crops(spark, sf_dir).select("package_id", F.array_join(F.transform(kept, lambda c: c["label"]), ",").alias("kept"))
+
+
+def crop_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a package's crops, by score, the first or the first two."""
+    ordered = F.array_sort("crops", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["ord"] - b["ord"]))
+    rows = _crops(spark, sf_dir).withColumn("ordered", ordered)
+    chosen = recovery.select_crops(F.col("ordered"))
+    return rows.select("package_id", F.array_join(F.transform(chosen, lambda c: c["label"]), ",").alias("chosen"))
+
+
+def attention_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over a line as wide as a package's price in paise, hundredths dropped, lets it be."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    wide = part.select(F.col("p_partkey").alias("package_id"), (100 + F.col("p_partkey") * 13 % 3000).cast("int").alias("line_width"))
+    return wide.select("package_id", "line_width", F.posexplode(vision.windows(F.col("line_width"))).alias("n", "t")).select(
+        "package_id", "line_width", F.col("n").cast("long").alias("n"), F.col("t.start").cast("long").alias("start"), F.col("t.w").cast("long").alias("w")
+    )
+
+
+def remap_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of a package's value boxes in a close-up, as places in the image."""
+    rows = fixtures.derive(spark, sf_dir, fixtures.REGIONS).where("region_ord in (2, 5, 9)")
+    corner = F.array(F.struct("x", "y"), F.struct((F.col("x") + F.col("w")).alias("x"), (F.col("y") + F.col("h")).alias("y")))
+    source = F.struct(F.lit(0.25).alias("x"), F.lit(0.5).alias("y"), F.lit(0.9).alias("w"), F.lit(0.7).alias("h"))
+    rows = rows.select("package_id", "id", ingest.remapped(corner, source).alias("p"))
+    rounded = lambda c, n: F.round(c, 6).alias(n)
+    return rows.select("package_id", "id", rounded(F.col("p")[0]["x"], "x0"), rounded(F.col("p")[0]["y"], "y0"), rounded(F.col("p")[1]["x"], "x1"), rounded(F.col("p")[1]["y"], "y1"))
+
+
+def payload_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's regions as a recognition payload: blank texts, missing and wild scores, points outside the image."""
+    rows = fixtures.derive(spark, sf_dir, fixtures.REGIONS)
+    score = F.when(F.col("region_ord") == 3, None).when(F.col("region_ord") == 5, F.col("confidence") + 1).otherwise(F.col("confidence"))
+    item = F.struct(
+        "region_ord", "text", score.alias("score"),
+        F.array(F.array(F.col("x") * 1000 - 300, F.col("y") * 600), F.array((F.col("x") + F.col("w")) * 1000, (F.col("y") + F.col("h")) * 900)).alias("poly"),
+    )
+    payload = rows.groupBy("package_id").agg(F.array_sort(F.collect_list(item)).alias("i"))
+    payload = payload.select(
+        "package_id", F.lit("image-1").alias("image_id"), F.lit(1000).alias("width"), F.lit(600).alias("height"),
+        F.transform("i", lambda x: x["text"]).alias("rec_texts"), F.transform("i", lambda x: x["score"]).alias("rec_scores"),
+        F.transform("i", lambda x: x["poly"]).alias("rec_polys"),
+    )
+    made = ingest.payload_regions(payload).withColumn("box", ingest.hull(F.col("polygon")))
+    return made.select(
+        "package_id", "region_id", "text", F.round("confidence", 6).alias("confidence"),
+        *(F.round(f"box.{n}", 6).alias(n) for n in "xywh"),
+    )
+
+
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = facts(spark, sf_dir)
+    return report.documents(rules.judged(known), rules.summary(known))
+
+
+def _raster(key: int, size: int) -> bytes:
+    """A label of 320 x 180 pixels: light ground, a dark band with print on it whose height and place follow the key."""
+    r = np.random.default_rng(key)
+    gray = r.integers(170, 240, (180, 320)).astype(np.uint8)
+    if key % 7:
+        y, h = 40 + key % 60, 8 + size % 24
+        gray[y : y + h, 10 : 200 + key % 110] = r.integers(20, 70, (h, 190 + key % 110))
+        gray[y + h // 2, 30 : 150 : 3] = 150
+    return gray.tobytes()
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of each package's seal, drawn from the columns of its part."""
+
+    @F.pandas_udf("binary")
+    def draw(key: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([_raster(int(k), int(s)) for k, s in zip(key, size, strict=True)])
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("package_id"), F.lit(320).alias("width"), F.lit(180).alias("height"), draw("p_partkey", "p_size").alias("gray"))
+
+
+def seal_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vision.crops(_rasters(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+def variant_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vision.variants(_rasters(spark, sf_dir))
+    return made.select("package_id", "name", "family", "x", "y", "w", "h", F.length("png").cast("long").alias("png_bytes"))
+
+
 QUERIES: dict[str, Query] = {
     **{f"x_{key}": _extractor(key) for key in extract.EXTRACTORS},
     "spatial_net_quantity": _spatial("net_quantity", "amount", "unit"),
@@ -272,7 +368,8 @@ QUERIES: dict[str, Query] = {
             norm_text, address_flag, emails_in_documents, combined_text, size_limits, fuse_declarations, fuse_conflicts,
             fuse_consumer_care, merge_supplemental, rule_applicability, unit_basis, checks, usp_arithmetic, summary, score_tone,
             rule_profile, evidence_regions, finding_regions, parse_price, vote_price, consensus_price, staged_price,
-            best_readings, reference_hints, direct_hints, unresolved_reference, recovery_plan,
+            best_readings, reference_hints, direct_hints, unresolved_reference, recovery_plan, crop_nms, crop_select,
+            attention_tiles, remap_polygon, payload_regions, report_json, seal_crops, variant_plan,
         )
     },
 }
