@@ -10,6 +10,7 @@ Skipping, after the work on set relations in similarity joins:
   is skipped when their positions leave too few shingles for the overlap that is needed;
 * the sets of a block are first verified against its leader alone. A set that links with the leader takes over its
   answer (the group); index lists whose sets all have one answer by then are skipped whole;
+* a pair is looked at in full only if the shingles shared by both prefixes leave a link possible;
 * in the other lists only sets outside the list's largest group are looked up, and only against sets of other groups.
 
 So groups of near copies cost work in proportion to their size, no pair within a found group is looked at, and no link that
@@ -272,6 +273,21 @@ def _fit(join: Join) -> str:
     return f"{sizes} and least(x.size - x.pos, y.size - y.pos) >= {needed}"
 
 
+def promising(pairs: DataFrame, index: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose shared prefix shingles are enough for a link.
+
+    Of the two prefixes one ends first in the common order; a shingle of it that is in the other set is in the other
+    prefix. So the overlap is at most the shared prefix shingles and what follows that prefix.
+    """
+    lists = index.select("id", "token", "size")
+    first = pairs.select("a", "b").join(lists.withColumnsRenamed({"id": "a", "size": "na"}), "a")
+    both = first.join(lists.withColumnsRenamed({"id": "b", "size": "nb"}), ["b", "token"])
+    rest = lambda n: F.ceil(join.share * F.col(n).cast("long") / join.per) - 1
+    needed = F.ceil(join.share * (F.col("na") + F.col("nb")).cast("long") / (join.per + join.share))
+    shared = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") + F.greatest(rest("na"), rest("nb")) >= needed).select("a", "b")
+
+
 def classes_and_groups(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, th, id, n) of all documents, and (id, group) of the sets that link (but those that name a group)."""
     found = stash(scan(docs, join), "sets")
@@ -292,7 +308,7 @@ def classes_and_groups(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFram
         .select(F.col("x.id").alias("b"), F.col("y.id").alias("a"))
         .distinct()
     )
-    links = verified(first, docs, rows, join)
+    links = verified(promising(first, index, join), docs, rows, join)
     group = groups(links)
 
     known = index.join(group, "id", "left").withColumn("group", F.coalesce("group", "id"))
@@ -310,7 +326,7 @@ def classes_and_groups(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFram
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
     )
-    more = verified(second, docs, rows, join)
+    more = verified(promising(second, index, join), docs, rows, join)
     return rows, groups(links.unionByName(more)) if not more.isEmpty() else group
 
 
