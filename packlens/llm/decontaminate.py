@@ -25,11 +25,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import WORD_HASHES
+
 RADIUS, BLOCKS, SHINGLE, SIMILARITY = 7, 4, 5, 0.8
 #: Items sent to the executors at once.
 ITEMS = 20_000
@@ -50,19 +51,8 @@ def _runs(words: list[bytes], k: int) -> Iterator[tuple[bytes, ...]]:
     return zip(*(words[i:] for i in range(k)), strict=False)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def simhashes(hashes: np.ndarray, starts: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, small, stash, whole_text
+from .words import WORD_HASHES
 
 #: Counters of the sketch, in chunks; its size is fixed, whatever the input.
 SKETCH_BITS, CHUNK_BITS = 20, 16
@@ -50,15 +51,6 @@ class Join:
     per: int = 100
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
 _ODD, _FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -67,7 +59,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
     k = min(n, len(words))
     out = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):

@@ -12,10 +12,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-from tokenizers import Tokenizer, normalizers
+from tokenizers import Tokenizer
 
 #: Characters whose letter, number and space classes and lower case don't depend on the Unicode version.
 _PLAIN = r"\t\n\r -~¡-¬®-įĲ-ž‐-―‘-„•…€"
@@ -29,9 +30,12 @@ _SPLITS = {
     ),
     "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+"),
 }
+#: The letters in which byte-level tokenizers write bytes: visible ones as they are, the others from U+0100 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTERS = {b: chr(b) for b in _VISIBLE} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _ODD = re.compile(f"[^{_PLAIN}]")
-#: Pieces remembered by a worker at most; then it forgets them all and starts anew.
-MAX_PIECES = 1_000_000
+#: Pieces of at most ``LONG`` characters are remembered, so many at most; then a worker forgets them all and starts anew.
+MAX_PIECES, LONG = 800_000, 10
 
 
 class PieceEncoder:
@@ -42,9 +46,9 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.path, self._library = path, None
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         kinds = {(spec.get("pre_tokenizer") or {}).get("type"), (spec.get("normalizer") or {}).get("type")}
@@ -52,17 +56,6 @@ class PieceEncoder:
         self.kind = {frozenset({"ByteLevel", None}): "byte", frozenset({"Sequence"}): "word"}.get(frozenset(kinds))
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
-        # what sets pieces apart when many are encoded at once: a tab, or a bar between spaces
-        self.gap, name = ("\t", "ĉ") if self.kind == "byte" else (" | ", "|</w>")
-        self.mark = self.bare.token_to_id(name)
-
-    @property
-    def library(self) -> Tokenizer:
-        if self._library is None:
-            self._library = Tokenizer.from_file(self.path)
-            self._library.no_truncation()
-            self._library.no_padding()
-        return self._library
 
     def _plain(self, text: str) -> bool:
         return self.kind is not None and not _ODD.search(text) and not any(s in text for s in self.special)
@@ -74,32 +67,29 @@ class PieceEncoder:
         return _SPLITS[self.kind].findall(text.lower() if self.kind == "word" else text)
 
     def _learn(self, pieces: set[str]) -> None:
-        """Has the library encode new pieces, set apart in one text where they can be told apart again."""
-        sign = self.gap.strip(" ")
-        new = [x for x in pieces if x and not x.isspace() and sign not in x]
-        ids = np.asarray(self.bare.encode_batch_fast([self.gap.join(new)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-        if len(ends) == len(new):
-            packed = ids.tobytes()
-            for piece, start, end in zip(new, 4 * np.append(0, ends[:-1] + 1), 4 * ends, strict=True):
-                self.known[piece] = packed[start:end]
-        for piece in pieces.difference(self.known):
-            self.known[piece] = np.asarray(self.bare.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        """Has the library's model encode new pieces, written in its letters for bytes."""
+        tokenize = self.library.model.tokenize
+        for piece in pieces:
+            text = piece if piece.isascii() else piece.encode().decode("latin-1")
+            self.known[piece] = array("I", [t.id for t in tokenize(text.translate(_LETTERS))]).tobytes()
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text."""
         split = [self._pieces(t) if t and self._plain(t) else None for t in texts]
         new = set().union(*(x for x in split if x)).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > MAX_PIECES:
-                self.known.clear()
-                new = set().union(*(x for x in split if x))
-            self._learn(new)
+        if len(self.known) + len(new) > MAX_PIECES:
+            self.known.clear()
+            new = set().union(*(x for x in split if x))
+        self._learn(new)
         get = self.known.__getitem__
-        return [
+        out = [
             b"".join(map(get, pieces)) if pieces is not None else self._whole(text) if text else b""
             for pieces, text in zip(split, texts, strict=True)
         ]
+        for piece in new:
+            if len(piece) > LONG:  # long ones hardly ever come again
+                del self.known[piece]
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """The ids of one text, packed."""
