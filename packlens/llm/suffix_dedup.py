@@ -33,8 +33,8 @@ from pyspark.sql.types import StructType
 
 from .common import BROADCAST_ROWS, drop, stash, whole_text
 
-#: Contexts of one entry that one task compares at most.
-LIST = 2048
+#: Contexts of one entry that one task compares at most; contexts of short lists that are compared at once, about.
+LIST, TOGETHER = 16_384, 2048
 #: Bytes hashed at once; longer texts are taken in overlapping parts.
 PART = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -227,11 +227,14 @@ class Family:
 def _strings(contexts: list[bytes], r: Repeats) -> np.ndarray:
     """The hash of each string of ``length`` bytes of each context (0 beyond its end)."""
     width = r.reach + r.length
+    out = np.zeros((len(contexts), r.reach + 1), np.uint64)
+    for at in range(0, len(contexts), TOGETHER):
+        part = contexts[at : at + TOGETHER]
+        data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in part), np.uint8).reshape(len(part), width)
+        out[at : at + TOGETHER] = _hashes(_sums(data), r.length)[:, : r.reach + 1]
     sizes = np.array([len(x) for x in contexts])
-    data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in contexts), np.uint8).reshape(len(contexts), width)
-    h = _hashes(_sums(data), r.length)
-    h[np.arange(h.shape[1]) > (sizes - r.length)[:, None]] = 0
-    return h
+    out[np.arange(r.reach + 1) > (sizes - r.length)[:, None]] = 0
+    return out
 
 
 def _settle(key: np.ndarray, row: np.ndarray, place: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +270,7 @@ def _from_lists(contexts: DataFrame, r: Repeats) -> DataFrame:
         current = None
         for batch in source:
             for h, c, left, raw in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "left", "raw")), strict=True):
-                if h != current and len(rows) >= LIST:
+                if h != current and len(rows) >= min(LIST, TOGETHER):
                     yield flush(*_columns(rows))
                     rows = {}
                 current = h
