@@ -9,7 +9,7 @@ Only the boundaries and the ranges' sums reach the driver: as many as ``ranges``
 
 Defined results: a null text counts as an empty one (8 bytes), rows that repeat are placed one after the other, null
 doc_ids come first within equal texts, an empty table gives an empty table. Further columns pass through (names starting with
-``_s_`` are reserved).
+``_s_`` are reserved; those of the results are replaced).
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def assign(
             "_s_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
         }
     )
-    keep = docs.columns if columns is None else columns
+    keep = [c for c in (docs.columns if columns is None else columns) if c not in ("size", "text_crc32", "shard", "slot")]
     rows = rows.select(*keep, "size", "text_crc32", "_s_key", "_s_id")
     narrow = stash(rows.select("_s_key", "_s_id", "size"), "sizes")
     splitters = _quantiles(_sample(narrow, ranges * per_range), ranges)
