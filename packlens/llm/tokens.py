@@ -35,7 +35,7 @@ _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LETTERS = {b: chr(b) for b in _VISIBLE} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _ODD = re.compile(f"[^{_PLAIN}]")
 #: Pieces of at most ``LONG`` characters are remembered, so many at most; then a worker forgets them all and starts anew.
-MAX_PIECES, LONG = 800_000, 10
+MAX_PIECES, LONG = 400_000, 10
 
 
 class PieceEncoder:

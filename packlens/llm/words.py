@@ -5,7 +5,7 @@ from __future__ import annotations
 import xxhash
 
 #: Words remembered at most; then all are forgotten.
-MAX_WORDS = 300_000
+MAX_WORDS = 100_000
 
 
 class _Hashes(dict):
