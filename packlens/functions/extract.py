@@ -173,15 +173,16 @@ def dimensions(t: Column) -> Column:
 
 def consumer_care(t: Column) -> Column:
     lines = F.filter(F.split(t, r"[\n\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda x: x.rlike(_CARE) & (x.rlike(EMAIL) | x.rlike(_PHONE)))
-    line = F.get(lines, F.lit(0))
-    email, phone = found(line, EMAIL, 0), found(line, _PHONE, 1)
-    full = candidate(
-        F.concat_ws(" | ", email, phone), compact(line), 0.94, address_detected=flag(is_address(line)), email=email, phone=phone
-    )
+
+    def made(line: Column) -> Column:
+        email, phone = found(line, EMAIL, 0), found(line, _PHONE, 1)
+        value, place = F.concat_ws(" | ", email, phone), flag(is_address(line))
+        return candidate(value, compact(line), 0.94, address_detected=place, email=email, phone=phone)
+
+    full = F.get(F.transform(F.slice(lines, 1, 1), made), F.lit(0))  # the line is found once
     lone = found(t, _CARE_EMAIL, 0)
-    return F.when(line.isNotNull(), full).when(
-        lone.isNotNull(), candidate(lone, compact(lone), 0.82, email=lone, address_detected=F.lit("false"))
-    )
+    alone = candidate(lone, compact(lone), 0.82, email=lone, address_detected=F.lit("false"))
+    return F.coalesce(full, F.when(lone.isNotNull(), alone))
 
 
 def unit_sale_price(t: Column) -> Column:
