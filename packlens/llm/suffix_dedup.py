@@ -10,8 +10,9 @@ family for entries in common, and levels of equal size are merged, so that each
 
 What the scans find is then settled exactly. A context that occurs twice repeats whole. Other contexts of one entry are compared by their
 strings of ``length`` bytes: the first and the last one that another context has at the same offset bound what is
-removed around the anchor (all of them contain it). Lists of more than ``LIST`` contexts are dealt by string instead
-of by entry, so no task holds a list. The work grows with the bytes, not with the pairs.
+removed around the anchor (all of them contain it). Lists of more than ``LIST`` contexts are dealt to groups of about that many by
+the hash of the context, so no task holds a list, also if all of it shares one string; strings of several groups meet in counts.
+The work grows with the bytes, not with the pairs.
 
 Spans are kept by the text's hash and size, not by row: rows with equal texts are each other's repeats.
 
@@ -287,58 +288,63 @@ def _columns(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes
 
 
 def _from_long_lists(contexts: DataFrame, r: Repeats) -> DataFrame:
-    """Settles lists of any size: the strings of a list are dealt to buckets by their hash, with few enough in each."""
+    """Settles lists of any size: their contexts are dealt to groups of about ``LIST``, whatever strings they share.
 
-    def deal(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in source:
-            for start in range(0, len(whole), 256):
-                batch = whole.slice(start, 256)
-                h, c, left, parts = (batch.column(k).to_numpy() for k in ("h", "c", "left", "parts"))
-                strings = _strings(batch.column("raw").to_pylist(), r)
-                row, place = np.nonzero(strings)
-                offset = (left[row] - place).astype(np.uint64)
-                key = strings[row, place] + offset * np.uint64(0xC4CEB9FE1A85EC53)
-                bucket = ((key >> np.uint64(33)) % parts[row].astype(np.uint64)).astype(np.int64)
-                order = np.lexsort((bucket, row))
-                row, place, key, bucket = row[order], place[order], key[order], bucket[order]
-                cut = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(bucket) != 0))) if len(row) else np.zeros(0, int)
-                end = np.append(cut[1:], len(row))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[row[cut]]), pa.array(c[row[cut]]), pa.array(bucket[cut]),
-                        pa.array([key[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary()),
-                        pa.array([place[a:b].astype("<i4").tobytes() for a, b in zip(cut, end, strict=True)], pa.binary()),
-                    ],
-                    ["h", "c", "bucket", "keys", "places"],
-                )
+    A string that two contexts of a group have is settled there. A group then tells each of its strings once, so that the strings
+    of different groups meet in counts, and only the strings that could widen what a context has are looked up in them.
+    """
 
-    def flush(h: int, rows: dict[int, tuple[bytes, bytes]]) -> pa.RecordBatch:
-        keys = [np.frombuffer(k, np.uint64) for k, _ in rows.values()]
-        places = np.concatenate([np.frombuffer(p, "<i4") for _, p in rows.values()])
-        owner = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-        first, last = _settle(np.concatenate(keys), owner, places, len(rows))
-        some = last >= 0
-        c = np.array(list(rows), np.int64)[some]
+    def flush(h: int, rows: dict[int, tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        strings = _strings([x for _, x in rows.values()], r)
+        row, place = np.nonzero(strings)
+        offset = (np.array([x for x, _ in rows.values()])[row] - place).astype(np.uint64)
+        key = (strings[row, place] ^ np.uint64(h * _BASE % (1 << 64))) + offset * np.uint64(0xC4CEB9FE1A85EC53)
+        first, last = _settle(key, row, place, len(rows))
+        c = np.array(list(rows), np.int64)
+        some = np.flatnonzero(last >= 0)
+        yield told(h, c[some], None, first[some], last[some])
+        told_key, at, count = np.unique(key, return_index=True, return_counts=True)
+        open_ = (count == 1) & ((place[at] < first[row[at]]) | (place[at] > last[row[at]]))
+        for mine in (True, False):
+            keys, at_ = told_key[open_ == mine], at[open_ == mine]
+            for k in range(0, len(keys), 1 << 16):
+                part = at_[k : k + (1 << 16)]
+                yield told(h, c[row[part]] if mine else None, keys[k : k + (1 << 16)], place[part], place[part])
+
+    def told(h: int, c: np.ndarray | None, key: np.ndarray | None, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+        n = len(first)
         return pa.RecordBatch.from_arrays(
-            [pa.array([h] * len(c), pa.int64()), pa.array(c), pa.array(first[some].astype(np.int32)), pa.array(last[some].astype(np.int32))],
-            ["h", "c", "first", "last"],
+            [
+                pa.array(np.full(n, h, np.int64)),
+                pa.nulls(n, pa.int64()) if c is None else pa.array(c),
+                pa.nulls(n, pa.int64()) if key is None else pa.array(key.view(np.int64)),
+                pa.array(first.astype(np.int32)),
+                pa.array(last.astype(np.int32)),
+            ],
+            ["h", "c", "key", "first", "last"],
         )
 
-    def settle(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rows = None, {}
         for batch in source:
-            for h, c, bucket, keys, places in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "bucket", "keys", "places")), strict=True):
-                if (h, bucket) != current:
+            for h, share, c, left, raw in zip(*(batch.column(k).to_pylist() for k in ("h", "share", "c", "left", "raw")), strict=True):
+                if (h, share) != current:
                     if rows:
-                        yield flush(current[0], rows)
-                    current, rows = (h, bucket), {}
-                rows[c] = (keys, places)
+                        yield from flush(current[0], rows)
+                    current, rows = (h, share), {}
+                rows[c] = (left, raw)
         if rows:
-            yield flush(current[0], rows)
-
-    dealt = contexts.mapInArrow(deal, "h bigint, c bigint, bucket bigint, keys binary, places binary")
-    settled = dealt.repartition("h", "bucket").sortWithinPartitions("h", "bucket").mapInArrow(settle, SETTLED)
-    return settled.groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+            yield from flush(current[0], rows)
+
+    dealt = contexts.withColumn("share", F.pmod(F.xxhash64("c"), "parts")).drop("parts")
+    dealt = dealt.repartition("h", "share").sortWithinPartitions("h", "share")
+    strings = stash(dealt.mapInArrow(run, "h bigint, c bigint, key bigint, first int, last int"), "strings")
+    common = strings.where("key is not null").groupBy("key").agg(F.count("*").alias("groups")).where("groups > 1").select("key")
+    wider = strings.where("key is not null and c is not null").join(common, "key").select("h", "c", "first", "last")
+    settled = strings.where("key is null").select("h", "c", "first", "last").unionByName(wider)
+    settled = stash(settled.groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last")), "long")
+    drop(contexts.sparkSession, strings)
+    return settled
 
 
 def _per_text(rows: DataFrame, *columns: str, merge: bool = False) -> DataFrame:

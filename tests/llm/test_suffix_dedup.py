@@ -67,6 +67,27 @@ def test_long_lists_and_long_texts(spark, monkeypatch):
     assert run(df, r, 1) == sorted(((i, *x) for i, x in enumerate(brute(texts, 20))), key=repr)
 
 
+def test_one_string_in_many_contexts(spark, monkeypatch):
+    """No group that is dealt to a task holds all contexts of a string, and strings of different groups still meet."""
+    monkeypatch.setattr(suffix_dedup, "LIST", 16)
+    r, rand, dealt = Repeats(20, 8), random.Random(3), []
+    letters = lambda k: "".join(rand.choice("abcdefgh") for _ in range(k))
+    passage, pair = letters(26), letters(9)
+    texts = [letters(30) + passage + letters(30) for _ in range(300)]
+    texts += [letters(30) + pair + passage + letters(30), letters(30) + pair + passage + letters(30)]  # a wider string that only two have
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    whole = type(df).repartition
+
+    def repartition(self, *by):
+        if len(by) == 2:
+            dealt.append(self.groupBy(*by).count().agg({"count": "max"}).first()[0])
+        return whole(self, *by)
+
+    monkeypatch.setattr(type(df), "repartition", repartition)
+    assert run(df, r, 1) == sorted(((i, *x) for i, x in enumerate(brute(texts, 20))), key=repr)
+    assert dealt and max(dealt) <= 2 * 16
+
+
 def test_odd_rows(spark, odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     want = sorted(((d, *x) for (d, _), x in zip(rows, brute([t for _, t in rows], 200), strict=True)), key=repr)
