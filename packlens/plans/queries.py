@@ -247,7 +247,7 @@ def direct_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unresolved_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = recovery.unresolved(_sealed(spark, sf_dir), _won(spark, sf_dir).where("package_id % 2 = 0"))
+    rows = recovery.unresolved(_sealed(spark, sf_dir), _won(spark, sf_dir))
     return rows.select("package_id", "value", "evidence", _conf("confidence"))
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packlens.operators import recovery, spatial, vision
+from packlens.plans import queries
 from packlens.sources import ingest, report
 
 
@@ -185,3 +186,13 @@ def test_reports(spark, sf, tmp_path):
     assert len(one["checks"]) == 10 and set(one["summary"]) >= {"status", "passed"}
     report.write_reports(reports, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == reports.count()
+
+
+def test_every_consensus_resolves_its_reference(spark, sf, monkeypatch):
+    """Odd packages too: only those whose readings settle no price stay unresolved."""
+    read = queries.readings
+    monkeypatch.setattr(queries, "readings", lambda *at: read(*at).where("package_id % 27 <> 0"))
+    hinted = {x["package_id"] for x in queries.direct_hints(spark, sf).collect()}
+    won = {x["package_id"] for x in queries.consensus_price(spark, sf).collect()}
+    got = {x["package_id"] for x in queries.unresolved_reference(spark, sf).collect()}
+    assert got == hinted - won and got and any(k % 2 for k in hinted & won)
