@@ -22,7 +22,9 @@ _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _PART = re.compile(r"[a-z]+")
 
 #: HTML's elements by how their text is read.
-RAW = frozenset("script style noscript template iframe svg math object title textarea head".split())
+RAW = frozenset("script style noscript template iframe svg title textarea head".split())
+#: Of these, the ones that run to the page's end if they aren't closed; the text after any other unclosed one is read.
+TO_END = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form"
@@ -56,6 +58,7 @@ def blocks_of(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked = 0
     in_link = False
+    unended: set[str] = set()  # no end tag from here on
 
     def end_block() -> None:
         nonlocal parts, linked
@@ -91,9 +94,14 @@ def blocks_of(page: str | None) -> list[Block]:
                     end = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
                     if end:
                         at = end.end()
-                else:
+                elif tag not in unended and not (tag == "svg" and attributes.endswith("/")):
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+                    if end:
+                        at = end.end()
+                    elif tag in TO_END:
+                        at = len(page)
+                    else:
+                        unended.add(tag)
         elif tag == "a":
             in_link = not closing
         elif tag == "br":

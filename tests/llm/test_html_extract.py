@@ -33,6 +33,15 @@ def test_blocks():
         blocks_of(broken)
 
 
+def test_unclosed_and_self_closed_elements():
+    for start in ("<svg a='b'/>", "<svg/>", "<svg>", "<math/>", "<math>", "<object data=x>", "<noscript>", "<template>", "<iframe src=x>"):
+        assert [b.text for b in blocks_of(f"<p>one {start}two</p><p>three</p>")] == ["one two", "three"], start
+        assert [b.text for b in blocks_of(f"<p>one {start}two</p><p>three <svg><text>no</text></svg>end</p>")][-1].endswith("end"), start
+    assert [b.text for b in blocks_of("<p>a <math><mi>x</mi></math> <object>in</object> <svg><text>no</text></svg>b</p>")] == ["a x in b"]
+    for start in ("<script>", "<style>", "<textarea>", "<title>"):
+        assert [b.text for b in blocks_of(f"<p>one {start}two</p><p>three</p>")] == ["one"], start
+
+
 def test_gradients():
     r = np.random.default_rng(0)
     model = h.Labeller(3, 1)
