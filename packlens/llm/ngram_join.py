@@ -2,16 +2,21 @@
 
 A text's set has its distinct n-word shingles, hashed to 64 bits. Equal sets are one class with one answer. Shingles are
 ordered rare to common (a count sketch of all texts, of fixed size, gives the order; any order is exact), so two sets that link share one
-of their first |x| - ceil(t |x|) + 1 shingles: only those are indexed.
+of their first |x| - ceil(t |x|) + 1 shingles: only those are indexed, and only of sets that a different set can link with.
 
 Skipping, after the work on set relations in similarity joins:
 
-* an index list is cut into blocks by size band; a block meets only its own and the next band, and a pair of postings
-  is skipped when their positions leave too few shingles for the overlap that is needed;
-* the sets of a block are first verified against its leader alone. A set that links with the leader takes over its
-  answer (the group); index lists whose sets all have one answer by then are skipped whole;
-* a pair is looked at in full only if the shingles shared by both prefixes leave a link possible;
-* in the other lists only sets outside the list's largest group are looked up, and only against sets of other groups.
+* an index list is cut into blocks by size band and position. A posting is late if fewer shingles follow it than a set of the same
+  size needs; two late ones never link, and a late one only meets smaller sets, so blocks are skipped whole before any pair is made;
+* each band of a list has a leader, the set in which the shingle stands first: the one with the fewest shingles of its own. The
+  band's sets are first compared with it alone. A set that links with its leader takes over its answer (the group); lists whose sets
+  all have one answer by then are skipped whole;
+* in the other lists only sets outside the list's largest group are looked up, only against sets of other groups, and what is known of
+  both and their leader answers for them where it can: they share at most what x shares with the leader and what y has besides it;
+* a pair that met at the shingle before in both sets isn't made again, and is looked at in full only if the shingles shared by both
+  prefixes leave a link possible;
+* where sets outside still stand against large groups, they are first compared with growing numbers of representatives, so that
+  most join before all members are looked at.
 
 So groups of near copies cost work in proportion to their size, no pair within a found group is looked at, and no link that
 joins two groups is lost: for each linked pair with different groups, the block of its first shared shingle yields it.
@@ -139,7 +144,10 @@ def _prefix(values: np.ndarray, classes: np.ndarray, join: Join) -> np.ndarray:
 
 
 def postings(docs: DataFrame, join: Join, classes: np.ndarray) -> DataFrame:
-    """(token, id, size, pos) of the prefixes."""
+    """(token, id, size, pos, prev) of the prefixes; prev is the shingle before, 0 for the first.
+
+    Sets too small to link with any but themselves have none: the nearest other set has one shingle more.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,24 +155,26 @@ def postings(docs: DataFrame, join: Join, classes: np.ndarray) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 512):
                 sets = [shingles(t, join.n) for t in whole.column("text").slice(at, 512).to_pylist()]
-                found = {set_id(s): s for s in sets if len(s)}
+                found = {set_id(s): s for s in sets if join.per * len(s) >= join.share * (len(s) + 1)}
                 ids = [i for i in found if i not in last]  # copies nearby need no second posting
                 last = set(found)
                 if not ids:
                     continue
                 parts = [_prefix(found[i], rank, join) for i in ids]
                 sizes = [len(p) for p in parts]
+                tokens, pos = np.concatenate(parts).view(np.int64), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(parts).view(np.int64)),
+                        pa.array(tokens),
                         pa.array(np.repeat(np.array(ids, np.int64), sizes)),
                         pa.array(np.repeat(np.array([len(found[i]) for i in ids], np.int32), sizes)),
-                        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])),
+                        pa.array(pos),
+                        pa.array(np.where(pos == 0, 0, np.roll(tokens, 1))),
                     ],
-                    ["token", "id", "size", "pos"],
+                    ["token", "id", "size", "pos", "prev"],
                 )
 
-    return docs.select(whole_text().alias("text")).mapInArrow(run, "token bigint, id bigint, size int, pos int")
+    return docs.select(whole_text().alias("text")).mapInArrow(run, "token bigint, id bigint, size int, pos int, prev bigint")
 
 
 def sets_of(docs: DataFrame, join: Join, texts: DataFrame) -> DataFrame:
@@ -185,7 +195,7 @@ def sets_of(docs: DataFrame, join: Join, texts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) that link. Only sets that stand in a pair are read from the texts, each once."""
+    """(a, b, both, linked): how many shingles each pair shares. Only sets that stand in a pair are read from the texts, each once."""
     pairs = stash(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = rows.where("n > 0").groupBy("id").agg(F.min("th").alias("th")).join(ids, "id", "left_semi").select("th")
@@ -193,7 +203,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, join: Join) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            both, linked = [], []
             last, first = None, np.zeros(0, np.uint64)
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 raw = x.as_buffer()
@@ -201,13 +211,15 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, join: Join) ->
                     last, first = raw, np.frombuffer(raw, np.uint64)
                 second = np.frombuffer(y.as_buffer(), np.uint64)
                 place = np.searchsorted(first, second)
-                both = int((first[np.minimum(place, len(first) - 1)] == second).sum())
-                keep.append(join.per * both >= join.share * (len(first) + len(second) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both.append(int((first[np.minimum(place, len(first) - 1)] == second).sum()))
+                linked.append(join.per * both[-1] >= join.share * (len(first) + len(second) - both[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(both, pa.int32()), pa.array(linked, pa.bool_())], ["a", "b", "both", "linked"]
+            )
 
     right = pairs.join(sets.withColumnsRenamed({"id": "b", "set": "set_b"}), "b")
     both = right.join(sets.withColumnsRenamed({"id": "a", "set": "set_a"}), "a")
-    out = stash(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint"), "links")
+    out = stash(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, both int, linked boolean"), "links")
     drop(docs.sparkSession, sets, pairs)
     return out
 
@@ -258,67 +270,132 @@ def groups(links: DataFrame) -> DataFrame:
         star = new
 
 
-def _fit(join: Join) -> str:
+def _needed(x: str, y: str, join: Join) -> str:
+    """Shingles that sets of these sizes must share to link."""
+    return f"ceil({join.share} * cast({x} + {y} as bigint) / {join.per + join.share})"
+
+
+def _fit(join: Join, y_size: str = "y.size", y_pos: str = "y.pos") -> str:
     """Postings x and y: sizes can link, and enough shingles follow both positions."""
-    sizes = f"least(x.size, y.size) * {join.per} >= greatest(x.size, y.size) * {join.share}"
-    needed = f"ceil({join.share} * cast(x.size + y.size as bigint) / {join.per + join.share})"
-    return f"{sizes} and least(x.size - x.pos, y.size - y.pos) >= {needed}"
+    sizes = f"least(x.size, {y_size}) * {join.per} >= greatest(x.size, {y_size}) * {join.share}"
+    return f"{sizes} and least(x.size - x.pos, {y_size} - {y_pos}) >= {_needed('x.size', y_size, join)}"
 
 
-def promising(pairs: DataFrame, index: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) whose shared prefix shingles are enough for a link.
+def blocked(posted: DataFrame, join: Join) -> DataFrame:
+    """The postings of lists with two sets or more, with band, late, and the leader of their band (lead, lead_size, lead_pos).
+
+    A band is 1 / t times the band before: sets that link are in the same band or neighbours. ``late``: fewer shingles
+    follow than the overlap that two sets of this size need.
+    """
+    lists = posted.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token")
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(join.per / join.share))).cast("int")
+    late = F.expr(f"size - pos < {_needed('size', 'size', join)}")
+    index = posted.join(lists, "token").distinct().withColumn("band", band).withColumn("late", late)
+    index = stash(index, "index")
+    leaders = index.groupBy("token", "band").agg(F.min(F.struct("pos", "size", "id")).alias("y"))
+    leaders = leaders.select("token", "band", F.col("y.id").alias("lead"), F.col("y.size").alias("lead_size"), F.col("y.pos").alias("lead_pos"))
+    out = stash(index.join(leaders, ["token", "band"]), "blocked")
+    drop(posted.sparkSession, index)
+    return out
+
+
+def bounds(pairs: DataFrame, index: DataFrame, join: Join) -> DataFrame:
+    """(a, b, most, likely): the most shingles that each pair can share, by both prefixes, and whether that is enough.
 
     Of the two prefixes one ends first in the common order; a shingle of it that is in the other set is in the other
-    prefix. So the overlap is at most the shared prefix shingles and what follows that prefix.
+    prefix. So the overlap is at most the shared prefix shingles and what follows that prefix. Shingles go as 32 bits;
+    ``spare`` makes up for those of a prefix that fall together.
     """
-    lists = index.select("id", "token", "size")
-    first = pairs.select("a", "b").join(lists.withColumnsRenamed({"id": "a", "size": "na"}), "a")
-    both = first.join(lists.withColumnsRenamed({"id": "b", "size": "nb"}), ["b", "token"])
+    short = F.expr("cast(token % 2147483648 as int)")
+    lists = index.groupBy("id").agg(F.collect_set(short).alias("t"), F.count("*").alias("k"), F.first("size").alias("n"))
+    lists = lists.select("id", "t", "n", (F.col("k") - F.size("t")).alias("spare"))
+    first = pairs.select("a", "b").join(lists.withColumnsRenamed({"id": "a", "t": "ta", "n": "na", "spare": "sa"}), "a")
+    both = first.join(lists.drop("spare").withColumnsRenamed({"id": "b", "t": "tb", "n": "nb"}), "b")
     rest = lambda n: F.ceil(join.share * F.col(n).cast("long") / join.per) - 1
-    needed = F.ceil(join.share * (F.col("na") + F.col("nb")).cast("long") / (join.per + join.share))
-    shared = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return shared.where(F.col("shared") + F.greatest(rest("na"), rest("nb")) >= needed).select("a", "b")
+    most = F.size(F.array_intersect("ta", "tb")) + F.col("sa") + F.greatest(rest("na"), rest("nb"))
+    most = F.least(most, F.col("na"), F.col("nb")).cast("int")
+    return both.select("a", "b", most.alias("most"), F.expr(_needed("na", "nb", join)).alias("_need")).select("a", "b", "most", (F.col("most") >= F.col("_need")).alias("likely"))
+
+
+#: Sets outside the main groups, times these groups, that are looked up at once for each posting of the open lists; beyond it
+#: representatives are asked first.
+AT_ONCE = 8
+#: Representatives of a list's main group are so many times more in each round.
+MORE = 16
+
+
+def _open(index: DataFrame, group: DataFrame, met: DataFrame) -> DataFrame:
+    """The postings of lists whose sets have different groups, with group, main (the list's largest group) and what is known of set and leader.
+
+    ``up``: shingles shared with the leader at most; ``own``: shingles besides the leader's, where they were counted.
+    """
+    known = stash(index.join(group, "id", "left").withColumn("group", F.coalesce("group", "id")), "known")
+    parts = known.groupBy("token", "group").agg(F.count("*").alias("c"))
+    main = F.max(F.struct("c", "group"))
+    mixed = parts.groupBy("token").agg(main["group"].alias("main"), F.count("*").alias("k")).where("k > 1").select("token", "main")
+    rows = known.join(mixed, "token").join(met, ["id", "lead"], "left")
+    itself = F.col("id") == F.col("lead")
+    rows = rows.withColumn("up", F.when(itself, F.col("size")).otherwise(F.col("up")))
+    out = stash(rows.withColumn("own", F.when(itself, 0).otherwise(F.col("size") - F.col("both"))), "open")
+    drop(index.sparkSession, known)
+    return out
+
+
+def _outside(lists: DataFrame) -> DataFrame:
+    """The postings of sets outside their list's main group, once for each block (near, near_late) that they can meet."""
+    block = lambda step, late: F.struct((F.col("band") + step).alias("near"), F.lit(late).alias("near_late"))
+    early = F.array(block(-1, False), block(0, False), block(1, False), block(0, True), block(1, True))
+    meets = F.when(F.col("late"), F.array(block(-1, False), block(0, False))).otherwise(early)
+    return lists.where("group <> main").withColumn("_m", F.explode(meets)).select(*lists.columns, "_m.near", "_m.near_late")
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def classes_and_groups(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, th, id, n) of all documents, and (id, group) of the sets that link (but those that name a group)."""
+    spark = docs.sparkSession
     found = stash(scan(docs, join), "sets")
     rows = found.where("chunk is null").select("doc_id", "th", "id", "n")
     classes = rarity(found.where("chunk is not null").select("chunk", "counts"))
-    # one more band is 1 / t times the size: sets that link are in the same band or neighbours
-    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(join.per / join.share))).cast("int")
     posted = stash(postings(docs, join, classes), "postings")
-    lists = posted.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    index = stash(posted.join(lists.select("token"), "token").distinct().withColumn("band", band), "index")
-    drop(docs.sparkSession, posted)
-
-    leaders = index.groupBy("token", "band").agg(F.min(F.struct("id", "size", "pos")).alias("y"))
-    first = (
-        index.alias("x")
-        .join(leaders, ["token", "band"])
-        .where(f"x.id <> y.id and {_fit(join)}")
-        .select(F.col("x.id").alias("b"), F.col("y.id").alias("a"))
-        .distinct()
-    )
-    links = verified(promising(first, index, join), docs, rows, join)
+    index = blocked(posted, join)
+    drop(spark, posted)
+
+    # each set against the leaders of its bands
+    first = index.alias("x").where(f"id <> lead and {_fit(join, 'lead_size', 'lead_pos')}").select(F.col("id").alias("b"), F.col("lead").alias("a"))
+    bound = stash(bounds(first.distinct(), index, join), "bounds")
+    checked = verified(bound.where("likely").select("a", "b"), docs, rows, join)
+    links = checked.where("linked").select("a", "b")
     group = groups(links)
+    met = bound.join(checked.select("a", "b", "both"), ["a", "b"], "left")
+    met = stash(met.select(F.col("b").alias("id"), F.col("a").alias("lead"), F.coalesce("both", "most").alias("up"), "both"), "met")
+    drop(spark, bound)
+
+    representatives = MORE
+    while True:
+        lists = _open(index, group, met)
+        sizes = lists.groupBy("token").agg(F.count_if(F.expr("group = main")).alias("inside"), F.count_if(F.expr("group <> main")).alias("outside"))
+        whole = sizes.agg(F.sum(F.expr("outside * (inside + outside)")), F.sum(F.expr("inside + outside")), F.max("inside")).first()
+        if whole[0] is None or whole[0] <= AT_ONCE * whole[1] or whole[2] <= representatives:
+            break
+        # those that join a group by one of its representatives need no look at its other members
+        near = [F.col("band").alias("near"), F.col("late").alias("near_late"), F.pmod(F.xxhash64("id"), F.lit(representatives))]
+        chosen = lists.where("group = main").groupBy("token", *near).agg(F.min(F.struct("pos", "size", "id")).alias("y")).select("token", "near", "near_late", "y.*")
+        pairs = _pairs(_outside(lists).alias("x").join(chosen.alias("y"), ["token", "near", "near_late"]).where(_fit(join)))
+        more = verified(bounds(pairs, index, join).where("likely").select("a", "b"), docs, rows, join).where("linked").select("a", "b")
+        links = links.unionByName(more)
+        group = groups(links)
+        representatives *= MORE
+        drop(spark, lists)
 
-    known = index.join(group, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    known = stash(known, "known")
-    parts = known.groupBy("token", "group").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("token").agg(F.max(F.struct("c", "group"))["group"].alias("main"), F.count("*").alias("k")).where("k > 1")
-    open_lists = stash(known.join(mixed.select("token", "main"), "token"), "open")
     # a pair of different groups has at least one set outside the list's largest group: x
-    x = open_lists.where("group <> main").withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    y = open_lists.select(*(F.col(c) for c in open_lists.columns)).withColumnRenamed("band", "near")
-    second = (
-        x.alias("x")
-        .join(y.alias("y"), ["token", "near"])
-        .where(f"x.group <> y.group and (y.group = y.main or x.id < y.id) and {_fit(join)}")
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
-    )
-    more = verified(promising(second, index, join), docs, rows, join)
+    y = lists.withColumnsRenamed({"band": "near", "late": "near_late"})
+    new = "x.group <> y.group and (y.group = y.main or x.id < y.id) and (x.pos = 0 or y.pos = 0 or x.prev <> y.prev)"
+    derived = f"x.lead = y.lead and least(x.up + y.own, y.up + x.own) < {_needed('x.size', 'y.size', join)}"
+    joined = _outside(lists).alias("x").join(y.alias("y"), ["token", "near", "near_late"]).where(f"{new} and {_fit(join)} and not coalesce({derived}, false)")
+    more = verified(bounds(_pairs(joined), index, join).where("likely").select("a", "b"), docs, rows, join).where("linked").select("a", "b")
     return rows, groups(links.unionByName(more)) if not more.isEmpty() else group
 
 

@@ -56,9 +56,32 @@ def copies(seed, n_bases=12, n=260):
     return rows
 
 
-@pytest.mark.parametrize("join", [Join(4, 85), Join(5, 80)])
-def test_all_pairs(spark, join):
-    rows = copies(join.n)
+def lost_base(seed, n=240):
+    """Copies of a text that is itself lost, each with its own number of edits, and texts that hold half of it or a passage of it."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(n):
+        words = base[:]
+        for _ in range(r.randint(1, 5)):
+            words[r.randrange(len(words))] = word()
+        if i % 3 == 1:
+            words = words[: r.choice((60, 90, 105))] + [word() for _ in range(r.randint(10, 60))]
+        if i % 3 == 2 and i % 2:
+            words = [word() for _ in range(r.randint(5, 40))] + words[40:60]
+        rows.append((i + 7, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(
+    ("make", "join", "rounds"), [(copies, Join(4, 85), None), (copies, Join(5, 80), None), (lost_base, Join(4, 85), (0, 2)), (lost_base, Join(5, 80), None)]
+)
+def test_all_pairs(spark, monkeypatch, join, make, rounds):
+    if rounds:  # sets outside ask representatives of the large groups first
+        monkeypatch.setattr(ngram_join, "AT_ONCE", rounds[0])
+        monkeypatch.setattr(ngram_join, "MORE", rounds[1])
+    rows = make(join.n)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
     assert run(df, join) == brute(rows, join)
 
@@ -76,6 +99,23 @@ def test_odd_rows(spark, odd, empty):
     assert ngram_join.keep_one(empty, join).collect() == []
 
 
+def test_derived_answers_keep_every_link(spark):
+    """Sets just inside and just outside the bound, of sizes round a band's edge, around one set."""
+    join, words = Join(1, 80), [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        size, shift = 40 + i % 25, i % 12
+        rows.append((i, " ".join(words[shift : shift + size] + [f"own{i}x{k}" for k in range(i % 7)])))
+    assert run(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), join) == brute(rows, join)
+
+
+def test_small_sets(spark):
+    """The smallest sets that another set can link with, and smaller ones."""
+    join = Join(1, 80)
+    rows = [(10 * n + k, " ".join(f"s{n}w{i}" for i in range(n - k))) for n in range(2, 9) for k in (0, 1)]
+    assert run(spark.createDataFrame(rows, "doc_id bigint, text string"), join) == brute(rows, join)
+
+
 def test_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(40)] + [(500, 70), (300, 301)]
     r = random.Random(4)
