@@ -13,8 +13,8 @@ Skipping, after the work on set relations in similarity joins:
   all have one answer by then are skipped whole;
 * in the other lists only sets outside the list's largest group are looked up, only against sets of other groups, and what is known of
   both and their leader answers for them where it can: they share at most what x shares with the leader and what y has besides it;
-* a pair that met at the shingle before in both sets isn't made again, and is looked at in full only if the shingles shared by both
-  prefixes leave a link possible;
+* a pair that met at the indexed shingle before in both sets isn't made again, and is looked at in full only if the sets' bitmaps leave a
+  link possible: each shingle flips a bit, so sets differ in at least as many shingles as their bitmaps in bits;
 * where sets outside still stand against large groups, they are first compared with growing numbers of representatives, so that
   most join before all members are looked at.
 
@@ -37,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, small, stash, whole_text
@@ -74,23 +74,38 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
+def bitmap(values: np.ndarray) -> bytes:
+    """A bitmap with two to four bits for each shingle, in which a shingle flips the bit of its hash."""
+    width = 1 << max(6, (2 * len(values) - 1).bit_length())
+    flips = np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """The bits in which two bitmaps differ; the wider one is folded to the other's width."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def set_id(values: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
 
 
 def scan(docs: DataFrame, join: Join) -> DataFrame:
-    """One reading of the texts: rows (doc_id, th, id, n) and the parts of the sketch (chunk, counts)."""
+    """One reading of the texts: rows (doc_id, th, id, n, bits) and the parts of the sketch (chunk, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             sets = [shingles(t, join.n) for t in batch.column("text").to_pylist()]
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             none = [None] * len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+                [batch.column("doc_id"), batch.column("th"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
                 schema=schema,
             )
         size = 1 << CHUNK_BITS
@@ -102,7 +117,7 @@ def scan(docs: DataFrame, join: Join) -> DataFrame:
 
     text = whole_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, th bigint, id bigint, n bigint, chunk int, counts binary")
+    return rows.mapInArrow(run, "doc_id bigint, th bigint, id bigint, n bigint, bits binary, chunk int, counts binary")
 
 
 def _added(parts: DataFrame) -> DataFrame:
@@ -144,7 +159,7 @@ def _prefix(values: np.ndarray, classes: np.ndarray, join: Join) -> np.ndarray:
 
 
 def postings(docs: DataFrame, join: Join, classes: np.ndarray) -> DataFrame:
-    """(token, id, size, pos, prev) of the prefixes; prev is the shingle before, 0 for the first.
+    """(token, id, size, pos) of the prefixes.
 
     Sets too small to link with any but themselves have none: the nearest other set has one shingle more.
     """
@@ -162,19 +177,17 @@ def postings(docs: DataFrame, join: Join, classes: np.ndarray) -> DataFrame:
                     continue
                 parts = [_prefix(found[i], rank, join) for i in ids]
                 sizes = [len(p) for p in parts]
-                tokens, pos = np.concatenate(parts).view(np.int64), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(tokens),
+                        pa.array(np.concatenate(parts).view(np.int64)),
                         pa.array(np.repeat(np.array(ids, np.int64), sizes)),
                         pa.array(np.repeat(np.array([len(found[i]) for i in ids], np.int32), sizes)),
-                        pa.array(pos),
-                        pa.array(np.where(pos == 0, 0, np.roll(tokens, 1))),
+                        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])),
                     ],
-                    ["token", "id", "size", "pos", "prev"],
+                    ["token", "id", "size", "pos"],
                 )
 
-    return docs.select(whole_text().alias("text")).mapInArrow(run, "token bigint, id bigint, size int, pos int, prev bigint")
+    return docs.select(whole_text().alias("text")).mapInArrow(run, "token bigint, id bigint, size int, pos int")
 
 
 def sets_of(docs: DataFrame, join: Join, texts: DataFrame) -> DataFrame:
@@ -282,16 +295,21 @@ def _fit(join: Join, y_size: str = "y.size", y_pos: str = "y.pos") -> str:
 
 
 def blocked(posted: DataFrame, join: Join) -> DataFrame:
-    """The postings of lists with two sets or more, with band, late, and the leader of their band (lead, lead_size, lead_pos).
+    """The postings of lists that aren't one posting, with band, late, prev, and the leader of their band (lead, lead_size, lead_pos).
 
     A band is 1 / t times the band before: sets that link are in the same band or neighbours. ``late``: fewer shingles
-    follow than the overlap that two sets of this size need.
+    follow than the overlap that two sets of this size need. ``prev``: the set's shingle before among those of the index.
     """
-    lists = posted.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token")
+    lists = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(join.per / join.share))).cast("int")
     late = F.expr(f"size - pos < {_needed('size', 'size', join)}")
-    index = posted.join(lists, "token").distinct().withColumn("band", band).withColumn("late", late)
-    index = stash(index, "index")
+    index = stash(posted.join(lists, "token").distinct(), "listed")
+    drop(posted.sparkSession, posted)
+    listed = index
+    # a set's prefix is one window
+    prev = F.lag("token").over(Window.partitionBy("id").orderBy("pos"))
+    index = stash(listed.withColumns({"band": band, "late": late, "prev": prev}), "index")
+    drop(posted.sparkSession, listed)
     leaders = index.groupBy("token", "band").agg(F.min(F.struct("pos", "size", "id")).alias("y"))
     leaders = leaders.select("token", "band", F.col("y.id").alias("lead"), F.col("y.size").alias("lead_size"), F.col("y.pos").alias("lead_pos"))
     out = stash(index.join(leaders, ["token", "band"]), "blocked")
@@ -299,22 +317,31 @@ def blocked(posted: DataFrame, join: Join) -> DataFrame:
     return out
 
 
-def bounds(pairs: DataFrame, index: DataFrame, join: Join) -> DataFrame:
-    """(a, b, most, likely): the most shingles that each pair can share, by both prefixes, and whether that is enough.
+def bounds(pairs: DataFrame, signatures: DataFrame, join: Join) -> DataFrame:
+    """(a, b, most, likely): the most shingles that each pair can share, by their bitmaps, and whether that is enough.
 
-    Of the two prefixes one ends first in the common order; a shingle of it that is in the other set is in the other
-    prefix. So the overlap is at most the shared prefix shingles and what follows that prefix. Shingles go as 32 bits;
-    ``spare`` makes up for those of a prefix that fall together.
+    ``signatures``: (id, n, bits), a row for each document.
     """
-    short = F.expr("cast(token % 2147483648 as int)")
-    lists = index.groupBy("id").agg(F.collect_set(short).alias("t"), F.count("*").alias("k"), F.first("size").alias("n"))
-    lists = lists.select("id", "t", "n", (F.col("k") - F.size("t")).alias("spare"))
-    first = pairs.select("a", "b").join(lists.withColumnsRenamed({"id": "a", "t": "ta", "n": "na", "spare": "sa"}), "a")
-    both = first.join(lists.drop("spare").withColumnsRenamed({"id": "b", "t": "tb", "n": "nb"}), "b")
-    rest = lambda n: F.ceil(join.share * F.col(n).cast("long") / join.per) - 1
-    most = F.size(F.array_intersect("ta", "tb")) + F.col("sa") + F.greatest(rest("na"), rest("nb"))
-    most = F.least(most, F.col("na"), F.col("nb")).cast("int")
-    return both.select("a", "b", most.alias("most"), F.expr(_needed("na", "nb", join)).alias("_need")).select("a", "b", "most", (F.col("most") >= F.col("_need")).alias("likely"))
+    pairs = stash(pairs, "candidates")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    own = signatures.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    own = stash(own, "signatures")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.fromiter(map(differing, batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()), np.int64, len(batch))
+            na, nb = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            most = np.minimum((na + nb - apart) // 2, np.minimum(na, nb))
+            likely = join.per * most >= join.share * (na + nb - most)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(most.astype(np.int32)), pa.array(likely)], ["a", "b", "most", "likely"]
+            )
+
+    first = pairs.join(own.withColumnsRenamed({"id": "a", "n": "n_a", "bits": "bits_a"}), "a")
+    both = first.join(own.withColumnsRenamed({"id": "b", "n": "n_b", "bits": "bits_b"}), "b")
+    out = stash(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint, most int, likely boolean"), "bounds")
+    drop(pairs.sparkSession, pairs, own)
+    return out
 
 
 #: Sets outside the main groups, times these groups, that are looked up at once for each posting of the open lists; beyond it
@@ -358,14 +385,14 @@ def classes_and_groups(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFram
     spark = docs.sparkSession
     found = stash(scan(docs, join), "sets")
     rows = found.where("chunk is null").select("doc_id", "th", "id", "n")
+    signatures = found.where("chunk is null and n > 0").select("id", "n", "bits")
     classes = rarity(found.where("chunk is not null").select("chunk", "counts"))
     posted = stash(postings(docs, join, classes), "postings")
     index = blocked(posted, join)
-    drop(spark, posted)
 
     # each set against the leaders of its bands
     first = index.alias("x").where(f"id <> lead and {_fit(join, 'lead_size', 'lead_pos')}").select(F.col("id").alias("b"), F.col("lead").alias("a"))
-    bound = stash(bounds(first.distinct(), index, join), "bounds")
+    bound = bounds(first.distinct(), signatures, join)
     checked = verified(bound.where("likely").select("a", "b"), docs, rows, join)
     links = checked.where("linked").select("a", "b")
     group = groups(links)
@@ -384,7 +411,7 @@ def classes_and_groups(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFram
         near = [F.col("band").alias("near"), F.col("late").alias("near_late"), F.pmod(F.xxhash64("id"), F.lit(representatives))]
         chosen = lists.where("group = main").groupBy("token", *near).agg(F.min(F.struct("pos", "size", "id")).alias("y")).select("token", "near", "near_late", "y.*")
         pairs = _pairs(_outside(lists).alias("x").join(chosen.alias("y"), ["token", "near", "near_late"]).where(_fit(join)))
-        more = verified(bounds(pairs, index, join).where("likely").select("a", "b"), docs, rows, join).where("linked").select("a", "b")
+        more = verified(bounds(pairs, signatures, join).where("likely").select("a", "b"), docs, rows, join).where("linked").select("a", "b")
         links = links.unionByName(more)
         group = groups(links)
         representatives *= MORE
@@ -392,10 +419,10 @@ def classes_and_groups(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFram
 
     # a pair of different groups has at least one set outside the list's largest group: x
     y = lists.withColumnsRenamed({"band": "near", "late": "near_late"})
-    new = "x.group <> y.group and (y.group = y.main or x.id < y.id) and (x.pos = 0 or y.pos = 0 or x.prev <> y.prev)"
+    new = "x.group <> y.group and (y.group = y.main or x.id < y.id) and coalesce(x.prev <> y.prev, true)"
     derived = f"x.lead = y.lead and least(x.up + y.own, y.up + x.own) < {_needed('x.size', 'y.size', join)}"
     joined = _outside(lists).alias("x").join(y.alias("y"), ["token", "near", "near_late"]).where(f"{new} and {_fit(join)} and not coalesce({derived}, false)")
-    more = verified(bounds(_pairs(joined), index, join).where("likely").select("a", "b"), docs, rows, join).where("linked").select("a", "b")
+    more = verified(bounds(_pairs(joined), signatures, join).where("likely").select("a", "b"), docs, rows, join).where("linked").select("a", "b")
     return rows, groups(links.unionByName(more)) if not more.isEmpty() else group
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from packlens.llm import ngram_join
@@ -109,6 +110,15 @@ def test_derived_answers_keep_every_link(spark):
     assert run(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), join) == brute(rows, join)
 
 
+def test_bitmaps_never_overstate_a_difference():
+    r = random.Random(3)
+    for _ in range(300):
+        x = {r.getrandbits(64) for _ in range(r.choice((1, 5, 40, 700)))}
+        y = {v for v in x if r.random() < 0.9} | {r.getrandbits(64) for _ in range(r.choice((0, 1, 30, 900)))}
+        x, y = (np.array(sorted(v), np.uint64) for v in (x, y))
+        assert ngram_join.differing(ngram_join.bitmap(x), ngram_join.bitmap(y)) <= len(np.setxor1d(x, y))
+
+
 def test_small_sets(spark):
     """The smallest sets that another set can link with, and smaller ones."""
     join = Join(1, 80)
