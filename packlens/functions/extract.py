@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import compact, currency, found, is_address, key_text, line_of, normal_text, strip
+from .text import compact, currency, found, is_address, key_text, line_of, normal_text, settled, strip
 
 #: All attributes a declaration can have.
 ATTRIBUTES = (
@@ -234,6 +234,6 @@ def declarations(views: DataFrame, spatial: Callable[[str], Column | None] = lam
         made, placed = extractor(t), spatial(key)
         both = made if placed is None else F.coalesce(placed, made)
         columns.append(F.struct(F.lit(n).alias("key_no"), F.lit(key).alias("key"), both.alias("d")))
-    rows = views.withColumn("_text", normal_text(F.col("ocr_text")))
+    rows = settled(views, _text=normal_text(F.col("ocr_text")))
     rows = rows.select(*views.columns, F.explode(F.array(*columns)).alias("x")).where("x.d is not null")
     return rows.select(*views.columns, "x.key_no", "x.key", "x.d.*")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that make a text look like an address.
@@ -16,6 +16,20 @@ ADDRESS_WORDS = ("road", "rd", "street", "st", "sector", "phase", "industrial",
 LOCATORS = {"seam": "seal", "crimp": "seal", "base": "bottom", "cap": "top", "lid": "top", "neck": "top"}
 
 
+def settled(df: DataFrame, **made: Column) -> DataFrame:
+    """Adds columns that are worked out once for each row: a generator of one row keeps what follows from repeating them."""
+    row = F.explode(F.array(F.struct(*(c.alias(n) for n, c in made.items()))))
+    kept = [F.col(c) for c in df.columns if c not in made]
+    return df.select(*kept, row.alias("_settled")).select(*kept, *(F.col(f"_settled.{n}").alias(n) for n in made))
+
+
+def places(text: Column, pattern: str) -> Column:
+    """struct(at, said) of all matches of a pattern, in order: the lengths of what lies between and of the matches give the places."""
+    between, said = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    upto = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+    return F.transform(said, lambda m, i: F.struct((upto(between, i + 1) + upto(said, i)).alias("at"), m.alias("said")))
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end (``trim`` takes spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import ATTRIBUTES
-from ..functions.text import decimal, distinct_texts, plain_number
+from ..functions.text import decimal, distinct_texts, plain_number, settled
 
 
 def merge(primary: DataFrame, supplemental: DataFrame, *by: str) -> DataFrame:
@@ -53,9 +53,9 @@ def fuse(declarations: DataFrame, package: str = "package_id", order: str = "vie
         identity(F.col("key"), F.col("value"), F.col("attrs")).alias("same"), labelled(F.col("evidence"), F.col("attrs")).alias("said"),
     )
     rows = declarations.groupBy(package, "key").agg(F.collect_list(item).alias("_unsorted"))
-    rows = rows.withColumn("items", F.array_sort("_unsorted", lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)))
+    rows = settled(rows, items=F.array_sort("_unsorted", lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)))
     top = F.array_max(F.transform("items", lambda x: x["confidence"]))
-    rows = rows.withColumn("best", F.get(F.filter("items", lambda x: x["confidence"] == top), F.lit(0)))
+    rows = settled(rows, best=F.get(F.filter("items", lambda x: x["confidence"] == top), F.lit(0)))
 
     def all_of(get) -> Column:
         return distinct_texts(F.transform("items", get))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import LABELS
-from ..functions.text import decimal, word_chars
+from ..functions.text import decimal, settled, word_chars
 
 PROFILE = "IN-LMPC-physical-retail"
 
@@ -192,11 +192,14 @@ def _check(n: int, rule: Rule) -> Column:
 
 
 def facts_of(declarations: DataFrame, texts: DataFrame, contexts: DataFrame, package: str = "package_id") -> DataFrame:
-    """A row for each package of ``contexts``: its context, raw_text, and facts with a struct for each kind."""
+    """A row for each package of ``contexts``: its context, raw_text, and facts with a struct for each kind.
+
+    Of several facts of a kind (hints of several views) the least by value and evidence counts.
+    """
     columns = ["value", "evidence", "confidence", "attrs"]
     kinds = [*LABELS, "mrp_reference"]
     pivot = declarations.groupBy(package).agg(
-        *(F.first(F.when(F.col("key") == k, F.struct(*columns)), ignorenulls=True).alias(k) for k in kinds)
+        *(F.min(F.when(F.col("key") == k, F.struct(*columns))).alias(k) for k in kinds)
     )
     rows = contexts.join(texts, package, "left").join(pivot.select(package, F.struct(*kinds).alias("facts")), package, "left")
     return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in CONTEXT.items()}).withColumn(
@@ -206,9 +209,9 @@ def facts_of(declarations: DataFrame, texts: DataFrame, contexts: DataFrame, pac
 
 def judged(facts: DataFrame, package: str = "package_id") -> DataFrame:
     """(package, checks): the array of the ten checks of a package."""
-    rows = facts.withColumn("small_pack", small_package())
-    rows = rows.withColumn("checks", F.array(*(_check(n, r) for n, r in enumerate(RULES))))
-    short = word_chars(F.col("raw_text")) < 40
+    rows = settled(facts, small_pack=small_package(), short=word_chars(F.col("raw_text")) < 40)
+    rows = settled(rows, checks=F.array(*(_check(n, r) for n, r in enumerate(RULES))))
+    short = F.col("short")
 
     def final(x: Column) -> Column:
         doubt = short & (x["out"]["status"] == "fail")
@@ -227,7 +230,7 @@ def judged(facts: DataFrame, package: str = "package_id") -> DataFrame:
             x["out"]["percent"].alias("percent"),
         )
 
-    return rows.select(package, F.transform("checks", final).alias("checks"))
+    return settled(rows, checks=F.transform("checks", final)).select(package, "checks")
 
 
 def checks(facts: DataFrame, package: str = "package_id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import candidate, currency, full_year, month_number, piece_unit
-from ..functions.text import compact_label, decimal, joined_evidence
+from ..functions.text import compact_label, decimal, joined_evidence, settled
 
 #: Labels as they are read, without spaces.
 NET_LABELS, NET_MISREAD = ("netquantity", "netqty", "netweight", "netwt"), ("new", "newt", "netw", "netwt")
@@ -129,12 +129,11 @@ def spatial_fields(views: DataFrame) -> DataFrame:
     ``regions``: array of (id, text, confidence, x, y, w, h), shares of the page; blank ones are left out.
     """
     some = F.filter("regions", lambda r: r["text"].rlike(r"(?U)\S"))
-    rows = views.withColumn("_r", some).withColumns(
-        {
-            "_net": best_pair(F.col("_r"), net_strength, quantity_value, 0.16),
-            "_date": best_pair(F.col("_r"), date_strength, date_value, 0.18),
-            "_price": best_pair(F.col("_r"), price_strength, price_value, 0.16),
-        }
+    rows = settled(
+        settled(views, _r=some),
+        _net=best_pair(F.col("_r"), net_strength, quantity_value, 0.16),
+        _date=best_pair(F.col("_r"), date_strength, date_value, 0.18),
+        _price=best_pair(F.col("_r"), price_strength, price_value, 0.16),
     )
     net, date, price = F.col("_net"), F.col("_date"), F.col("_price")
     both = lambda b, base, k, v: base + k * b["label"]["confidence"] + v * b["value"]["confidence"]
@@ -146,13 +145,12 @@ def spatial_fields(views: DataFrame) -> DataFrame:
     taxed = F.exists("_r", lambda r: (distance(price["label"], r) <= 0.22) & _any(compact_label(r["text"]), TAX_LABELS))
     amount, unit = net["payload"]["a"], net["payload"]["b"]
     month, year = date["payload"]["a"], date["payload"]["b"]
-    return rows.withColumns(
-        {
-            "net_quantity": _found(net, F.concat_ws(" ", amount, unit), both(net, F.lit(0.82), 0.08, 0.08), amount=amount, unit=unit),
-            "month_year": _found(date, F.concat_ws("/", month, year), both(date, F.lit(0.80), 0.08, 0.09), month=month, year=year),
-            "mrp": _found(
-                price, F.concat_ws(" ", code, price["payload"]["a"]), both(price, F.when(code.isNotNull(), 0.84).otherwise(0.76), 0.06, 0.07),
-                amount=price["payload"]["a"], currency=code, tax_inclusive_phrase=F.coalesce(taxed, F.lit(False)),
-            ),
-        }
+    return settled(
+        rows,
+        net_quantity=_found(net, F.concat_ws(" ", amount, unit), both(net, F.lit(0.82), 0.08, 0.08), amount=amount, unit=unit),
+        month_year=_found(date, F.concat_ws("/", month, year), both(date, F.lit(0.80), 0.08, 0.09), month=month, year=year),
+        mrp=_found(
+            price, F.concat_ws(" ", code, price["payload"]["a"]), both(price, F.when(code.isNotNull(), 0.84).otherwise(0.76), 0.06, 0.07),
+            amount=price["payload"]["a"], currency=code, tax_inclusive_phrase=F.coalesce(taxed, F.lit(False)),
+        ),
     ).drop("_r", "_net", "_date", "_price")

@@ -88,13 +88,15 @@ union all select k, 11, ' ', 0.9, 0.1, 0.1, 0.1, 0.02 from ({_PRICED}) a"""
 REGIONS = f"""select k as package_id, o as region_ord, 'r' || cast(o as string) as id, text, cast(confidence as double) as confidence,
   cast(x as double) as x, cast(y as double) as y, cast(w as double) as w, cast(h as double) as h from ({_BOXES}) boxes"""
 
-#: Readings of a package's price: of each order line one, by its flags one of up to six families.
-READINGS = f"""select l_partkey as package_id, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) as obs_ord,
+#: Readings of a package's price: of each order line one, by its flags one of up to six families. An order's lines can share their
+#: number, so the order takes in what else tells lines apart. Some packages' seals are unreadable: nothing but unit rates and blanks.
+READINGS = f"""select l_partkey as package_id, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey,
+    l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) as obs_ord,
   l_returnflag || l_linestatus as family, 1 - l_discount as confidence,
-  case (l_orderkey + l_linenumber) % 9 when 0 then 'Rs.' || price when 1 then 'R5. ' || replace(price, '0', 'O') || '/-'
+  case when l_partkey % 27 = 18 and (l_orderkey + l_linenumber) % 9 not in (4, 6) then '' else case (l_orderkey + l_linenumber) % 9 when 0 then 'Rs.' || price when 1 then 'R5. ' || replace(price, '0', 'O') || '/-'
     when 2 then 'Re ' || price || ' (Rs.0.21 per g)' when 3 then price || ' (Rs. 0.21/ 9)' when 4 then 'Rs.0.21 per g'
     when 5 then (case when l_partkey % 4 = 1 then 'Rs ' || other_price else '₹' || price end) when 6 then ''
-    when 7 then 'INR:' || cast(cast(floor(paise / 100) as bigint) as string) else 'best before 12 months' end as text
+    when 7 then 'INR:' || cast(cast(floor(paise / 100) as bigint) as string) else 'best before 12 months' end end as text
 from {{lineitem}} join ({_PRICED}) p on p.k = l_partkey"""
 
 TABLES = ("part", "supplier", "lineitem")

@@ -286,6 +286,36 @@ where rank_no = 1 and (f2 is null or families > f2 or (families = f2 and votes >
   and (families >= 2 or votes >= 3 or (votes >= 2 and mean_confidence >= 0.86) or (votes = 1 and mean_confidence >= 0.96))"""
 
 
+_POINTS = f"(?i){recovery.POINTER}"
+
+
+def _places(name: str, pattern: str) -> str:
+    """Matches of a pattern in views that point somewhere: their number i, place and text."""
+    return f"""{name} as (select package_id, view_no, t, i, ms[i] as said,
+  cast(coalesce(list_sum(list_transform(string_split_regex(t, {q(pattern)})[1:i], lambda z: length(z))), 0)
+    + coalesce(list_sum(list_transform(ms[1:i - 1], lambda z: length(z))), 0) as bigint) as place
+  from (select *, unnest(range(1, len(ms) + 1)) as i from (select package_id, view_no, ocr_text as t,
+    regexp_extract_all(ocr_text, {q(pattern)}, 0) as ms from views where {has('ocr_text', _POINTS)})))"""
+
+
+def _around(before: int, after: int) -> str:
+    return f"substr(t, greatest(0, lb - {before}) + 1, le + {after} - greatest(0, lb - {before}))"
+
+
+_TAX = "(?i)" + recovery.TAX
+_APART = compact(f"{compact(_around(28, 110), 150)} || ' ... ' || {compact('said', 90)}", 260)
+REFERENCES = f"""{_places('direct', _POINTER)}, {_places('pointer', _POINTS)}, {_places('label', '(?i)' + recovery.LABEL)},
+near as (select p.package_id, p.view_no, p.t, p.i, p.said, l.place as lb, l.place + length(l.said) as le,
+    row_number() over (partition by p.package_id, p.view_no, p.i order by abs(l.place - p.place), l.place) as n
+  from pointer p join label l on l.package_id = p.package_id and l.view_no = p.view_no
+  where not exists (select 1 from direct d where d.package_id = p.package_id and d.view_no = p.view_no
+    and abs(d.place + length(d.said) - p.place - length(p.said)) <= 4)),
+said as (select package_id, view_no, 0 as apart, i, {group('said', _POINTER, 1)} as word, {compact('said', 260)} as evidence,
+    {has(compact('said', 260), _TAX)} as tax_inclusive_phrase from direct
+  union all select package_id, view_no, 1, i, {group('said', _POINTS, 1)}, {_APART}, {has(_around(180, 180), _TAX)} or {has(_APART, _TAX)} from near where n = 1),
+reference as (select package_id, view_no, apart, i, {_LOCATORS.format('lower(word)')} as locator, evidence, tax_inclusive_phrase from said
+  qualify row_number() over (partition by package_id, view_no, {_LOCATORS.format('lower(word)')} order by apart, i) = 1)"""
+
 WON = f"{PARSED}, votes as ({_votes('parsed', 'package_id')}), won as ({_won('votes', 'package_id')})"
 _WON_CONF = "least(0.96, greatest(0.68, 0.58 + 0.05 * families + 0.20 * mean_confidence))"
 
@@ -357,7 +387,58 @@ o as (select *, row_number() over (partition by package_id order by (currency is
 select package_id, text as best_text, attempts from o where n = 1"""
     SQL["direct_hints"] = f"with {VIEWS}, {HINTS} select * from hint"
     SQL["unresolved_reference"] = f"""with {VIEWS}, {HINTS}, {WON} select package_id, locator as value, evidence, 0.82::double as confidence from hint
-  where package_id not in (select package_id from won where package_id % 2 = 0)"""
+  where package_id not in (select package_id from won)"""
+    SQL["staged_price_fallback"] = f"""with {PARSED}, seen as (select p.*, s.stage from parsed p join (values (0), (1), (2)) s(stage) on ((obs_ord - 1) % 3 + 1) % 3 <= s.stage),
+votes as ({_votes('seen', 'package_id, stage')}), won as ({_won('votes', 'package_id, stage')})
+select package_id, stage::bigint as stage, currency, amount, families, votes from won qualify row_number() over (partition by package_id order by stage) = 1"""
+    SQL["reading_attempts"] = f"""with {WON} select p.package_id, obs_ord, family, p.currency, p.amount,
+  coalesce(p.currency = won.currency and p.amount = won.amount, false) as agrees from parsed p left join won on won.package_id = p.package_id"""
+    SQL["reference_hints"] = f"with {VIEWS}, {REFERENCES} select package_id, view_no, locator, evidence, tax_inclusive_phrase from reference"
+    SQL["recovery_outcome"] = f"""with {FUSED}, {TEXTS}, {REFERENCES}, {WON},
+h as (select * from reference qualify row_number() over (partition by package_id order by view_no, apart, i) = 1),
+agreeing as (select p.package_id, p.obs_ord, r.text from parsed p join won on won.package_id = p.package_id and p.currency = won.currency and p.amount = won.amount
+  join reading r on r.package_id = p.package_id and r.obs_ord = p.obs_ord qualify row_number() over (partition by p.package_id order by p.obs_ord) <= 4),
+added as (select package_id, '--- close-up ---' || chr(10) || string_agg(text, chr(10) || '---' || chr(10) order by obs_ord) as added_text from agreeing group by package_id),
+w as (select t.package_id, h.locator, h.tax_inclusive_phrase as tax, f.confidence, f.currency, f.amount, f.tax_inclusive_phrase as own_tax,
+    coalesce(f.currency = 'INR' and f.amount <> '', false) as complete, h.package_id is not null as explicit from texts t left join h on h.package_id = t.package_id
+  left join fused f on f.package_id = t.package_id and f.key = 'mrp' where h.package_id is not null
+    or not coalesce(f.currency = 'INR' and f.amount <> '', false) and {has('raw_text', f'(?i){recovery.LABEL}|{recovery.TAX}')}),
+o as (select w.*, won.amount as won_amount, {_WON_CONF} as won_confidence, case when complete and coalesce(tax, false) and coalesce(own_tax, '') <> 'true' then 'enriched'
+    when complete then 'kept' when won.package_id is not null then 'recovered' when explicit then 'unresolved' else 'nothing' end as outcome
+  from w left join won on won.package_id = w.package_id)
+select o.package_id, outcome, case outcome when 'recovered' then 'INR ' || won_amount when 'unresolved' then locator when 'nothing' then null else concat_ws(' ', currency, amount) end as value,
+  round(case outcome when 'enriched' then least(0.96, greatest(confidence, 0.90)) when 'kept' then confidence when 'recovered' then won_confidence when 'unresolved' then 0.82 end, 6) as confidence,
+  case when outcome = 'recovered' then added_text end as added_text from o left join added on added.package_id = o.package_id"""
+    SQL["spatial_first"] = f"""with {DECLARATIONS}, placed as (
+  {" union all ".join(f"select package_id, '{k}' as key, value, evidence, confidence from ({SQL[f'spatial_{k}']}) {k}_s" for k in ('net_quantity', 'month_year', 'mrp'))})
+select package_id, key, value, evidence, confidence, 'spatial_label_value' as extraction_strategy from placed
+union all select package_id, key, value, evidence, round(confidence, 6), null from decl
+where view_no = 1 and not exists (select 1 from placed where placed.package_id = decl.package_id and placed.key = decl.key)"""
+    SQL["evidence_facts"] = f"with {FUSED} select package_id, key, value, evidence, round(confidence, 6) as confidence, n_views from fused where key <> 'consumer_care'"
+    SQL["crop_nms"] = f"""with recursive c as ({fixtures.plain(fixtures.CROPS)}), o as (select *, row_number() over (partition by package_id order by score desc, ord) as n from c),
+both_ as (select a.package_id, a.n, b.n as m, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) as shared,
+    a.w * a.h + b.w * b.h as areas from o a join o b on a.package_id = b.package_id and b.n < a.n),
+hit as (select package_id, n, list(m) as hits from both_ where shared / (areas - shared)::double >= 0.6 group by package_id, n),
+step as (select o.package_id, o.n, o.label, coalesce(hits, []) as hits from o left join hit on hit.package_id = o.package_id and hit.n = o.n),
+kept as (select distinct package_id, 0::bigint as n, []::bigint[] as ns, ''::varchar as labels from c
+  union all select k.package_id, s.n, case when len(k.ns) >= 3 or list_has_any(s.hits, k.ns) then k.ns else list_append(k.ns, s.n) end,
+    case when len(k.ns) >= 3 or list_has_any(s.hits, k.ns) then k.labels when k.labels = '' then s.label else k.labels || ',' || s.label end
+  from kept k join step s on s.package_id = k.package_id and s.n = k.n + 1)
+select package_id, labels as kept from kept qualify row_number() over (partition by package_id order by n desc) = 1"""
+    SQL["attention_tiles"] = """with p as (select p_partkey as package_id, cast(100 + p_partkey * 13 % 3000 as integer) as line_width from part),
+w as (select *, cast(least(greatest(320, least(680, round_even(line_width * 0.36::double, 0))), line_width) as integer) as w from p where line_width >= 420),
+s as (select *, cast(greatest(160, round_even(w * 0.55::double, 0)) as integer) as step, line_width - w as last from w),
+t as (select *, list_sort(list_distinct(list_append(range(0, last + 1, step), last))) as starts from s),
+k as (select *, case when len(starts) <= 5 then starts else list_sort(list_distinct(list_transform([0, 1, 2, 3, 4],
+    lambda i: starts[cast(round_even(i * (len(starts) - 1) / 4.0::double, 0) as integer) + 1]))) end as picked from t),
+e as (select *, unnest(range(1, len(picked) + 1)) as n from k)
+select package_id, line_width, n - 1 as n, picked[n]::bigint as start, w::bigint as w from e"""
+    text = lambda name, c: f"""case when {c} is null then '' else '"{name}":' || cast(to_json({c}) as varchar) || ',' end"""
+    SQL["report_json"] = f"""with {SUMMARY}, body as (select package_id, string_agg('{{"rule_ord":' || rule_ord || ',"rule_id":"' || rule_id || '","key":"' || rule_key || '","weight":' || weight
+  || ',"applicability":"' || applicability || '","status":"' || status || '",' || {text('value', 'shown')} || {text('evidence', 'said')} || '"confidence":' || cast(to_json(confidence::double) as varchar)
+  || ',"message_code":"' || message_code || '","percent":' || percent || '}}', ',' order by rule_ord) as checks from checks group by package_id)
+select s.package_id, '{{"package_id":' || s.package_id || ',"summary":{{' || {text('score', 'score')} || '"status":"' || s.status || '","passed":' || passed || ',"warnings":' || warnings
+  || ',"failed":' || failed || ',"not_applicable":' || not_applicable || '}},"checks":[' || body.checks || ']}}' as report from summary s join body on body.package_id = s.package_id"""
     SQL["recovery_plan"] = f"""with {DECLARATIONS}, {HINTS}, m as (select * from decl where key = 'mrp' and view_no = 1)
 select hint.package_id, not coalesce(m.currency = 'INR' and m.amount <> '', false) as needs_recovery,
   case when coalesce(m.currency = 'INR' and m.amount <> '', false) and hint.tax_inclusive_phrase and coalesce(m.tax_inclusive_phrase, '') <> 'true'

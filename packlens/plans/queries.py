@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
+from ..functions.text import settled
 from ..operators import fusion, recovery, rules, spatial, vision
 from ..sources import ingest, report
 from . import fixtures
@@ -32,7 +31,7 @@ SHOWN = {
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.derive(spark, sf_dir, fixtures.VIEWS)
+    return settled(fixtures.derive(spark, sf_dir, fixtures.VIEWS), ocr_text=F.col("ocr_text"))
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +46,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.derive(spark, sf_dir, fixtures.READINGS)
+    return settled(fixtures.derive(spark, sf_dir, fixtures.READINGS), text=F.col("text"))
 
 
 def all_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +61,7 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views that point to a price elsewhere, with their direct hint."""
-    seal = views(spark, sf_dir).withColumn("hint", recovery.direct_hint(F.col("ocr_text")))
+    seal = settled(views(spark, sf_dir), hint=recovery.direct_hint(F.col("ocr_text")))
     return seal.where("hint is not null").select("package_id", "view_no", "hint.*")
 
 
@@ -80,8 +79,8 @@ def _conf(c: str | Column) -> Column:
 
 def _extractor(key: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = views(spark, sf_dir).withColumn("normal", text.normal_text(F.col("ocr_text")))
-        rows = rows.withColumn("d", extract.EXTRACTORS[key](F.col("normal"))).where("d is not null")
+        rows = settled(views(spark, sf_dir), normal=text.normal_text(F.col("ocr_text")))
+        rows = settled(rows, d=extract.EXTRACTORS[key](F.col("normal"))).where("d is not null")
         shown = [F.col(f"d.attrs.{a}").alias(a) for a in SHOWN[key].split()]
         return rows.select("package_id", "view_no", "d.value", "d.evidence", _conf("d.confidence"), *shown)
 
@@ -100,7 +99,8 @@ def address_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def emails_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ascii_only = extract.EMAIL.replace("(?iU)", "(?i)")
-    return docs.select("doc_id", text.found(F.col("text"), ascii_only, 0).alias("email")).where("email is not null")
+    some = docs.where(F.contains("text", F.lit("@")))
+    return settled(some.select("doc_id", "text"), email=text.found(F.col("text"), ascii_only, 0)).where("email is not null").select("doc_id", "email")
 
 
 def combined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +216,7 @@ def finding_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readings(spark, sf_dir).select("package_id", "obs_ord", recovery.price_in(F.col("text")).alias("p")).select("package_id", F.col("obs_ord").cast("long").alias("obs_ord"), "p.*")
+    return settled(readings(spark, sf_dir), p=recovery.price_in(F.col("text"))).select("package_id", F.col("obs_ord").cast("long").alias("obs_ord"), "p.*")
 
 
 def vote_price(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,10 +228,67 @@ def consensus_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.winner_facts(_won(spark, sf_dir)).select("package_id", "value", _conf("confidence"), "votes", "families")
 
 
+def _staged(spark: SparkSession, sf_dir: str, stages: tuple[str, ...]) -> DataFrame:
+    """Readings dealt to three stages; ``stage`` is the place of the stage that settled the price."""
+    names = F.array(*(F.lit(s) for s in recovery.EXPLICIT))
+    rows = readings(spark, sf_dir).withColumn("stage", F.get(names, ((F.col("obs_ord") - 1) % 3).cast("int")))
+    won = recovery.by_stage(rows, stages)
+    at = F.array_position(F.array(*(F.lit(s) for s in stages)), F.col("stage")) - 1
+    return won.select("package_id", at.alias("stage"), "currency", "amount", "families", "votes")
+
+
 def staged_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings in three stages; the first stage with a consensus counts."""
-    rows = readings(spark, sf_dir).withColumn("stage", (F.col("obs_ord") - 1) % 3)
-    return recovery.by_stage(rows).select("package_id", F.col("stage").cast("long").alias("stage"), "currency", "amount", "families", "votes")
+    """The first stage with a consensus counts, in the order that follows an explicit hint."""
+    return _staged(spark, sf_dir, recovery.EXPLICIT)
+
+
+def staged_price_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in the order that follows a look at the image without a hint."""
+    return _staged(spark, sf_dir, recovery.FALLBACK)
+
+
+def reading_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading, what it says, and whether it agrees with the price that won."""
+    rows = recovery.attempts(readings(spark, sf_dir), _won(spark, sf_dir))
+    return rows.select("package_id", F.col("obs_ord").cast("long").alias("obs_ord"), "family", "currency", "amount", "agrees")
+
+
+def recovery_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovery from end to end: packages with a hint, or without one but with words of a price and no complete price."""
+    read = all_declarations(spark, sf_dir)
+    price = fusion.fuse(read.where("key = 'mrp'")).select("package_id", F.struct("confidence", "attrs").alias("price"))
+    hints = recovery.hints(views(spark, sf_dir)).groupBy("package_id").agg(F.min(F.struct("view_no", "hint_ord", "locator", "evidence", "tax_inclusive_phrase")).alias("hint"))
+    texts = fusion.combined_text(views(spark, sf_dir))
+    rows = texts.join(hints, "package_id", "left").join(price, "package_id", "left")
+    no_crops = F.array().cast("array<struct<label:string,score:double>>")
+    looked = recovery.visual_fallback(F.col("hint").isNotNull().cast("int"), F.col("price"), F.col("raw_text"), no_crops)
+    wanted = rows.where(F.col("hint").isNotNull() | looked).select("package_id", "hint.locator", "hint.evidence", "hint.tax_inclusive_phrase", "price")
+    done = recovery.recovered(wanted, _won(spark, sf_dir), readings(spark, sf_dir))
+    return done.select("package_id", "outcome", "value", _conf("confidence"), "added_text")
+
+
+def spatial_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of a package's front, whose regions are known: a value found by place goes before one found in the text."""
+    page = spatial.spatial_fields(regions(spark, sf_dir)).drop("regions")
+    kinds = ("net_quantity", "month_year", "mrp")
+    placed = page.select("package_id", *(F.col(k).getField("d").alias(f"_{k}") for k in kinds))
+    front = views(spark, sf_dir).where("view_no = 1").join(placed, "package_id")
+    rows = extract.declarations(front, lambda key: F.col(f"_{key}") if key in kinds else None)
+    return rows.select("package_id", "key", "value", "evidence", _conf("confidence"), F.col("attrs.extraction_strategy").alias("extraction_strategy"))
+
+
+def evidence_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations sent as JSON, taken in again and fused: the same facts as without the detour."""
+    sent = all_declarations(spark, sf_dir).withColumn("attributes", F.from_json(F.to_json("attrs"), "map<string,string>"))
+    item = F.struct("key", "value", "evidence", "confidence", "attributes")
+    images = sent.groupBy("package_id", "view_no", "image_id", "file_name").agg(F.collect_list(item).alias("declarations"))
+    image = F.struct("view_no", "image_id", "file_name", "declarations")
+    ordered = F.array_sort(F.collect_list(image), lambda a, b: a["view_no"] - b["view_no"])
+    requests = images.groupBy("package_id").agg(ordered.alias("images"))
+    taken = ingest.evidence_declarations(ingest.evidence(requests.select("package_id", F.to_json(F.struct("images")).alias("json"))))
+    attrs = extract.attributes(**{a: F.col("attributes")[a] for a in extract.ATTRIBUTES})
+    rows = fusion.fuse(taken.withColumn("attrs", attrs)).where("key <> 'consumer_care'")
+    return rows.select("package_id", "key", "value", "evidence", _conf("confidence"), F.col("n_views").cast("long").alias("n_views"))
 
 
 def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,37 +383,6 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.documents(rules.judged(known), rules.summary(known))
 
 
-def _raster(key: int, size: int) -> bytes:
-    """A label of 320 x 180 pixels: light ground, a dark band with print on it whose height and place follow the key."""
-    r = np.random.default_rng(key)
-    gray = r.integers(170, 240, (180, 320)).astype(np.uint8)
-    if key % 7:
-        y, h = 40 + key % 60, 8 + size % 24
-        gray[y : y + h, 10 : 200 + key % 110] = r.integers(20, 70, (h, 190 + key % 110))
-        gray[y + h // 2, 30 : 150 : 3] = 150
-    return gray.tobytes()
-
-
-def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An image of each package's seal, drawn from the columns of its part."""
-
-    @F.pandas_udf("binary")
-    def draw(key: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([_raster(int(k), int(s)) for k, s in zip(key, size, strict=True)])
-
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.select(F.col("p_partkey").alias("package_id"), F.lit(320).alias("width"), F.lit(180).alias("height"), draw("p_partkey", "p_size").alias("gray"))
-
-
-def seal_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vision.crops(_rasters(spark, sf_dir)).withColumn("score", F.round("score", 6))
-
-
-def variant_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = vision.variants(_rasters(spark, sf_dir))
-    return made.select("package_id", "name", "family", "x", "y", "w", "h", F.length("png").cast("long").alias("png_bytes"))
-
-
 QUERIES: dict[str, Query] = {
     **{f"x_{key}": _extractor(key) for key in extract.EXTRACTORS},
     "spatial_net_quantity": _spatial("net_quantity", "amount", "unit"),
@@ -369,7 +395,8 @@ QUERIES: dict[str, Query] = {
             fuse_consumer_care, merge_supplemental, rule_applicability, unit_basis, checks, usp_arithmetic, summary, score_tone,
             rule_profile, evidence_regions, finding_regions, parse_price, vote_price, consensus_price, staged_price,
             best_readings, reference_hints, direct_hints, unresolved_reference, recovery_plan, crop_nms, crop_select,
-            attention_tiles, remap_polygon, payload_regions, report_json, seal_crops, variant_plan,
+            attention_tiles, remap_polygon, payload_regions, report_json, staged_price_fallback, reading_attempts, recovery_outcome,
+            spatial_first, evidence_facts,
         )
     },
 }

@@ -20,11 +20,11 @@ def read_views(spark: SparkSession, path: str) -> DataFrame:
 
 
 def keep_declarations(views: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Writes the declarations of arriving views to a Parquet table, each once; ends when all there is has been read."""
-    rows = extract.declarations(views.dropDuplicates(["package_id", "view_no"]))
+    """Writes the declarations of arriving views to a Parquet table; ends when all there is has been read. No state is kept."""
+    rows = extract.declarations(views)
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(table)
 
 
 def facts(spark: SparkSession, table: str) -> DataFrame:
-    """The facts of all packages so far."""
-    return fusion.fuse(spark.read.parquet(table))
+    """The facts of all packages so far; a view that came more than once counts once."""
+    return fusion.fuse(spark.read.parquet(table).dropDuplicates(["package_id", "view_no", "key"]))

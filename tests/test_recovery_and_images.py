@@ -1,6 +1,7 @@
 """Close-ups: hints, prices in noisy readings, votes, crops, renderings, payloads and files."""
 
 import json
+import re
 import struct
 import zlib
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from packlens.functions.text import places
 from packlens.operators import recovery, spatial, vision
 from packlens.plans import queries
 from packlens.sources import ingest, report
@@ -34,12 +36,29 @@ def test_prices(spark, reading, price):
     assert (got or None) == price
 
 
-def test_hints():
-    hints = recovery.hints_in
-    assert [h[0].lower() for h in hints("For MRP, batch and date see under the seal")] == ["seal"]
-    direct, apart = hints("MRP incl. of all taxes: refer to cap.\n" + "x " * 200 + "see on the bottom")
-    assert (direct[0], direct[2], apart[0], apart[2]) == ("cap", True, "bottom", True)
-    assert hints("see under the seal") == [] and hints(None) == []
+def test_hints(spark):
+    kind = "package_id long, view_no int, ocr_text string"
+    rows = [
+        (1, 1, "For MRP, batch and date see under the seal"),
+        (2, 1, "MRP incl. of all taxes: refer to cap.\n" + "x " * 200 + "see on the bottom"),
+        (3, 1, "see under the seal"), (4, 1, None), (5, 1, ""),
+        (6, 1, "😀 see the lid 😀" + "y" * 300 + " M.R.P. 60 incl. of all taxes " + "z" * 300 + "MRP 5"),
+    ]
+    got = recovery.hints(spark.createDataFrame(rows, kind)).orderBy("package_id", "hint_ord").collect()
+    assert [(r["package_id"], r["locator"], r["tax_inclusive_phrase"]) for r in got] == [
+        (1, "seal", False), (2, "top", True), (2, "bottom", True), (6, "top", True),
+    ]
+    assert got[0]["evidence"] == "For MRP, batch and date see under the seal" and got[2]["evidence"].endswith("... see on the bottom")
+    assert " M.R.P. 60 incl. of all taxes z" in got[3]["evidence"] and got[3]["evidence"].endswith("... see the lid")
+    assert recovery.hints(spark.createDataFrame([], kind)).collect() == []
+
+
+def test_places_are_those_of_the_pattern(spark):
+    texts = ["", "ab", "xabyabz 😀ab", "abab", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", places(F.col("t"), "ab").alias("p"))
+    for r in df.collect():
+        want = None if r["t"] is None else [(m.start(), m[0]) for m in re.finditer("ab", r["t"])]
+        assert (None if r["p"] is None else [(x["at"], x["said"]) for x in r["p"]]) == want
 
 
 def test_hints_once_for_each_place(spark):
@@ -58,8 +77,14 @@ def test_consensus(spark):
     df = spark.createDataFrame(rows, "package_id long, obs_ord int, family string, text string, confidence double")
     won = {r["package_id"]: r["amount"] for r in recovery.consensus(recovery.votes(df)).collect()}
     assert won == {1: "60", 3: "60"}
-    staged = recovery.by_stage(df.withColumn("stage", F.when(F.col("obs_ord") <= 2, 0).otherwise(1))).collect()
+    dealt = df.withColumn("stage", F.when(F.col("obs_ord") <= 2, 0).otherwise(1))
+    staged = recovery.by_stage(dealt, (0, 1)).collect()
     assert {(r["package_id"], r["stage"]) for r in staged} == {(1, 0), (3, 0)}
+    # the other stage first: two sure readings settle 1 there, and nobody else has readings in it that do
+    other = recovery.by_stage(dealt, (1, 0)).collect()
+    assert {(r["package_id"], r["stage"], r["amount"]) for r in other} == {(1, 1, "50"), (3, 0, "60")}
+    tried = recovery.attempts(df, recovery.consensus(recovery.votes(df))).where("package_id = 1").orderBy("obs_ord").collect()
+    assert [(r["amount"], r["agrees"]) for r in tried] == [("60", True), ("60", True), ("50", False), ("50", False)]
     assert recovery.votes(df.limit(0)).collect() == []
 
 
@@ -92,33 +117,41 @@ def test_suppression_and_choice(spark):
     assert [r["n"] for r in one] == [2, 0]
 
 
-def label(band=True):
-    r = np.random.default_rng(1)
-    gray = r.integers(170, 240, (902, 1600)).astype(np.uint8)
-    if band:
-        gray[343:433, 60:1500] = r.integers(20, 70, (90, 1440))
-        gray[380:396, 300:900:4] = 160
-    return gray
-
-
-def test_seal_is_found():
-    (name, x, y, w, h, score), *_ = vision.seal_crops(label())
-    assert name.startswith("seal-row") and abs(y - 343) < 20 and abs(h - 90) < 40 and w > 1300 and score > 0.3
-    assert vision.seal_crops(label(False))[0][0] == "seal-middle-fallback"
-    made = list(vision.renderings(label(), (x, y, w, h)))
-    assert [m[:2] for m in made] == list(vision.WIDE)
-    for _, _, image, place in made:
-        assert image.dtype == np.uint8 and image.shape[1] <= 4200 and place[2] > 0
-
-
-def test_png_and_turning():
+def test_recovery_from_end_to_end(spark):
+    readings = [(1, 1, "a", "Rs 60", 0.7), (1, 2, "b", "Rs.60.00", 0.7), (1, 3, "a", "", 0.1), (4, 1, "a", "Rs 9", 0.1)]
+    readings = spark.createDataFrame(readings, "package_id long, obs_ord int, family string, text string, confidence double")
+    price = lambda code, amount, tax: (0.8, {"currency": code, "amount": amount, "tax_inclusive_phrase": tax})
+    kind = (
+        "package_id long, locator string, evidence string, tax_inclusive_phrase boolean,"
+        " price struct<confidence double, attrs struct<currency string, amount string, tax_inclusive_phrase string>>"
+    )
+    rows = [
+        (1, "seal", "MRP see seal", True, None),  # a consensus
+        (2, "seal", "MRP see seal", True, price("INR", "5", "false")),  # complete, only the hint has the tax phrase
+        (3, "seal", "MRP see seal", False, price("INR", "5", "false")),  # complete
+        (4, "top", "MRP see lid", False, price(None, "5", "true")),  # readings without a consensus
+        (5, None, None, None, None),  # a look without a hint
+    ]
+    won = recovery.consensus(recovery.votes(readings))
+    got = {r["package_id"]: r for r in recovery.recovered(spark.createDataFrame(rows, kind), won, readings).collect()}
+    assert {k: (r["outcome"], r["value"]) for k, r in got.items()} == {
+        1: ("recovered", "INR 60"), 2: ("enriched", "INR 5"), 3: ("kept", "INR 5"), 4: ("unresolved", "top"), 5: ("nothing", None),
+    }
+    assert (got[2]["confidence"], got[3]["confidence"], got[4]["confidence"]) == (0.9, 0.8, 0.82)
+    assert got[1]["added_text"] == "--- close-up ---\nRs 60\n---\nRs.60.00" and got[4]["added_text"] is None
+
+
+def png(gray):
+    """A grey PNG."""
+    height, width = gray.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), gray], axis=1).tobytes()
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows, 1)) + part(b"IEND", b"")
+
+
+def test_turning():
     gray = np.arange(12, dtype=np.uint8).reshape(3, 4)
-    data = vision.png(gray)
-    width, height = struct.unpack(">II", data[16:24])
-    at = data.index(b"IDAT")
-    size = int.from_bytes(data[at - 4 : at], "big")
-    rows = np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + size]), np.uint8).reshape(height, width + 1)[:, 1:]
-    assert (rows == gray).all()
     assert vision.upright(gray, 6).tolist() == np.rot90(gray, -1).tolist() and vision.upright(gray, 1) is not None
     tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 1) + struct.pack("<HHII", 0x0112, 3, 1, 6)
     app1 = b"Exif\0\0" + tiff
@@ -128,7 +161,7 @@ def test_png_and_turning():
 
 def test_images_from_files(spark, tmp_path):
     (tmp_path / "p1").mkdir()
-    (tmp_path / "p1" / "a.png").write_bytes(vision.png(label()[::4, ::4]))
+    (tmp_path / "p1" / "a.png").write_bytes(png(np.full((226, 400), 200, np.uint8)))
     (tmp_path / "p1" / "b.png").write_bytes(b"no image")
     rows = {r["path"].rpartition("/")[2]: r for r in vision.read_rasters(spark, str(tmp_path)).collect()}
     assert (rows["a.png"]["width"], rows["a.png"]["height"]) == (400, 226) and rows["b.png"]["width"] is None
@@ -154,6 +187,21 @@ def test_recognition_plug_in(spark):
     assert [(p["x"], p["y"]) for p in r["polygon"]] == [(0.0, 0.01), (0.5, 1.0)]
 
 
+def test_lines_without_a_detector(spark):
+    def engine():
+        def read(image):
+            if image == b"bad":
+                raise ValueError("unreadable")
+            return "Rs 60", 0.9
+
+        return read
+
+    rows = [(1, bytearray(b"ok"), 8), (2, bytearray(b"ok"), 7), (3, bytearray(b"bad"), 20), (4, None, 20), (5, bytearray(b"ok"), None)]
+    df = spark.createDataFrame(rows, "image_id long, png binary, height int")
+    got = vision.recognise_lines(df, engine, "image_id").orderBy("image_id").collect()
+    assert [(r["text"], r["reject_reason"]) for r in got] == [("Rs 60", None), ("", None), ("", "ValueError: unreadable"), ("", None), ("", None)]
+
+
 def test_windows(spark):
     df = spark.createDataFrame([(w,) for w in (100, 419, 420, 900, 1600, 4000)], "w int")
     for r in df.select("w", vision.windows(F.col("w")).alias("t")).collect():
