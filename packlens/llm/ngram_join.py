@@ -324,7 +324,8 @@ def bounds(pairs: DataFrame, signatures: DataFrame, join: Join) -> DataFrame:
     """
     pairs = stash(pairs, "candidates")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    own = signatures.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    # copies meet in partial aggregates before anything is dealt by set
+    own = signatures.groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).join(ids, "id", "left_semi")
     own = stash(own, "signatures")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
