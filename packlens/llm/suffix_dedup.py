@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BROADCAST_ROWS, drop, stash, whole_text
+from . import common
+from .common import drop, stash, whole_text
 
 #: Contexts of one entry that one task compares at most; contexts of short lists that are compared at once, about.
 LIST, TOGETHER = 16_384, 2048
@@ -357,7 +358,7 @@ def _per_text(rows: DataFrame, *columns: str, merge: bool = False) -> DataFrame:
         grouped = grouped.mapInArrow(_merged, grouped.schema)
     grouped = stash(grouped, "texts")
     total = grouped.agg(F.count("*"), F.sum(F.size("at"))).first()
-    return F.broadcast(grouped) if total[0] <= BROADCAST_ROWS and (total[1] or 0) <= 4 * BROADCAST_ROWS else grouped
+    return F.broadcast(grouped) if total[0] <= common.BROADCAST_ROWS and (total[1] or 0) <= 4 * common.BROADCAST_ROWS else grouped
 
 
 def _merged(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,13 @@
 
 A rule is (host, path, action) and fits its host and all subdomains of it if the URL's path starts with the rule's.
 Each distinct URL is expanded into expressions: every suffix of its host (whole labels) with every prefix of its path whose length some rule
-has. Expressions and rules are equi-joined on the first 32 bits of their SHA-256; the full digests confirm; the
-longest rule wins (host and path together), then the longer host, then block before allow.
+has. Expressions are equi-joined with the rules on the first 32 bits of their SHA-256, which gives the rules of that prefix; among them
+the full digest confirms. The longest rule wins (host and path together), then the longer host, then block before allow.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, which no rule fits; rules with a null
-or empty host are ignored, a null path is empty; rules that repeat count once; further columns pass through (names
-starting with ``_u_`` are reserved). The rules are broadcast only if counted within the bound.
+or empty host are ignored, a null path is empty; rules that repeat count once; empty tables give empty tables or no fits; further columns
+pass through (names starting with ``_u_`` are reserved; columns named host, path, rule or verdict are replaced). The rules are
+broadcast only if counted within the bound.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import small
 
 
 def host_of(url: Column) -> Column:
@@ -36,27 +37,22 @@ def _prefix(digest: Column) -> Column:
 
 
 def prepared(rules: DataFrame) -> DataFrame:
-    """(_u_prefix, _u_digest, rule, action, _u_rank) of each rule."""
+    """(_u_prefix, _u_rules): the rules (digest, rank, rule, action) of each digest prefix; more than one only where digests share it."""
     host, path = F.col("host"), F.coalesce("path", F.lit(""))
     digest = _digest(host, path)
     length = F.length(host) + F.length(path)
     block = (F.col("action") == "block").cast("int")
-    return (
-        rules.where((host != "") & F.col("action").isNotNull())
-        .select("action", F.concat(host, path).alias("rule"), digest.alias("_u_digest"),
-                F.struct(length.alias("a"), F.length(host).alias("b"), block.alias("c")).alias("_u_rank"))
-        .distinct()
-        .withColumn("_u_prefix", _prefix(F.col("_u_digest")))
-    )
+    rank = F.struct(length.alias("a"), F.length(host).alias("b"), block.alias("c"))
+    rows = rules.where((host != "") & F.col("action").isNotNull())
+    rows = rows.select(_prefix(digest).alias("_u_prefix"), F.struct(digest.alias("digest"), rank.alias("rank"), F.concat(host, path).alias("rule"), "action").alias("_u_rule"))
+    return rows.groupBy("_u_prefix").agg(F.collect_set("_u_rule").alias("_u_rules"))
 
 
 def filter_urls(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """Adds host, path, rule (null if none fits) and verdict to the rows of ``urls`` (a column ``url``)."""
-    ready = prepared(rules)
+    ready = small(prepared(rules))
     # the lengths of rule paths: few, as a path has no more characters than a URL
     lengths = [r[0] for r in rules.select(F.length(F.coalesce("path", F.lit("")))).distinct().collect()]
-    if ready.count() <= BROADCAST_ROWS:
-        ready = F.broadcast(ready)
     url = F.col("url")
     labels = F.split("_u_host", r"\.")
     n = F.size(labels)
@@ -71,10 +67,11 @@ def filter_urls(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         .select("_u_url", F.explode(suffixes).alias("h"), prefixes.alias("p"))
         .select("_u_url", "h", F.explode("p").alias("p"))
         .select("_u_url", _digest(F.col("h"), F.col("p")).alias("_u_full"))
-        .withColumn("_u_key", _prefix(F.col("_u_full")))
-        .join(ready, (F.col("_u_key") == F.col("_u_prefix")) & (F.col("_u_full") == F.col("_u_digest")))
+        .withColumn("_u_prefix", _prefix(F.col("_u_full")))
+        .join(ready, "_u_prefix")
+        .select("_u_url", F.explode(F.filter("_u_rules", lambda r: r["digest"] == F.col("_u_full"))).alias("r"))
         .groupBy("_u_url")
-        .agg(F.max(F.struct("_u_rank", "rule", "action")).alias("_u_best"))
+        .agg(F.max(F.struct("r.rank", "r.rule", "r.action")).alias("_u_best"))
     )
     out = urls.join(hits, url == F.col("_u_url"), "left")
     return out.withColumns(
