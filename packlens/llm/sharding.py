@@ -5,7 +5,8 @@ The key is (60 bits of the text's digest, doc_id), so that equal texts are neigh
 are range-partitioned by them; ranges measured as overfull are subdivided by a further sample from within. Exact sums
 of the ranges then place each record: its shard is the part of all bytes before it.
 
-Only the boundaries and the ranges' sums reach the driver: as many as ``ranges``, whatever the input.
+Only the sampled keys, the boundaries and the ranges' sums reach the driver; a range has about ``RANGE_BYTES`` of records, of which
+narrow rows without text are sorted in one task.
 
 Defined results: a null text counts as an empty one (8 bytes), rows that repeat are placed one after the other, null
 doc_ids come first within equal texts, an empty table gives an empty table. Further columns pass through (names starting with
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import stash, whole_text
 
+#: Bytes of records that a range has on average, and the fewest ranges.
+RANGE_BYTES, RANGES = 4 << 30, 192
 #: Bytes of a record beside its text.
 OVERHEAD = 8
 
@@ -58,11 +61,11 @@ def _quantiles(sample: list[tuple], parts: int) -> list[tuple]:
 
 
 def assign(
-    docs: DataFrame, shards: int, ranges: int = 192, per_range: int = 24, rounds: int = 3, columns: list[str] | None = None
+    docs: DataFrame, shards: int, ranges: int | None = None, per_range: int = 24, rounds: int = 3, columns: list[str] | None = None
 ) -> DataFrame:
     """Adds size, text_crc32, shard and slot (place in the shard, from 0) to each row.
 
-    ``ranges``: how many ranges the records are dealt to; raise it with the number of tasks that shall share the work.
+    ``ranges``: how many ranges the records are dealt to, by default one for each ``RANGE_BYTES``, ``RANGES`` at least.
     ``per_range``: sampled keys for each. ``rounds``: times that overfull ranges are subdivided. ``columns``: those of
     ``docs`` to keep, all by default; a text that isn't kept doesn't move.
     """
@@ -79,6 +82,8 @@ def assign(
     keep = [c for c in (docs.columns if columns is None else columns) if c not in ("size", "text_crc32", "shard", "slot")]
     rows = rows.select(*keep, "size", "text_crc32", "_s_key", "_s_id")
     narrow = stash(rows.select("_s_key", "_s_id", "size"), "sizes")
+    if ranges is None:
+        ranges = max(RANGES, -(-(narrow.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
     splitters = _quantiles(_sample(narrow, ranges * per_range), ranges)
     for _ in range(rounds):
         sums = narrow.groupBy(_range_of(splitters).alias("r")).agg(
@@ -131,7 +136,7 @@ def with_slots(placed: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(first), "shard").withColumn("slot", (F.col("_s_row") - F.col("_s_first")).cast("long")).drop("_s_row", "_s_first")
 
 
-def shard(docs: DataFrame, shards: int = 24, ranges: int = 192, columns: list[str] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, ranges: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """``docs`` with size, text_crc32, shard and slot."""
     return with_slots(assign(docs, shards, ranges, columns=columns))
 
