@@ -2,7 +2,8 @@
 
 A document's ids are counted in ``DIMENSIONS`` hashed bins (square roots of the counts, length 1), projected to three
 fixed directions, brought to 10 bits each by the normal distribution and turned into a Hilbert key. Keys are
-range-sorted by sampled splitters; the documents in that order are one stream of ids, cut every ``length`` ids.
+range-sorted by sampled splitters, into ranges of about ``RANGE_BYTES`` of ids; the documents in that order are one stream of ids,
+cut every ``length`` ids.
 Neighbours on the curve therefore share sequences, and only the last sequence has padding.
 
 Defined results: a null text is an empty one and has just the end id; documents of one key are ordered by doc_id (null first)
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import stash, whole_text
 from .sharding import _quantiles, _range_of, _sample
-from .tokens import encoder
+from .tokens import encoder, id_width
 
 DIMENSIONS, AXES, BITS = 1024, 3, 10
+#: Bytes of ids that a range, and so a task, has on average; sampled keys on average for each range, where they are many in all.
+RANGE_BYTES, LEAST_SAMPLE, SAMPLE = 64 << 20, 4, 1_000_000
 
 
 def directions() -> np.ndarray:
@@ -72,7 +75,7 @@ def curve_keys(documents: list[np.ndarray], axes: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end: int, width: str = "<u2") -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end: int, width: str) -> DataFrame:
     """doc_id, ids (binary), size (ids with the end id), _s_key (Hilbert key), _s_id, crc."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +104,19 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, width: str = "<u2") ->
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, end: int, length: int = 1024, ranges: int = 192, per_range: int = 24, width: str = "<u2"
+    docs: DataFrame, tokenizer: str, end: int, length: int = 1024, ranges: int | None = None, per_range: int = 24, width: str | None = None
 ) -> DataFrame:
-    """The pieces: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+    """The pieces: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+
+    ``ranges``: by default as many as the session's shuffle partitions, or more so that none has more than ``RANGE_BYTES``
+    on average. ``width``: of stored ids, by default from the tokenizer's vocabulary.
+    """
+    width = width or id_width(tokenizer, end)
     rows = stash(tokenized(docs, tokenizer, end, width), "ids")
+    if ranges is None:
+        size = (rows.agg(F.sum("size")).first()[0] or 0) * int(width[-1])
+        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    per_range = max(LEAST_SAMPLE, min(per_range, SAMPLE // ranges))
     splitters = _quantiles(_sample(rows, ranges * per_range), ranges)
     ranged = rows.withColumn("_s_range", _range_of(splitters))
     sums = {r["_s_range"]: r["b"] for r in ranged.groupBy("_s_range").agg(F.sum("size").alias("b")).collect()}
@@ -113,7 +125,7 @@ def pack(
         bases.append(total)
         total += sums.get(r, 0)
     # a range is whole in one partition, in order
-    placed = ranged.repartition("_s_range").sortWithinPartitions("_s_range", "_s_key", "_s_id", "crc")
+    placed = ranged.repartitionById(len(splitters) + 1, "_s_range").sortWithinPartitions("_s_range", "_s_key", "_s_id", "crc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]

@@ -11,6 +11,8 @@ footer (offset of the index, documents, ids, bytes an id, magic). A reader takes
 
 Defined results: a null text has only the end id; null doc_ids come first; rows with equal doc_ids follow one another
 in the order of a hash of their text; an empty table gives a folder without documents. Only doc_id and text are written.
+
+The folder must be one that ``pyarrow.fs`` opens on the driver and on every executor (a shared file system, ``hdfs``, ``s3``, ``gs``).
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .tokens import encoder
+from .tokens import encoder, id_width
 
 MAGIC = b"PLTOKEN1"
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 65_536
+#: Bytes of text that a file, and so a task, has on average.
+FILE_BYTES = 256 << 20
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "<u4"), ("size", "<u4"), ("offset", "<u8"), ("ids", "<u8"), ("before", "<u8")])
 FOOTER = "<QQQQ8s"
 
@@ -48,9 +52,9 @@ def _packed(ids: bytes, end: int | None, width: str) -> bytes:
     return (array if end is None else np.append(array, end)).astype(width).tobytes()
 
 
-def train(docs: DataFrame, tokenizer: str, end: int, width: str) -> bytes:
-    """The dictionary; empty if the sample is too small to train one."""
-    n = max(docs.count(), 1)
+def train(docs: DataFrame, tokenizer: str, end: int, width: str, n: int) -> bytes:
+    """The dictionary; empty if the sample is too small to train one. ``n``: rows of ``docs``."""
+    n = max(n, 1)
     text = whole_text()
     sample = (
         docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
@@ -77,36 +81,45 @@ def _zdict(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, end: int, files: int | None = None, width: str = "<u2") -> list[dict]:
-    """Writes the folder ``path`` and returns its manifest. ``width``: ``<u2`` for vocabularies up to 65,536 ids, else ``<u4``."""
+def write(docs: DataFrame, tokenizer: str, path: str, end: int, files: int | None = None, width: str | None = None) -> list[dict]:
+    """Writes the folder ``path`` and returns its manifest.
+
+    ``files``: by default as many as the session's shuffle partitions, or more so that none has more than ``FILE_BYTES`` of
+    text on average. ``width``: of the ids, by default from the tokenizer's vocabulary.
+    """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dictionary = train(docs, tokenizer, end, width)
+    width = width or id_width(tokenizer, end)
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(whole_text()))).first()
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // FILE_BYTES))
+    dictionary = train(docs, tokenizer, end, width, n)
     shared = spark.sparkContext.broadcast(dictionary)
     hashed = hashlib.sha256(dictionary).digest()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         fs, root = _open(path)
-        code, index, at, total = encoder(tokenizer), [], len(MAGIC) + 32, 0
+        code, index, at, total = encoder(tokenizer), bytearray(), len(MAGIC) + 32, 0
         zdict = _zdict(shared.value)
         press = zstandard.ZstdCompressor(level=3, dict_data=zdict) if zdict else zstandard.ZstdCompressor(level=3)
         temporary = f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
         with fs.open_output_stream(temporary) as out:
             out.write(MAGIC + hashed)
             for batch in batches:
-                made = code.batches(batch.column("text").to_pylist())
+                made, rows = code.batches(batch.column("text").to_pylist()), []
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), made, strict=True):
                     ids = _packed(ids, end, width)
                     frame = press.compress(ids)
                     n = len(ids) // int(width[-1])
-                    index.append((doc or 0, doc is None, len(frame), at, n, total))
+                    rows.append((doc or 0, doc is None, len(frame), at, n, total))
                     out.write(frame)
                     at, total = at + len(frame), total + n
-            out.write(np.array(index, INDEX).tobytes() + struct.pack(FOOTER, at, len(index), total, int(width[-1]), MAGIC))
+                index += np.array(rows, INDEX).tobytes()
+            many = len(index) // INDEX.itemsize
+            out.write(index)
+            out.write(struct.pack(FOOTER, at, many, total, int(width[-1]), MAGIC))
         final = f"{root}/part-{part:06d}.ids"
         fs.move(temporary, final)
-        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(index)], "ids": [total]}, schema=pa.schema([("part", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [many], "ids": [total]}, schema=pa.schema([("part", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     fs, root = _open(path)
     fs.create_dir(root, recursive=True)

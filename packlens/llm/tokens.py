@@ -101,6 +101,13 @@ class PieceEncoder:
             yield from self.encode_many(texts[at : at + size])
 
 
+def id_width(path: str, *more: int) -> str:
+    """``<u2`` if all ids of a tokenizer file (and ``more`` ids) fit in two bytes, else ``<u4``."""
+    library = Tokenizer.from_file(path)
+    largest = max([*library.get_vocab(with_added_tokens=True).values(), *more], default=0)
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
