@@ -5,11 +5,12 @@ digested with SHA-256. Digests are joined to the stored counts of this tokenizer
 are encoded, by the library's own rules and without special tokens, and appended to the cache. Copies meet in partial
 aggregates before the shuffle, so a content that a third of all rows have is no heavy group.
 
-The cache is a Parquet folder (digest, tokenizer, n_tokens). A write that fails half-way adds nothing; two writers may
+The cache is a Parquet folder (digest, n_tokens) with a partition for each tokenizer. Of it only this tokenizer's partition is read, and
+only counts of digests at hand go further. A write that fails half-way adds nothing; two writers may
 add the same content, which counts once.
 
 Defined results: rows that repeat are counted alike, an empty table gives an empty table, further columns pass through
-(names starting with ``_t_`` are reserved).
+(names starting with ``_t_`` are reserved; columns named n_bytes, n_tokens or over_limit are replaced).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stash, whole_text
 from .tokens import encoder, file_digest
 
-CACHE = "digest binary, tokenizer string, n_tokens bigint"
+CACHE = "digest binary, n_tokens bigint, tokenizer string"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -31,14 +32,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def _counter(tokenizer: str, version: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counter(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
         for batch in batches:
             counts = [len(ids) // 4 for ids in code.batches(batch.column("_t_text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_t_digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())],
-                ["digest", "tokenizer", "n_tokens"],
+                [batch.column("_t_digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"]
             )
 
     return run
@@ -55,20 +55,17 @@ def count_tokens(
     spark, version = docs.sparkSession, file_digest(tokenizer)
     content = normalise(whole_text())
     digest = F.unhex(F.sha2(F.encode(content, "utf-8"), 256))
-    misses = docs.select(digest.alias("_t_digest"), content.alias("_t_text"))
+    misses = docs.select(digest.alias("digest"), content.alias("_t_text"))
+    known = None
     if _exists(spark, cache):
         stored = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version)
-        misses = misses.join(stored, F.col("_t_digest") == F.col("digest"), "left_anti")
-    distinct = misses.groupBy("_t_digest").agg(F.first("_t_text").alias("_t_text"))
-    distinct.mapInArrow(_counter(tokenizer, version), CACHE).write.mode("append").parquet(cache)
-    counts = stash(
-        spark.read.schema(CACHE)
-        .parquet(cache)
-        .where(F.col("tokenizer") == version)
-        .groupBy(F.col("digest").alias("_t_digest"))
-        .agg(F.max("n_tokens").alias("_t_n")),
-        "counts",
-    )
+        asked = docs.select(digest.alias("digest")).distinct()
+        known = stash(stored.join(asked, "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "known")
+        misses = misses.join(known, "digest", "left_anti")
+    distinct = misses.groupBy(F.col("digest").alias("_t_digest")).agg(F.first("_t_text").alias("_t_text"))
+    new = stash(distinct.mapInArrow(_counter(tokenizer), "digest binary, n_tokens bigint"), "counts")
+    new.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    counts = (new if known is None else new.unionByName(known)).select(F.col("digest").alias("_t_digest"), F.col("n_tokens").alias("_t_n"))
     return (
         docs.withColumns({"n_bytes": F.octet_length(whole_text()).cast("long"), "_t_digest": digest})
         .join(counts, "_t_digest", "left")
