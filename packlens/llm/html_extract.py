@@ -6,8 +6,10 @@ sequence of a page, so each block is labelled with the whole page in view; block
 
 The labeller is trained when it is first needed, always alike: on ``Training.made`` pages from a generator that places menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments around and inside articles, and on at most
-``Training.read`` pages of the table, drawn by hash, that mark their article (``article`` or ``main``). The model has some 100,000 weights and is
-sent to the executors. Pages are labelled where they are read; nothing is shuffled.
+``Training.read`` pages of the table, drawn by hash among those of fewer than ``Training.longest`` characters, that mark their article
+(``article`` or ``main``). The model has some 60,000 weights and is
+sent to the executors. Pages are labelled where they are read; nothing is shuffled. Vectors are made and projected in parts, so a page
+takes some two hundred numbers for each block, however long it is.
 
 Defined results: a null or empty page, or one without main text, gives an empty text; pages are labelled whole, however
 long; rows that repeat give rows that repeat; further columns pass through (text and n_chars are replaced).
@@ -38,6 +40,8 @@ MARK = "\ue000"
 class Training:
     made: int = 700
     read: int = 200
+    #: Characters that a page of the table may have to be trained on; all pages are labelled.
+    longest: int = 50_000
     hidden: int = 24
     rounds: int = 6
     batch: int = 24
@@ -75,17 +79,18 @@ def _bucket(word: str) -> int:
     return b
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """A row for each block."""
+def vectors(blocks: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row for each block; ``first`` and ``total`` place a part of a page's blocks in the page."""
+    total = len(blocks) if total is None else total
     out = np.zeros((len(blocks), WIDTH), np.float32)
-    for k, (row, b) in enumerate(zip(out, blocks, strict=True)):
+    for k, (row, b) in enumerate(zip(out, blocks, strict=True), first):
         row[:PATH] = _path_vector(b.path)
         words = b.text.split(" ")
         counts = np.bincount([_bucket(w) for w in words], minlength=WORDS)
         row[PATH : PATH + WORDS] = counts / (np.sqrt((counts * counts).sum()) + 1e-6)
         n = max(1, len(b.text))
         ends = b.text.count(".") + b.text.count(",") + b.text.count("!") + b.text.count("?")
-        row[PATH + WORDS :] = (np.log1p(n) / 5, b.link_share, min(1.0, 10 * ends / n), len(b.path) / 8, k / len(blocks), 1 / (1 + k))
+        row[PATH + WORDS :] = (np.log1p(n) / 5, b.link_share, min(1.0, 10 * ends / n), len(b.path) / 8, k / total, 1 / (1 + k))
     return out
 
 
@@ -96,11 +101,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _pass(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """One direction over (time, page, width); where the mask is 0 the state stays empty."""
-    t, n, _ = x.shape
+def _pass(given: np.ndarray, mask: np.ndarray, wh: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    """One direction over the projected vectors (time, page, gates); where the mask is 0 the state stays empty."""
+    t, n, _ = given.shape
     size = len(wh)
-    given = (x.reshape(t * n, -1) @ wx).reshape(t, n, -1) + b
     h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
     out, trace = np.zeros((t, n, size), np.float32), []
     for k in range(t):
@@ -152,19 +156,31 @@ class Labeller:
         self.weights = [w for _ in range(2) for w in (draw(WIDTH, 4 * hidden), draw(hidden, 4 * hidden), bias.copy())]
         self.weights += [draw(2 * hidden, 1), np.zeros(1, np.float32)]
 
-    def _forward(self, x: np.ndarray, lengths: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+    def _forward(self, there: np.ndarray, back: np.ndarray, lengths: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        """Scores from what both directions are given, the backward one in its own order."""
         w = self.weights
-        mask = (np.arange(len(x))[:, None] < lengths)[..., None].astype(np.float32)
-        back = _flip(x, lengths)
-        there, trace = _pass(x, mask, *w[:3], keep)
-        again, trace_back = _pass(back, mask, *w[3:6], keep)
-        h = np.concatenate([there, _flip(again, lengths)], axis=2)
-        return (h @ w[6] + w[7])[..., 0], (mask, back, trace, trace_back, h)
+        mask = (np.arange(len(there))[:, None] < lengths)[..., None].astype(np.float32)
+        forth, trace = _pass(there, mask, w[1], keep)
+        again, trace_back = _pass(back, mask, w[4], keep)
+        h = np.concatenate([forth, _flip(again, lengths)], axis=2)
+        return (h @ w[6] + w[7])[..., 0], (mask, trace, trace_back, h)
+
+    def _projected(self, blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+        """What both directions are given for a page's blocks, in page order."""
+        w, n = self.weights, len(blocks)
+        there, back = np.empty((n, w[0].shape[1]), np.float32), np.empty((n, w[3].shape[1]), np.float32)
+        for at in range(0, n, 2048):
+            x = vectors(blocks[at : at + 2048], at, n)
+            there[at : at + 2048], back[at : at + 2048] = x @ w[0] + w[2], x @ w[3] + w[5]
+        return there, back
 
     def gradients(self, x: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """The mean loss of the blocks and its gradients."""
         w = self.weights
-        z, (mask, back, trace, trace_back, h) = self._forward(x, lengths, keep=True)
+        t, many, _ = x.shape
+        project = lambda y, k: (y.reshape(t * many, -1) @ w[k]).reshape(t, many, -1) + w[k + 2]
+        back = _flip(x, lengths)
+        z, (mask, trace, trace_back, h) = self._forward(project(x, 0), project(back, 3), lengths, keep=True)
         m, p = mask[..., 0], _sigmoid(z)
         n = m.sum()
         loss = float((-(labels * np.log(p + 1e-9) + (1 - labels) * np.log(1 - p + 1e-9)) * m).sum() / n)
@@ -176,18 +192,25 @@ class Labeller:
         out = h.reshape(-1, h.shape[2]).T @ dz.reshape(-1, 1)
         return loss, [*there, *again, out, dz.sum(axis=(0, 1))]
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For each page's vectors, whether each block is main text. Pages of like length go together."""
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """For each page's blocks, whether each is main text. Pages of like length go together, long ones alone."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
+        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         at = 0
         while at < len(order):
             group = [order[at]]
             while at + len(group) < len(order) and len(group) < 128 and len(pages[order[at + len(group)]]) * (len(group) + 1) <= 8192:
                 group.append(order[at + len(group)])
             at += len(group)
-            x, lengths = padded([pages[k] for k in group])
-            z, _ = self._forward(x, lengths)
+            lengths = np.array([len(pages[k]) for k in group])
+            shape = (int(lengths.max()), len(group))
+            there = np.zeros((*shape, self.weights[0].shape[1]), np.float32)
+            back = np.zeros((*shape, self.weights[3].shape[1]), np.float32)
+            for j, k in enumerate(group):
+                forth, again = self._projected(pages[k])
+                there[: lengths[j], j], back[: lengths[j], j] = forth, again[::-1]
+                del forth, again
+            z, _ = self._forward(there, back, lengths)
             for j, k in enumerate(group):
                 out[k] = z[: lengths[j], j] > 0
         return out
@@ -339,12 +362,25 @@ def made_pages(count: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
     return out
 
 
+#: Kinds of elements that are no main text wherever they stand, also inside an article.
+_APART = ("menu", "footer", "side", "notice", "advert", "form", "comments", "share")
+_BESIDE = {w for kind in _APART for w in NAMES[kind]} - {*NAMES["main"], *NAMES["header"]}
+
+
 def marked_page(page: str | None) -> tuple[list[Block], np.ndarray] | None:
-    """A page that marks its article: blocks inside ``article`` or ``main``, but not inside what such an element may hold beside it."""
+    """A page that marks its article: blocks inside ``article`` or ``main``, but not inside what such an element may hold beside it.
+
+    That is, elements whose tag, class, id or role says that they are menus, sidebars, notices, adverts, forms or reader comments.
+    """
     blocks = blocks_of(page)
-    tags = [[x.split(" ")[0] for x in b.path] for b in blocks]
     aside = {"nav", "aside", "footer", "form"}
-    labels = np.array([bool({"article", "main"} & {*t}) and not aside & {*t} for t in tags], np.float32)
+
+    def main(path: tuple[str, ...]) -> bool:
+        names = [x.split(" ") for x in path]
+        first = next((k for k, (tag, *_) in enumerate(names) if tag in ("article", "main")), None)
+        return first is not None and not any(tag in aside for tag, *_ in names) and not any(w in _BESIDE for _, *words in names[first + 1 :] for w in words)
+
+    labels = np.array([main(b.path) for b in blocks], np.float32)
     return (blocks, labels) if labels.any() else None
 
 
@@ -352,7 +388,7 @@ def train(pages: DataFrame, t: Training = Training()) -> Labeller:
     """The labeller for a table with a column ``html``."""
     n = max(1, pages.count())
     h = F.xxhash64("html")
-    drawn = pages.select("html", h.alias("h")).where((F.length("html") < 50_000) & (F.pmod("h", F.lit(n)) < 2 * t.read)).orderBy("h").limit(t.read)
+    drawn = pages.select("html", h.alias("h")).where((F.length("html") < t.longest) & (F.pmod("h", F.lit(n)) < 2 * t.read)).orderBy("h").limit(t.read)
     read = [x for r in drawn.collect() if (x := marked_page(r["html"]))]
     return fit([*made_pages(t.made, t.seed), *read], t)
 
@@ -389,7 +425,7 @@ def fit(pages: list[tuple[list[Block], np.ndarray]], t: Training) -> Labeller:
 
 def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
     blocks = [blocks_of(p) for p in pages]
-    labels = model.label([vectors(b) for b in blocks])
+    labels = model.label(blocks)
     return [" ".join(b.text for b, keep in zip(bs, ls.tolist(), strict=True) if keep) for bs, ls in zip(blocks, labels, strict=True)]
 
 
@@ -403,8 +439,8 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
         own = Labeller.__new__(Labeller)
         own.weights = shared.value
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, len(whole), 64):
+                batch = whole.slice(at, 64)
                 texts = main_texts(batch.column("html").to_pylist(), own)
                 passed = batch.select([f.name for f in keep])
                 yield pa.RecordBatch.from_arrays([*passed.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*passed.schema.names, "text", "n_chars"])

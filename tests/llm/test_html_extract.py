@@ -37,7 +37,7 @@ def test_unclosed_and_self_closed_elements():
     for start in ("<svg a='b'/>", "<svg/>", "<svg>", "<math/>", "<math>", "<object data=x>", "<noscript>", "<template>", "<iframe src=x>"):
         assert [b.text for b in blocks_of(f"<p>one {start}two</p><p>three</p>")] == ["one two", "three"], start
         assert [b.text for b in blocks_of(f"<p>one {start}two</p><p>three <svg><text>no</text></svg>end</p>")][-1].endswith("end"), start
-    assert [b.text for b in blocks_of("<p>a <math><mi>x</mi></math> <object>in</object> <svg><text>no</text></svg>b</p>")] == ["a x in b"]
+    assert [b.text for b in blocks_of("<p>a <math><mi>x</mi></math> <object>in</object> <svg><text>no</text></svg><noscript>or</noscript> b</p>")] == ["a x in or b"]
     for start in ("<script>", "<style>", "<textarea>", "<title>"):
         assert [b.text for b in blocks_of(f"<p>one {start}two</p><p>three</p>")] == ["one"], start
 
@@ -62,13 +62,13 @@ def test_gradients():
 
 def test_held_out_pages(model):
     pages = h.made_pages(300, 12345)
-    labels = model.label([h.vectors(b) for b, _ in pages])
+    labels = model.label([b for b, _ in pages])
     right = np.concatenate([a == (y > 0.5) for a, (_, y) in zip(labels, pages, strict=True)])
     assert right.mean() >= 0.97
 
 
 def test_alone_or_together(model):
-    pages = [h.vectors(b) for b, _ in h.made_pages(40, 5)]
+    pages = [b for b, _ in h.made_pages(40, 5)]
     for a, b in zip(model.label(pages), (model.label([p])[0] for p in pages), strict=True):
         assert a.tolist() == b.tolist()
 
@@ -90,6 +90,24 @@ def test_pages_of_the_table(spark, sf):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_a_marked_article_may_hold_other_things():
+    inside = '<p>main</p><div class="comments"><p>said</p></div><div class="advert">buy</div><p class="cookie-notice">ok?</p><form>send</form><header><h1>title</h1></header>'
+    blocks, labels = h.marked_page(f'<div class="sidebar"><article class="post">{inside}<p>end</p></article></div><footer>foot</footer>')
+    assert [b.text for b, y in zip(blocks, labels, strict=True) if y] == ["main", "title", "end"]
+    assert h.marked_page("<p>none</p>") is None and h.marked_page(None) is None
+
+
+def test_a_very_long_page(model):
+    """Parts of a long page are projected one after the other; the labels are those of the whole page."""
+    page = "<nav><a href=/>menu</a></nav><article>" + "<p>word, word and a word.</p>" * 200_000 + "</article><footer>copyright</footer>"
+    (text,) = h.main_texts([page], model)
+    assert text == " ".join(["word, word and a word."] * 200_000)
+    blocks = blocks_of(page)[:5001]
+    there, back = model._projected(blocks)
+    x, w = h.vectors(blocks), model.weights
+    assert np.allclose(there, x @ w[0] + w[2], atol=1e-4) and np.allclose(back, x @ w[3] + w[5], atol=1e-4)
+
+
 def test_odd_pages(spark, model):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>"), (4, "u", "plain"), (4, "u", "plain"), (5, "u", "<article>" + "<p>word, word.</p>" * 5000)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "7 as text", "8 as n_chars", "9 as more")
