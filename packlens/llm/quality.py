@@ -1,13 +1,13 @@
 """Quality rules: statistics of a text, and lines that too many documents of a host share.
 
 Only DataFrame functions; every statistic of a text stays in the row, so the scan is read without a shuffle of texts.
-Cross-document line frequency: each document emits the hashes of its distinct normalised lines; distinct texts are
-counted per host and line (copies of one text count once), first by (host, line, text) and then by (host, line), so that a line which a
+Cross-document line frequency: each document emits the hashes of its normalised lines; distinct documents are
+counted per host and line, first by (host, line, document) and then by (host, line), so that a line which a
 third of all rows carry is counted in parts. Lines above the limits are taken out of their documents, and documents
 left with too little are rejected.
 
-Defined results: a null text counts as an empty one, a null source is a host of its own, rows that repeat are judged
-alike, an empty table gives an empty table, further columns pass through (names starting with ``_q_`` are reserved).
+Defined results: a document is told by doc_id and text, so rows that repeat count once and copies under other ids count each; a null
+text counts as an empty one, a null source is a host of its own, rows that repeat are judged alike, an empty table gives an empty table, further columns pass through (names starting with ``_q_`` are reserved).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Limits:
-    """A line is above the limits if at least ``min_docs`` distinct texts of a host have it, and more than ``percent`` % of them."""
+    """A line is above the limits if at least ``min_docs`` distinct documents of a host have it, and more than ``percent`` % of them."""
 
     min_docs: int = 20
     percent: int = 8
@@ -84,14 +84,18 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), SPACE, " "))
 
 
+def _document() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), whole_text())
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: host, text and line hashes, place, words and word characters."""
+    """A row for each line with a word: host, document, text and line hashes, place and the line itself."""
     text = whole_text()
     out = docs.select(
-        F.col("source").alias("_q_host"), F.xxhash64(text).alias("_q_text"), F.posexplode(F.split(text, "\n", -1))
+        F.col("source").alias("_q_host"), _document().alias("_q_doc"), F.xxhash64(text).alias("_q_text"), F.posexplode(F.split(text, "\n", -1))
     ).where(F.col("col").rlike(WORD))
     return out.select(
-        "_q_host", "_q_text", F.col("pos").alias("_q_pos"), F.xxhash64(normal_line(F.col("col"))).alias("_q_line"), "col"
+        "_q_host", "_q_doc", "_q_text", F.col("pos").alias("_q_pos"), F.xxhash64(normal_line(F.col("col"))).alias("_q_line"), "col"
     )
 
 
@@ -100,14 +104,12 @@ def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     often = (
         _lines(docs)
         .groupBy("_q_host", "_q_line")
-        .agg(F.count_distinct("_q_text").alias("n_docs"))
+        .agg(F.count_distinct("_q_doc").alias("n_docs"))
         .where(F.col("n_docs") >= limits.min_docs)
     )
-    texts = docs.groupBy(F.col("source").alias("_q_host2")).agg(
-        F.count_distinct(F.xxhash64(whole_text())).alias("_q_of")
-    )
+    hosts = docs.groupBy(F.col("source").alias("_q_host2")).agg(F.count_distinct(_document()).alias("_q_of"))
     above = F.col("_q_host").eqNullSafe(F.col("_q_host2")) & (100 * F.col("n_docs") > limits.percent * F.col("_q_of"))
-    return often.join(texts, above).select("_q_host", "_q_line", "n_docs")
+    return often.join(hosts, above).select("_q_host", "_q_line", "n_docs")
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

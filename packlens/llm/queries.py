@@ -109,11 +109,11 @@ win as (select r, i, array_to_string(ws[i:i + 7], ' ') as g from (select r, ws,
 dup as (select r, i from (select r, i, count(*) over (partition by r, g) as c from win) where c > 1),
 rep as (select r, sum(least(8, coalesce(nxt - i, 8))) as n from
   (select r, i, lead(i) over (partition by r order by i) as nxt from dup) group by r),
-l as (select r, source, t, x, i, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as y
-  from (select r, source, t, unnest(ls) as x, generate_subscripts(ls, 1) as i from w)),
-n as (select r, source, t, x, i, trim(regexp_replace(y, '{_WS}', ' ', 'g'), ' ') as y from l),
-f as (select a.source, y from (select source, y, count(distinct t) as c from n group by all) a
-  join (select source, count(distinct t) as o from d group by all) b on a.source is not distinct from b.source
+l as (select r, doc_id, source, t, x, i, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as y
+  from (select r, doc_id, source, t, unnest(ls) as x, generate_subscripts(ls, 1) as i from w)),
+n as (select r, doc_id, source, t, x, i, trim(regexp_replace(y, '{_WS}', ' ', 'g'), ' ') as y from l),
+f as (select a.source, y from (select source, y, count(distinct (doc_id, t)) as c from n group by all) a
+  join (select source, count(distinct (doc_id, t)) as o from d group by all) b on a.source is not distinct from b.source
   where c >= 20 and 100 * c > 8 * o),
 gone as (select r, count(*) as nl, sum(len(list_filter(regexp_split_to_array(x, '{_WS}'), lambda z: z <> ''))) as nw
   from n join f on n.source is not distinct from f.source and n.y = f.y group by r),

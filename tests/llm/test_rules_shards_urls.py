@@ -40,13 +40,14 @@ def test_frequent_lines(spark, odd, empty):
     notice = "All  RIGHTS reserved here"
     rows = [(i, f"{body(i)}\n{notice if i % 2 else notice.lower()}", "en", "a", 0) for i in range(30)]
     rows += [(100 + i, f"short text {i} of a host with few words of its own today indeed yes\n" + "the same very long line of words again and again for all of them " * 2, "en", "b", 0) for i in range(30)]
-    rows += [(200 + i, body(999) + "\ncopied line", "en", "c", 0) for i in range(30)]  # copies of one text: no frequent line
+    rows += [(200, body(999) + "\ncopied line", "en", "c", 0)] * 30  # one document, thirty times: no frequent line
+    rows += [(400 + i, body(998) + "\ncopied line", "en", "d", 0) for i in range(30)]  # thirty documents with one text: each counts
     rows += [(300, body(300) + "\n" + notice, "en", None, 0), (301, None, None, None, None)]
     docs = spark.createDataFrame(rows, odd.schema).repartition(5)
     limits = Limits(min_docs=20, percent=8)
     got = {r["doc_id"]: r for r in quality.judge(docs, limits).collect()}
-    assert {i for i, r in got.items() if r["n_lines_removed"]} == set(range(30)) | set(range(100, 130))
-    assert {i for i, r in got.items() if r["kept"]} == set(range(30)) | set(range(200, 230)) | {300}
+    assert {i for i, r in got.items() if r["n_lines_removed"]} == set(range(30)) | set(range(100, 130)) | set(range(400, 430))
+    assert {i for i, r in got.items() if r["kept"]} == set(range(30)) | {200, 300}
     kept = {r["doc_id"]: r for r in quality.clean(docs, limits).collect()}
     assert set(kept) == {i for i, r in got.items() if r["kept"]}
     assert kept[3]["text"] == body(3) and kept[3]["n_chars"] == len(body(3)) and kept[200]["text"] == rows[60][1]
