@@ -1,6 +1,9 @@
 """Decontamination against a direct search for every item in every document."""
 
+import math
 import random
+import re
+from collections import Counter
 
 from packlens.llm import decontaminate as d
 
@@ -45,6 +48,57 @@ def test_planted_items(spark, odd, empty):
     assert d.clean(docs, bench.where("item_id = 20")).count() == docs.count()
 
 
+def weighted_jaccard(a, b, rarity, rare):
+    def bag(words):
+        k = min(5, len(words))
+        return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if words else Counter()
+
+    x, y = bag(a), bag(b)
+    weigh = lambda s: sum(rarity.get(w, rare) for w in s) / len(s)
+    both = sum(min(c, y[s]) * weigh(s) for s, c in x.items())
+    total = sum(c * weigh(s) for bags in (x, y) for s, c in bags.items())
+    return both / (total - both)
+
+
+def edited(r, words):
+    """A near copy: words replaced, put in, taken out, or a part cut off at either end."""
+    words, n = words[:], max(1, int(len(words) * r.uniform(0, 0.05)))
+    kind = r.randrange(6)
+    for _ in range(n):
+        if kind in (1, 5):
+            words[r.randrange(len(words))] = sentence(r, 1)
+        if kind in (2, 5):
+            words.insert(r.randrange(len(words)), sentence(r, 1))
+        if kind == 3 and len(words) > 1:
+            del words[r.randrange(len(words))]
+    cut = int(len(words) * r.uniform(0, 0.12))
+    return words[cut:] if kind == 4 and n % 2 else words[: len(words) - cut] if kind == 4 else words
+
+
+def test_recall_against_all_items_and_places(spark, odd):
+    """Every document, item and place; of the pairs at 0.8 or more at least nine tenths are found, and no others."""
+    r = random.Random(7)
+    items = [(i, sentence(r, n)) for i, n in enumerate((5, 9, 14, 20, 27, 36, 53, 80, 120))]
+    rows = []
+    for k in range(120):
+        own = edited(r, items[k % len(items)][1].split())
+        rows.append((k, " ".join([sentence(r, r.randint(1, 40)), *own, sentence(r, r.randint(1, 40))]), "en", "s", 0))
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    seen = Counter(w for _, t in items for w in set(words(t)))
+    rarity, rare = {w: math.log(1 + len(items) / c) for w, c in seen.items()}, math.log(1 + len(items))
+    want = set()
+    for doc, text, *_ in rows:
+        ws = words(text)
+        for i, t in items:
+            own = words(t)
+            some = set(own)
+            if any(weighted_jaccard(own, ws[at : at + len(own)], rarity, rare) >= 0.8 for at in range(len(ws)) if len(some & set(ws[at : at + len(own)])) > len(some) // 2):
+                want.add((doc, i))
+    got = {(x["doc_id"], x["item_id"]) for x in d.find(spark.createDataFrame(rows, odd.schema), spark.createDataFrame(items, ITEM)).collect()}
+    assert got <= want and len(want) > 50
+    assert len(got) >= 0.9 * len(want), (len(got), len(want))
+
+
 def test_blocks_of_items_and_long_texts(spark, odd, monkeypatch):
     r = random.Random(2)
     items = [(i, sentence(r, 20)) for i in range(50)]
@@ -53,6 +107,9 @@ def test_blocks_of_items_and_long_texts(spark, odd, monkeypatch):
     monkeypatch.setattr(d, "ITEMS", 9)
     got = d.find(docs, spark.createDataFrame(items, ITEM)).collect()
     assert [(x["item_id"], x["word_start"], x["n_words"], x["similarity"]) for x in got] == [(7, 900, 20, 1.0)]
+    monkeypatch.setattr(d, "ITEMS", 10_000)
+    monkeypatch.setattr(d, "ITEM_WORDS", 90)  # as many blocks as the words ask for
+    assert len(list(d.indexes(spark.createDataFrame(items, ITEM)))) > 8
     monkeypatch.setattr(d, "WORDS", 100)
     index = d.Index(items)
     assert [x[:3] for x in index.scan([None, text])[1]] == [(7, 900, 20)]
