@@ -168,13 +168,45 @@ HINTS = f"""hint as (select package_id, view_no, {_LOCATORS.format('lower(' + gr
   {has(compact(group('ocr_text', _POINTER, 0), 260), '(?i)' + recovery.TAX)} as tax_inclusive_phrase from views where {has('ocr_text', _POINTER)})"""
 
 
+READINGS = f"reading as ({fixtures.plain(fixtures.READINGS)})"
+_P = rf"(?i){recovery.PRICE}\s*(?:/\-)?"
+_AMOUNT = lambda t: f"case when try_cast(translate({t}, 'Oo', '00') as decimal(18,6)) is null then translate({t}, 'Oo', '00') else regexp_replace(regexp_replace(cast(try_cast(translate({t}, 'Oo', '00') as decimal(18,6)) as varchar), '0+$', ''), '\\.$', '') end"
+PARSED = f"""{READINGS}, masked as (select *, regexp_replace(text, {q(recovery.RATE)}, ' ', 'g') as m from reading),
+parsed as (select package_id, obs_ord, family, confidence, case when {has('m', _P)} or {has('text', recovery.BEFORE_RATE)} then 'INR' end as currency,
+  case when {has('m', _P)} then {_AMOUNT(group('m', _P, 2))} when {has('text', recovery.BEFORE_RATE)} then {_AMOUNT(group('text', recovery.BEFORE_RATE, 1))} end as amount,
+  case when {has('m', _P)} then {compact(group('m', _P, 0), 260)} when {has('text', recovery.BEFORE_RATE)}
+    then {compact(f"regexp_replace({group('text', recovery.BEFORE_RATE, 0)}, '^[^0-9Oo]', '')", 260)} end as evidence from masked)"""
+
+
+def _votes(source: str, by: str) -> str:
+    return f"""select {by}, currency, amount, count(distinct family) as families, count(*) as votes, avg(confidence) as mean_confidence,
+  row_number() over (partition by {by} order by count(distinct family) desc, count(*) desc, round(avg(confidence), 9) desc, min(obs_ord)) as rank_no
+from {source} where currency is not null group by {by}, currency, amount"""
+
+
+def _won(source: str, by: str) -> str:
+    return f"""select * from (select *, lead(families) over (partition by {by} order by rank_no) as f2, lead(votes) over (partition by {by} order by rank_no) as v2,
+  lead(round(mean_confidence, 9)) over (partition by {by} order by rank_no) as m2 from {source})
+where rank_no = 1 and (f2 is null or families > f2 or (families = f2 and votes > v2) or (families = f2 and votes = v2 and round(mean_confidence, 9) > m2))
+  and (families >= 2 or votes >= 3 or (votes >= 2 and mean_confidence >= 0.86) or (votes = 1 and mean_confidence >= 0.96))"""
+
+
+WON = f"{PARSED}, votes as ({_votes('parsed', 'package_id')}), won as ({_won('votes', 'package_id')})"
+_WON_CONF = "least(0.96, greatest(0.68, 0.58 + 0.05 * families + 0.20 * mean_confidence))"
+
+
 def _fact(key: str, names: str) -> str:
     columns = ", ".join(f"{n} as {key[:3]}_{n}" for n in names.split())
-    return f"left join (select package_id, {columns} from fused where key = '{key}') using (package_id)"
+    return f"left join (select package_id, {columns} from known where key = '{key}') using (package_id)"
 
 
 _GRAMS = "case net_unit when 'mg' then net_a / 1000 when 'kg' then net_a * 1000 when 'l' then net_a * 1000 when 'cl' then net_a * 10 else net_a end"
-FACTS = f"""{FUSED}, {TEXTS}, {CONTEXTS}, {HINTS},
+FACTS = f"""{FUSED}, {TEXTS}, {CONTEXTS}, {HINTS}, {WON},
+recovered as (select package_id, 'mrp' as key, currency || ' ' || amount as value, currency || ' ' || amount as evidence, {_WON_CONF} as confidence, amount, currency from won
+  where package_id in (select package_id from hint) and package_id not in (select package_id from fused where key = 'mrp' and currency = 'INR' and amount <> '')),
+surer as (select r.* from recovered r left join fused f on f.package_id = r.package_id and f.key = 'mrp' where f.package_id is null or r.confidence > f.confidence),
+known as (select * from fused where key <> 'mrp' or package_id not in (select package_id from surer) union all by name select * from surer),
+open_hint as (select * from hint where package_id not in (select package_id from won)),
 wide as (select *, try_cast(net_amount as decimal(18,6)) as net_a, try_cast(mrp_amount as decimal(18,6)) as mrp_a,
     coalesce(net_conflict, false) as nc, coalesce(mrp_conflict, false) as mc from ctx left join texts using (package_id)
   {_fact('net_quantity', 'amount unit conflict')} {_fact('mrp', 'amount conflict')}),
@@ -193,8 +225,8 @@ CHECKS = f"""{FACTS}, {_RULES},
 pair as (select f.*, rule.*, d.value, d.evidence, d.confidence as dc, d.conflict, d.address_detected, d.currency, d.tax_inclusive_phrase, d.email, d.phone,
     d.emails, d.phones, d.any_address, d.all_values, try_cast(d.amount as decimal(18,6)) as amt, try_cast(d.reference_quantity as decimal(18,6)) as rq, d.reference_unit,
     d.key is not null as there, h.evidence as hint_evidence, h.locator is not null as hinted, {_NEEDED} as needed
-  from facts f cross join rule left join fused d on d.package_id = f.package_id and d.key = rule_key
-  left join hint h on h.package_id = f.package_id and rule_key = 'mrp'),
+  from facts f cross join rule left join known d on d.package_id = f.package_id and d.key = rule_key
+  left join open_hint h on h.package_id = f.package_id and rule_key = 'mrp'),
 care as (select *, case when rule_key = 'consumer_care' then concat_ws(',', case when phones is null then 'phone' end, case when emails is null then 'email' end,
     case when not any_address then 'address' end) else '' end as lacking from pair),
 coded as (select *, case when small_package then 'na_small_pack'
@@ -204,9 +236,9 @@ coded as (select *, case when small_package then 'na_small_pack'
     when not there then case when hinted then 'mrp_unresolved_ref' else 'missing' end
     when conflict and rule_key <> 'consumer_care' then 'conflict'
     when rule_key = 'manufacturer' and address_detected <> 'true' then 'no_address'
-    when rule_key = 'mrp' and currency is null and tax_inclusive_phrase <> 'true' then 'mrp_no_currency_no_tax'
+    when rule_key = 'mrp' and currency is null and coalesce(tax_inclusive_phrase, '') <> 'true' then 'mrp_no_currency_no_tax'
     when rule_key = 'mrp' and currency is null then 'mrp_no_currency'
-    when rule_key = 'mrp' and tax_inclusive_phrase <> 'true' then 'mrp_no_tax'
+    when rule_key = 'mrp' and coalesce(tax_inclusive_phrase, '') <> 'true' then 'mrp_no_tax'
     when lacking <> '' then 'care_incomplete:' || lacking
     when rule_key = 'unit_sale_price' then case when nc or mc then 'usp_conflict' when bq is null or mrp_amount is null or amt is null or rq is null then 'usp_unverifiable'
       when rq <> 1 or reference_unit <> bu then 'usp_wrong_basis' when mrp_a is null or bq <= 0 then 'usp_unchecked'
@@ -263,29 +295,6 @@ _TAXED = "exists (select 1 from r where r.package_id = c.package_id and sqrt((r.
 _DATE_A = f"case when {has('text', spatial.NUMBER_DATE)} then lpad({group('text', spatial.NUMBER_DATE, 1)}, 2, '0') else {_month(group('text', spatial.NAME_DATE, 1))} end"
 _DATE_B = f"case when {has('text', spatial.NUMBER_DATE)} then {_year(group('text', spatial.NUMBER_DATE, 2))} else {_year(group('text', spatial.NAME_DATE, 2))} end"
 
-READINGS = f"reading as ({fixtures.plain(fixtures.READINGS)})"
-_P = rf"(?i){recovery.PRICE}\s*(?:/\-)?"
-_AMOUNT = lambda t: f"case when try_cast(translate({t}, 'Oo', '00') as decimal(18,6)) is null then translate({t}, 'Oo', '00') else regexp_replace(regexp_replace(cast(try_cast(translate({t}, 'Oo', '00') as decimal(18,6)) as varchar), '0+$', ''), '\\.$', '') end"
-PARSED = f"""{READINGS}, masked as (select *, regexp_replace(text, {q(recovery.RATE)}, ' ', 'g') as m from reading),
-parsed as (select package_id, obs_ord, family, confidence, case when {has('m', _P)} or {has('text', recovery.BEFORE_RATE)} then 'INR' end as currency,
-  case when {has('m', _P)} then {_AMOUNT(group('m', _P, 2))} when {has('text', recovery.BEFORE_RATE)} then {_AMOUNT(group('text', recovery.BEFORE_RATE, 1))} end as amount,
-  case when {has('m', _P)} then {compact(group('m', _P, 0), 260)} when {has('text', recovery.BEFORE_RATE)}
-    then {compact(f"regexp_replace({group('text', recovery.BEFORE_RATE, 0)}, '^[^0-9Oo]', '')", 260)} end as evidence from masked)"""
-
-
-def _votes(source: str, by: str) -> str:
-    return f"""select {by}, currency, amount, count(distinct family) as families, count(*) as votes, avg(confidence) as mean_confidence,
-  row_number() over (partition by {by} order by count(distinct family) desc, count(*) desc, round(avg(confidence), 9) desc, min(obs_ord)) as rank_no
-from {source} where currency is not null group by {by}, currency, amount"""
-
-
-def _won(source: str, by: str) -> str:
-    return f"""select * from (select *, lead(families) over (partition by {by} order by rank_no) as f2, lead(votes) over (partition by {by} order by rank_no) as v2,
-  lead(round(mean_confidence, 9)) over (partition by {by} order by rank_no) as m2 from {source})
-where rank_no = 1 and (f2 is null or families > f2 or (families = f2 and votes > v2) or (families = f2 and votes = v2 and round(mean_confidence, 9) > m2))
-  and (families >= 2 or votes >= 3 or (votes >= 2 and mean_confidence >= 0.86) or (votes = 1 and mean_confidence >= 0.96))"""
-
-
 _POINTS = f"(?i){recovery.POINTER}"
 
 
@@ -316,9 +325,6 @@ said as (select package_id, view_no, 0 as apart, i, {group('said', _POINTER, 1)}
 reference as (select package_id, view_no, apart, i, {_LOCATORS.format('lower(word)')} as locator, evidence, tax_inclusive_phrase from said
   qualify row_number() over (partition by package_id, view_no, {_LOCATORS.format('lower(word)')} order by apart, i) = 1)"""
 
-WON = f"{PARSED}, votes as ({_votes('parsed', 'package_id')}), won as ({_won('votes', 'package_id')})"
-_WON_CONF = "least(0.96, greatest(0.68, 0.58 + 0.05 * families + 0.20 * mean_confidence))"
-
 SQL: dict[str, str] = {}
 
 

@@ -66,10 +66,15 @@ def _sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row of facts for each package: fused views, and a pseudo-fact where a price is only pointed to."""
-    known = fused(spark, sf_dir).select("package_id", "key", "value", "evidence", "confidence", "attrs")
-    nobody = known.where(F.lit(False)).select("package_id")
-    hints = recovery.unresolved(_sealed(spark, sf_dir), nobody)
+    """A row of facts for each package: fused views, prices that readings settle where a hint points to one and the text has none
+    that is complete, and a pseudo-fact where the readings settle nothing."""
+    columns = ["package_id", "key", "value", "evidence", "confidence", "attrs"]
+    known, sealed, won = fused(spark, sf_dir).select(columns), _sealed(spark, sf_dir), _won(spark, sf_dir)
+    complete = known.where("key = 'mrp'").where(~recovery.needs_recovery(F.struct("attrs"))).select("package_id")
+    wanted = sealed.select("package_id").distinct().join(complete, "package_id", "left_anti")
+    recovered = recovery.winner_facts(won).select(columns).join(wanted, "package_id", "left_semi")
+    known = fusion.merge(known, recovered, "package_id")
+    hints = recovery.unresolved(sealed, won)
     return rules.facts_of(known.unionByName(hints), fusion.combined_text(views(spark, sf_dir)), contexts(spark, sf_dir))
 
 
