@@ -72,7 +72,8 @@ TAX = r"(?i)(?:inclusive\s+of\s+all\s+taxes|incl\.?\s+of\s+all\s+taxes)"
 
 def attributes(**given: Column) -> Column:
     """The attribute struct; what isn't given is null."""
-    return F.struct(*(given.get(a, F.lit(None)).cast("string").alias(a) for a in ATTRIBUTES))
+    none = F.lit(None).cast("string")
+    return F.struct(*(given[a].cast("string").alias(a) if a in given else none.alias(a) for a in ATTRIBUTES))
 
 
 def candidate(value: Column, evidence: Column, confidence: float | Column, **attrs: Column) -> Column:

@@ -240,12 +240,18 @@ def checks(facts: DataFrame, package: str = "package_id") -> DataFrame:
 
 def summary(facts: DataFrame, package: str = "package_id") -> DataFrame:
     """score (null if no rule applies), status and the counts of each status, for each package."""
+    return summed(judged(facts, package), package).drop("checks")
+
+
+def summed(judgements: DataFrame, package: str = "package_id") -> DataFrame:
+    """Adds a package's summary to its checks."""
     many = lambda status: F.size(F.filter("checks", lambda x: x["status"] == status)).cast("long")
     needed = F.filter("checks", lambda x: x["status"] != "not_applicable")
     total = F.aggregate(needed, F.lit(0), lambda s, x: s + x["weight"])
     points = F.aggregate(needed, F.lit(0), lambda s, x: s + x["weight"] * x["percent"])
-    rows = judged(facts, package).select(
+    rows = judgements.select(
         package,
+        "checks",
         total.alias("total"),
         points.alias("points"),
         many("pass").alias("passed"),
@@ -256,7 +262,7 @@ def summary(facts: DataFrame, package: str = "package_id") -> DataFrame:
     score = F.bround(F.col("points") / F.col("total"), 0).cast("int")
     status = F.when(F.col("total") == 0, "not_applicable").when(F.col("failed") > 0, "fail").when(F.col("warnings") > 0, "warning")
     return rows.select(
-        package, F.when(F.col("total") > 0, score).alias("score"), status.otherwise("pass").alias("status"),
+        package, "checks", F.when(F.col("total") > 0, score).alias("score"), status.otherwise("pass").alias("status"),
         "passed", "warnings", "failed", "not_applicable",
     )
 

@@ -384,8 +384,7 @@ def payload_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = facts(spark, sf_dir)
-    return report.documents(rules.judged(known), rules.summary(known))
+    return report.documents(rules.summed(rules.judged(facts(spark, sf_dir))))
 
 
 QUERIES: dict[str, Query] = {

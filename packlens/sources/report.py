@@ -21,12 +21,11 @@ def regions_with_findings(regions: DataFrame, findings: DataFrame, package: str
     return regions.join(findings.select(package, F.col("region_id").alias("id")), [package, "id"], "left_semi")
 
 
-def documents(judged: DataFrame, summaries: DataFrame, package: str = "package_id") -> DataFrame:
-    """(package, report): summary and checks of each package as JSON."""
+def documents(summed: DataFrame, package: str = "package_id") -> DataFrame:
+    """(package, report): summary and checks of each package as JSON. ``summed``: a row for each package, as ``rules.summed`` gives it."""
     head = F.struct("score", "status", "passed", "warnings", "failed", "not_applicable")
-    rows = judged.join(summaries.select(package, head.alias("summary")), package)
-    body = F.struct(F.col(package), "summary", "checks")
-    return rows.select(package, F.to_json(body).alias("report"))
+    body = F.struct(F.col(package), head.alias("summary"), "checks")
+    return summed.select(package, F.to_json(body).alias("report"))
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
