@@ -34,8 +34,25 @@ _SPLITS = {
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LETTERS = {b: chr(b) for b in _VISIBLE} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _ODD = re.compile(f"[^{_PLAIN}]")
-#: Pieces of at most ``LONG`` characters are remembered, so many at most; then a worker forgets them all and starts anew.
-MAX_PIECES, LONG = 400_000, 10
+#: Pieces of at most ``LONG`` characters are remembered, so many at most, and so many longer ones; then a worker forgets them and starts anew.
+MAX_PIECES, LONG, MAX_LONG = 400_000, 10, 50_000
+
+
+class _Known(dict):
+    """The ids of each piece, packed; a piece that isn't known is encoded by the library's model."""
+
+    def __init__(self, library: Tokenizer) -> None:
+        self.tokenize, self.long = library.model.tokenize, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        store, most = (self.long, MAX_LONG) if len(piece) > LONG else (self, MAX_PIECES)
+        if (ids := store.get(piece)) is None:
+            text = piece if piece.isascii() else piece.encode().decode("latin-1")
+            ids = array("I", [t.id for t in self.tokenize(text.translate(_LETTERS))]).tobytes()
+            if len(store) >= most:
+                store.clear()
+            store[piece] = ids
+        return ids
 
 
 class PieceEncoder:
@@ -55,7 +72,7 @@ class PieceEncoder:
         # only the two layouts above are split here; any other tokenizer always goes through the library
         self.kind = {frozenset({"ByteLevel", None}): "byte", frozenset({"Sequence"}): "word"}.get(frozenset(kinds))
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.library)
 
     def _plain(self, text: str) -> bool:
         return self.kind is not None and not _ODD.search(text) and not any(s in text for s in self.special)
@@ -66,30 +83,10 @@ class PieceEncoder:
     def _pieces(self, text: str) -> list[str]:
         return _SPLITS[self.kind].findall(text.lower() if self.kind == "word" else text)
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Has the library's model encode new pieces, written in its letters for bytes."""
-        tokenize = self.library.model.tokenize
-        for piece in pieces:
-            text = piece if piece.isascii() else piece.encode().decode("latin-1")
-            self.known[piece] = array("I", [t.id for t in tokenize(text.translate(_LETTERS))]).tobytes()
-
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text."""
-        split = [self._pieces(t) if t and self._plain(t) else None for t in texts]
-        new = set().union(*(x for x in split if x)).difference(self.known)
-        if len(self.known) + len(new) > MAX_PIECES:
-            self.known.clear()
-            new = set().union(*(x for x in split if x))
-        self._learn(new)
         get = self.known.__getitem__
-        out = [
-            b"".join(map(get, pieces)) if pieces is not None else self._whole(text) if text else b""
-            for pieces, text in zip(split, texts, strict=True)
-        ]
-        for piece in new:
-            if len(piece) > LONG:  # long ones hardly ever come again
-                del self.known[piece]
-        return out
+        return [(b"".join(map(get, self._pieces(t))) if self._plain(t) else self._whole(t)) if t else b"" for t in texts]
 
     def encode(self, text: str | None) -> bytes:
         """The ids of one text, packed."""
