@@ -185,8 +185,12 @@ class Index:
                     at = (number, int(c.item[r]), start)
                     found[at] = min(b, found.get(at, 99))
 
-    def scan(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int, float]]]:
-        """For each text: (row of the item, word_start, n_words, hamming, similarity) of the items found in it."""
+    def scan(self, texts: list[str | None]) -> Iterator[list[tuple[int, int, int, int, float]]]:
+        """For each text: (row of the item, word_start, n_words, hamming, similarity) of the items found in it. Some texts at a time."""
+        for at in range(0, len(texts), 256):
+            yield from self._scan(texts[at : at + 256])
+
+    def _scan(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int, float]]]:
         words = [words_of(t) for t in texts]
         overlap = max(self.sizes, default=1)
         found: dict[tuple[int, int, int], int] = {}

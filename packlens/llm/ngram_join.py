@@ -99,10 +99,9 @@ def scan(docs: DataFrame, join: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, len(whole), 512)):
             sets = [shingles(t, join.n) for t in batch.column("text").to_pylist()]
-            if sets:
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+            np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             none = [None] * len(sets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("th"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],

@@ -112,7 +112,7 @@ def test_blocks_of_items_and_long_texts(spark, odd, monkeypatch):
     assert len(list(d.indexes(spark.createDataFrame(items, ITEM)))) > 8
     monkeypatch.setattr(d, "WORDS", 100)
     index = d.Index(items)
-    assert [x[:3] for x in index.scan([None, text])[1]] == [(7, 900, 20)]
+    assert [x[:3] for x in list(index.scan([None, text]))[1]] == [(7, 900, 20)]
 
 
 def test_every_fingerprint_within_the_radius_is_found():
