@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, ngram_join, packing, quality, sharding, suffix_dedup, token_count, token_output, url_filter
+from . import (
+    conversation_trie, decontaminate, embedding_dedup, html_extract, ngram_join, packing, quality, sharding, source_audit, suffix_dedup, token_count,
+    token_output, url_filter,
+)
 from .common import scratch, table
 
 URL_RULES = [
@@ -73,6 +76,19 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = conversation_trie.turns(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(conversation_trie.shared_beginnings(paths, block=100, most=6))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), embedding_dedup.Near(share=0.95))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"), source_audit.Audit(min_docs=10, top=10))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontaminate": op2_decontaminate,
@@ -84,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_url_filters": op9_url_filters,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_source_audit": op13_source_audit,
 }
 
 #: White space and words as every operator here takes them.
@@ -125,5 +144,51 @@ s as (select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from s)
 select *, not base_failed and not (n_words_removed > 0 and (n_words - n_words_removed < 20
   or 100 * n_words_removed > 60 * n_words)) as kept from b
+""",
+    "op11_conversation_trie": """
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+p as (select conv_id, list({'r': role, 't': text} order by turn nulls first, role, text) as ts from t group by conv_id),
+h as (select conv_id, ts, conv_id - conv_id % 100 as base,
+  list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint),
+    lambda c, x: list_reduce(list_concat([xor(c, x)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda a, b: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295::bigint) as crc from p),
+r as (select h.conv_id, list_concat(coalesce(b.ts[1:k], []), h.ts[k + 1:]) as path
+  from (select *, (xor(crc, 4294967295) % 6)::bigint as k from h) h left join (select conv_id as c0, ts from p) b(c0, ts) on c0 = base),
+n as (select conv_id, d, path[1:d] as node, d = len(path) as ends from (select *, unnest(range(len(path) + 1)) as d from r)),
+g as (select node, d, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256 from n group by node, d),
+k as (select node[1:d - 1] as parent, count(*) as n_children from g where d > 0 group by 1),
+u as (select g.*, coalesce(n_children, 0) as n_children, case when d = 0 then 0 else (n_convs - 1) * length(node[d].t) end as own from g left join k on parent = node),
+s as (select a.node, count(*) filter (u.n_children = 0) as n_leaves, sum(u.own) as saved_tokens
+  from (select *, unnest(range(d + 1)) as e from u) u join u a on a.d = u.e and a.node = u.node[1:u.e] group by a.node)
+select u.conv_id, u.d as depth, g.conv_id as parent_conv_id, u.n_convs, u.n_children, s.n_leaves, s.saved_tokens::bigint as saved_tokens, u.ends_sha256
+from u join s on s.node = u.node left join g on u.d > 0 and g.d = u.d - 1 and g.node = u.node[1:u.d - 1]
+""",
+    "op12_embedding_dedup": """
+with recursive v as (select row_number() over () as r, vec_id, embedding::double[] as e from embeddings),
+good as (select * from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_max(list_transform(e, lambda x: abs(x))) > 0),
+link as (select a.r as x, b.r as y, b.vec_id as other from good a join good b on a.r <> b.r and len(a.e) = len(b.e)
+  where case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) >= 0.95 else false end),
+reach as (select r as x, r as y from v union select reach.x, link.y from reach join link on reach.y = link.x),
+named as (select x, min(vec_id) as component_id from reach join v on v.r = reach.y group by x),
+many as (select x, count(*) as n from link group by x)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id is not distinct from component_id as kept
+from v join named on named.x = r left join many on many.x = r
+""",
+    "op13_source_audit": r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+t as (select r, lang, source, unnest(ts) as term from d),
+kept as (select lang, term, count(*)::hugeint as n from t group by all having count(distinct r) >= 10),
+grp as (select distinct lang, source from d),
+cell as (select grp.lang, grp.source, kept.term, coalesce(c, 0)::hugeint as c, kept.n from grp join kept on kept.lang = grp.lang
+  left join (select lang, source, term, count(*) as c from t group by all) x on x.lang = grp.lang and x.source = grp.source and x.term = kept.term),
+tot as (select *, sum(c) over (partition by lang, source)::hugeint as big, count(*) over (partition by lang, source)::hugeint as v from cell),
+lng as (select lang, sum(n)::hugeint as big from kept group by lang),
+p as (select tot.*, 1 + (1000000000::hugeint * (c + 2)) // (tot.big + 2 * v) as p, 1 + (1000000000::hugeint * (tot.n + 2)) // (lng.big + 2 * v) as q from tot join lng using (lang)),
+pair as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select g.lang, g.source, 'pair' as part, o.source as item, coalesce(value, 0)::bigint as value from grp g join grp o on g.lang = o.lang and g.source <> o.source
+  left join pair on pair.lang = g.lang and pair.source = g.source and pair.item = o.source),
+terms as (select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from p where c > 0 and p > q)
+select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank from (select * from pairs union all select * from terms)
+qualify part = 'pair' or row_number() over (partition by lang, source, part order by value desc, item) <= 10
 """,
 }
