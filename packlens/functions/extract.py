@@ -88,32 +88,72 @@ def flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("string")
 
 
-def _first(text: Column, *options: tuple[str, Column]) -> Column:
+class Found:
+    """What patterns find in a text: whether, groups of the first match, and the line in which it begins."""
+
+    def __init__(self, text: Column) -> None:
+        self.text = text
+
+    def has(self, pattern: str) -> Column:
+        return self.text.rlike(pattern)
+
+    def group(self, pattern: str, n: int) -> Column:
+        return F.regexp_extract(self.text, pattern, n)
+
+    def line(self, pattern: str) -> Column:
+        return line_of(self.text, pattern)
+
+
+class _Settled(Found):
+    """The same from columns that hold each pattern's first match and its line: a text is searched once for each pattern.
+
+    A match alone has the same groups as in its text, since no pattern looks beyond its match but for word boundaries.
+    """
+
+    def has(self, pattern: str) -> Column:
+        return F.col(f"_m{PATTERNS.index(pattern)}") != ""
+
+    def group(self, pattern: str, n: int) -> Column:
+        return F.regexp_extract(F.col(f"_m{PATTERNS.index(pattern)}"), pattern, n)
+
+    def line(self, pattern: str) -> Column:
+        return F.col(f"_l{PATTERNS.index(pattern)}")
+
+
+def _found(t: Column | Found) -> Found:
+    return t if isinstance(t, Found) else Found(t)
+
+
+def _first(t: Found, *options: tuple[str, Column]) -> Column:
     out = None
     for pattern, made in options:
-        out = F.when(text.rlike(pattern), made) if out is None else out.when(text.rlike(pattern), made)
+        out = F.when(t.has(pattern), made) if out is None else out.when(t.has(pattern), made)
     return out
 
 
-def manufacturer(t: Column) -> Column:
+def manufacturer(t: Column | Found) -> Column:
+    t = _found(t)
+
     def made(p: str, conf: float) -> tuple[str, Column]:
-        value = strip(F.regexp_extract(t, p, 2))
-        role = F.lower(F.regexp_extract(t, p, 1))
-        return p, candidate(value, line_of(t, p), conf, role=role, address_detected=flag(is_address(value)))
+        value = strip(t.group(p, 2))
+        return p, candidate(value, t.line(p), conf, role=F.lower(t.group(p, 1)), address_detected=flag(is_address(value)))
 
     return _first(t, made(_MAKER[0], 0.92), made(_MAKER[1], 0.86))
 
 
-def country_origin(t: Column) -> Column:
+def country_origin(t: Column | Found) -> Column:
+    t = _found(t)
+
     def made(p: str, conf: float) -> tuple[str, Column]:
-        value = F.regexp_replace(F.regexp_extract(t, p, 1), r"^[ .,-]+|[ .,-]+$", "")
-        return p, candidate(value, line_of(t, p), conf, country=value)
+        value = F.regexp_replace(t.group(p, 1), r"^[ .,-]+|[ .,-]+$", "")
+        return p, candidate(value, t.line(p), conf, country=value)
 
     return _first(t, made(_ORIGIN[0], 0.95), made(_ORIGIN[1], 0.90))
 
 
-def commodity_name(t: Column) -> Column:
-    return _first(t, (_NAME, candidate(strip(F.regexp_extract(t, _NAME, 1)), line_of(t, _NAME), 0.92)))
+def commodity_name(t: Column | Found) -> Column:
+    t = _found(t)
+    return _first(t, (_NAME, candidate(strip(t.group(_NAME, 1)), t.line(_NAME), 0.92)))
 
 
 def piece_unit(unit: Column) -> Column:
@@ -121,24 +161,27 @@ def piece_unit(unit: Column) -> Column:
     return F.when(low.isin("pc", "pcs", "piece", "pieces", "n"), "pc").otherwise(low)
 
 
-def net_quantity(t: Column) -> Column:
-    amount, unit = F.regexp_extract(t, _NET, 1), piece_unit(F.regexp_extract(t, _NET, 2))
-    return _first(t, (_NET, candidate(F.concat_ws(" ", amount, unit), line_of(t, _NET), 0.94, amount=amount, unit=unit)))
+def net_quantity(t: Column | Found) -> Column:
+    t = _found(t)
+    amount, unit = t.group(_NET, 1), piece_unit(t.group(_NET, 2))
+    return _first(t, (_NET, candidate(F.concat_ws(" ", amount, unit), t.line(_NET), 0.94, amount=amount, unit=unit)))
+
 
+_GAP = r"[ \t]*(?::|-)?[ \t]*"
+_PRICES = tuple(rf"(?i){label}{_GAP}(₹|rs\.?|inr)[ \t]*{_AMOUNT}" for label in _PRICE_LABELS)
+_BARE_PRICES = tuple(rf"(?i){label}{_GAP}{_AMOUNT}" for label in _PRICE_LABELS)
 
-def mrp(t: Column) -> Column:
-    gap = r"[ \t]*(?::|-)?[ \t]*"
-    options = []
-    for label in _PRICE_LABELS:
-        p = rf"(?i){label}{gap}(₹|rs\.?|inr)[ \t]*{_AMOUNT}"
-        code, amount, line = currency(F.regexp_extract(t, p, 1)), F.regexp_extract(t, p, 2), line_of(t, p)
+
+def mrp(t: Column | Found) -> Column:
+    t, options = _found(t), []
+    for p in _PRICES:
+        code, amount, line = currency(t.group(p, 1)), t.group(p, 2), t.line(p)
         made = candidate(
             F.concat_ws(" ", code, amount), line, 0.95, amount=amount, currency=code, tax_inclusive_phrase=flag(line.rlike(TAX))
         )
         options.append((p, made))
-    for label in _PRICE_LABELS:
-        p = rf"(?i){label}{gap}{_AMOUNT}"
-        amount, line = F.regexp_extract(t, p, 1), line_of(t, p)
+    for p in _BARE_PRICES:
+        amount, line = t.group(p, 1), t.line(p)
         options.append((p, candidate(amount, line, 0.84, amount=amount, tax_inclusive_phrase=flag(line.rlike(TAX)))))
     return _first(t, *options)
 
@@ -152,28 +195,32 @@ def month_number(name: Column) -> Column:
     return F.lpad(at.cast("string"), 2, "0")
 
 
-def month_year(t: Column) -> Column:
-    month, year = F.lpad(F.regexp_extract(t, _MADE_NUMBER, 1), 2, "0"), full_year(F.regexp_extract(t, _MADE_NUMBER, 2))
-    named, in_year = month_number(F.regexp_extract(t, _MADE_NAME, 1)), F.regexp_extract(t, _MADE_NAME, 2)
+def month_year(t: Column | Found) -> Column:
+    t = _found(t)
+    month, year = F.lpad(t.group(_MADE_NUMBER, 1), 2, "0"), full_year(t.group(_MADE_NUMBER, 2))
+    named, in_year = month_number(t.group(_MADE_NAME, 1)), t.group(_MADE_NAME, 2)
     return _first(
         t,
-        (_MADE_NUMBER, candidate(F.concat_ws("/", month, year), line_of(t, _MADE_NUMBER), 0.94, month=month, year=year)),
-        (_MADE_NAME, candidate(F.concat_ws("/", named, in_year), line_of(t, _MADE_NAME), 0.90, month=named, year=in_year)),
+        (_MADE_NUMBER, candidate(F.concat_ws("/", month, year), t.line(_MADE_NUMBER), 0.94, month=month, year=year)),
+        (_MADE_NAME, candidate(F.concat_ws("/", named, in_year), t.line(_MADE_NAME), 0.90, month=named, year=in_year)),
     )
 
 
-def best_before(t: Column) -> Column:
-    value = strip(F.regexp_extract(t, _BEFORE, 1))
-    return _first(t, (_BEFORE, candidate(value, line_of(t, _BEFORE), 0.92, declaration=value)))
+def best_before(t: Column | Found) -> Column:
+    t = _found(t)
+    value = strip(t.group(_BEFORE, 1))
+    return _first(t, (_BEFORE, candidate(value, t.line(_BEFORE), 0.92, declaration=value)))
 
 
-def dimensions(t: Column) -> Column:
-    value = strip(F.regexp_replace(F.regexp_extract(t, _SIZE, 1), r"\s+", " "))
-    return _first(t, (_SIZE, candidate(value, line_of(t, _SIZE), 0.90, dimensions=value)))
+def dimensions(t: Column | Found) -> Column:
+    t = _found(t)
+    value = strip(F.regexp_replace(t.group(_SIZE, 1), r"\s+", " "))
+    return _first(t, (_SIZE, candidate(value, t.line(_SIZE), 0.90, dimensions=value)))
 
 
-def consumer_care(t: Column) -> Column:
-    lines = F.filter(F.split(t, r"[\n\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda x: x.rlike(_CARE) & (x.rlike(EMAIL) | x.rlike(_PHONE)))
+def consumer_care(t: Column | Found) -> Column:
+    t = _found(t)
+    lines = F.filter(F.split(t.text, r"[\n\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda x: x.rlike(_CARE) & (x.rlike(EMAIL) | x.rlike(_PHONE)))
 
     def made(line: Column) -> Column:
         email, phone = found(line, EMAIL, 0), found(line, _PHONE, 1)
@@ -181,24 +228,39 @@ def consumer_care(t: Column) -> Column:
         return candidate(value, compact(line), 0.94, address_detected=place, email=email, phone=phone)
 
     full = F.get(F.transform(F.slice(lines, 1, 1), made), F.lit(0))  # the line is found once
-    lone = found(t, _CARE_EMAIL, 0)
+    lone = F.nullif(t.group(_CARE_EMAIL, 0), F.lit(""))
     alone = candidate(lone, compact(lone), 0.82, email=lone, address_detected=F.lit("false"))
     return F.coalesce(full, F.when(lone.isNotNull(), alone))
 
 
-def unit_sale_price(t: Column) -> Column:
-    code, amount = currency(F.regexp_extract(t, _UNIT_PRICE, 1)), F.regexp_extract(t, _UNIT_PRICE, 2)
-    quantity = F.coalesce(found(t, _UNIT_PRICE, 3), F.lit("1"))
-    low = F.lower(F.regexp_extract(t, _UNIT_PRICE, 4))
+def unit_sale_price(t: Column | Found) -> Column:
+    t = _found(t)
+    code, amount = currency(t.group(_UNIT_PRICE, 1)), t.group(_UNIT_PRICE, 2)
+    quantity = F.coalesce(F.nullif(t.group(_UNIT_PRICE, 3), F.lit("")), F.lit("1"))
+    low = F.lower(t.group(_UNIT_PRICE, 4))
     unit = F.when(low.isin("piece", "pc", "number", "unit"), "pc").otherwise(low)
     value = F.concat(code, F.lit(" "), amount, F.lit(" / "), quantity, F.lit(" "), unit)
     made = candidate(
-        value, line_of(t, _UNIT_PRICE), 0.93, currency=code, amount=amount, reference_quantity=quantity, reference_unit=unit
+        value, t.line(_UNIT_PRICE), 0.93, currency=code, amount=amount, reference_quantity=quantity, reference_unit=unit
     )
     return _first(t, (_UNIT_PRICE, made))
 
 
-EXTRACTORS: dict[str, Callable[[Column], Column]] = {
+#: Every pattern that is searched in whole texts.
+PATTERNS = (*_MAKER, *_ORIGIN, _NAME, _NET, *_PRICES, *_BARE_PRICES, _MADE_NUMBER, _MADE_NAME, _BEFORE, _SIZE, _CARE_EMAIL, _UNIT_PRICE)
+PRICE_PATTERNS = (*_PRICES, *_BARE_PRICES)
+
+
+def searched(views: DataFrame, patterns: tuple[str, ...] = PATTERNS, text: str = "ocr_text") -> tuple[DataFrame, Found]:
+    """Adds ``_text`` (normal) and what the patterns find in it, each searched once in its row; the second is for the extractors."""
+    rows = settled(views, _text=normal_text(F.col(text)))
+    rows = settled(rows, **{f"_m{PATTERNS.index(p)}": F.regexp_extract("_text", p, 0) for p in patterns})
+    lined = [p for p in patterns if p != _CARE_EMAIL]
+    lines = {f"_l{PATTERNS.index(p)}": F.when(F.col(f"_m{PATTERNS.index(p)}") != "", line_of(F.col("_text"), p)) for p in lined}
+    return settled(rows, **lines), _Settled(F.col("_text"))
+
+
+EXTRACTORS: dict[str, Callable[[Column | Found], Column]] = {
     f.__name__: f
     for f in (
         manufacturer, country_origin, commodity_name, net_quantity, month_year, best_before, mrp, dimensions, consumer_care,
@@ -229,12 +291,11 @@ def declarations(views: DataFrame, spatial: Callable[[str], Column | None] = lam
     ``spatial``: gives for a kind the column that, where it isn't null, goes before the text's. Each view is handled in
     its own row; nothing is shuffled.
     """
-    t = F.col("_text")
+    rows, t = searched(views)
     columns = []
     for n, (key, extractor) in enumerate(EXTRACTORS.items()):
         made, placed = extractor(t), spatial(key)
         both = made if placed is None else F.coalesce(placed, made)
         columns.append(F.struct(F.lit(n).alias("key_no"), F.lit(key).alias("key"), both.alias("d")))
-    rows = settled(views, _text=normal_text(F.col("ocr_text")))
     rows = rows.select(*views.columns, F.explode(F.array(*columns)).alias("x")).where("x.d is not null")
     return rows.select(*views.columns, "x.key_no", "x.key", "x.d.*")

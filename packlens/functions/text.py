@@ -30,9 +30,13 @@ def places(text: Column, pattern: str) -> Column:
     return F.transform(said, lambda m, i: F.struct((upto(between, i + 1) + upto(said, i)).alias("at"), m.alias("said")))
 
 
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end (``trim`` takes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normal_text(c: Column) -> Column:
@@ -55,8 +59,9 @@ def line_of(text: Column, pattern: str) -> Column:
     """The evidence for a match: the line in which it begins, compact. By characters, also after an emoji."""
     flags, body = ("(?is)", pattern[4:]) if pattern.startswith("(?i)") else ("(?s)", pattern)
     before = F.regexp_extract(text, f"{flags}^(.*?)(?:{body})", 1)
-    rest = F.substring(text, F.length(before) + 1, F.length(text))
-    return compact(F.concat(F.substring_index(before, "\n", -1), F.substring_index(rest, "\n", 1)))
+    # the text in front of the match is found once
+    line = lambda b: F.concat(F.substring_index(b, "\n", -1), F.substring_index(F.substring(text, F.length(b) + 1, F.length(text)), "\n", 1))
+    return compact(F.get(F.transform(F.array(before), line), F.lit(0)))
 
 
 def key_text(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import ATTRIBUTES
-from ..functions.text import decimal, distinct_texts, plain_number, settled
+from ..functions.text import decimal, distinct_texts, plain_number, settled, strip
 
 
 def merge(primary: DataFrame, supplemental: DataFrame, *by: str) -> DataFrame:
@@ -39,21 +39,30 @@ def _with(attrs: Column, **changed: Column) -> Column:
     return F.struct(*(changed.get(a, attrs[a]).cast("string").alias(a) for a in ATTRIBUTES))
 
 
-def fuse(declarations: DataFrame, package: str = "package_id", order: str = "view_no") -> DataFrame:
+def fuse(declarations: DataFrame, package: str = "package_id", order: str = "view_no", text: str | None = None) -> DataFrame:
     """A fact for each package and key: value, evidence, confidence, attrs, region_ids, source_image_ids, n_views.
 
-    Expects key, value, evidence, confidence, attrs and, if there are any, region_ids and image_id. Of equally confident
-    views the first counts.
+    Expects key, value, evidence, confidence, attrs and, if there are any, region_ids, image_id and src. Of equally confident
+    views the first counts. Where ``src`` tells several declarations of a kind in one view apart, the first of the most confident ones is the view's.
+    Rows with the key ``text`` are parts of a text, which their value then is.
     """
     none = F.array().cast("array<string>")
     regions = F.coalesce("region_ids", none) if "region_ids" in declarations.columns else none
     image = F.col("image_id") if "image_id" in declarations.columns else F.lit(None).cast("string")
+    source = F.col("src") if "src" in declarations.columns else F.lit(0)
     item = F.struct(
-        F.col(order).alias("at"), "value", "evidence", "confidence", "attrs", regions.alias("regions"), image.alias("image"),
+        F.col(order).alias("at"), source.alias("src"), "value", "evidence", "confidence", "attrs", regions.alias("regions"), image.alias("image"),
         identity(F.col("key"), F.col("value"), F.col("attrs")).alias("same"), labelled(F.col("evidence"), F.col("attrs")).alias("said"),
     )
     rows = declarations.groupBy(package, "key").agg(F.collect_list(item).alias("_unsorted"))
-    rows = settled(rows, items=F.array_sort("_unsorted", lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)))
+    sorted_ = F.array_sort("_unsorted", lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(a["src"] - b["src"]))
+    if "src" in declarations.columns:
+        rows = settled(rows, _sorted=sorted_)
+        better = lambda x, y: (x["at"] == y["at"]) & ((y["confidence"] > x["confidence"]) | ((y["confidence"] == x["confidence"]) & (y["src"] < x["src"])))
+        several = F.exists("_sorted", lambda x: x["src"] > 0)
+        own = F.filter("_sorted", lambda x: ~F.exists("_sorted", lambda y: better(x, y)))
+        sorted_ = F.when(several, own).otherwise(F.col("_sorted"))
+    rows = settled(rows, items=sorted_)
     top = F.array_max(F.transform("items", lambda x: x["confidence"]))
     rows = settled(rows, best=F.get(F.filter("items", lambda x: x["confidence"] == top), F.lit(0)))
 
@@ -81,10 +90,13 @@ def fuse(declarations: DataFrame, package: str = "package_id", order: str = "vie
         multi_image_fused=several,
     )
     is_care = F.col("key") == "consumer_care"
+    value = F.when(is_care, values).otherwise(F.col("best.value"))
+    if text is not None:
+        value = F.when(F.col("key") == text, F.array_join(F.transform("items", lambda x: x["value"]), "\n\n")).otherwise(value)
     return rows.select(
         package,
         "key",
-        F.when(is_care, values).otherwise(F.col("best.value")).alias("value"),
+        value.alias("value"),
         F.array_join(all_of(lambda x: x["said"]), " || ").alias("evidence"),
         top.alias("confidence"),
         F.when(is_care, care).otherwise(usual).alias("attrs"),
@@ -97,7 +109,7 @@ def fuse(declarations: DataFrame, package: str = "package_id", order: str = "vie
 def combined_text(views: DataFrame, package: str = "package_id") -> DataFrame:
     """(package, raw_text): the non-blank views in order, each under a line with its file's name."""
     some = views.where(F.col("ocr_text").rlike(r"\S"))
-    part = F.concat(F.lit("--- "), F.col("file_name"), F.lit(" ---\n"), F.col("ocr_text"))
+    part = F.concat(F.lit("--- "), F.col("file_name"), F.lit(" ---\n"), strip(F.col("ocr_text")))
     parts = some.groupBy(package).agg(F.array_sort(F.collect_list(F.struct("view_no", part.alias("part")))).alias("parts"))
     return parts.select(package, F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n").alias("raw_text"))
 

@@ -201,14 +201,19 @@ def facts_of(declarations: DataFrame, texts: DataFrame, contexts: DataFrame, pac
     pivot = declarations.groupBy(package).agg(
         *(F.min(F.when(F.col("key") == k, F.struct(*columns))).alias(k) for k in kinds)
     )
-    rows = contexts.join(texts, package, "left").join(pivot.select(package, F.struct(*kinds).alias("facts")), package, "left")
+    return with_context(texts.join(pivot.select(package, F.struct(*kinds).alias("facts")), package, "full"), contexts, package)
+
+
+def with_context(facts: DataFrame, contexts: DataFrame, package: str = "package_id") -> DataFrame:
+    """Facts and raw_text of packages beside their contexts; a package of ``contexts`` without any has null facts and an empty text."""
+    rows = contexts.join(facts, package, "left")
     return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in CONTEXT.items()}).withColumn(
         "raw_text", F.coalesce("raw_text", F.lit(""))
     )
 
 
-def judged(facts: DataFrame, package: str = "package_id") -> DataFrame:
-    """(package, checks): the array of the ten checks of a package."""
+def judged(facts: DataFrame, package: str = "package_id", keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(package, checks): the array of the ten checks of a package, after the columns to ``keep``."""
     rows = settled(facts, small_pack=small_package(), short=word_chars(F.col("raw_text")) < 40)
     rows = settled(rows, checks=F.array(*(_check(n, r) for n, r in enumerate(RULES))))
     short = F.col("short")
@@ -230,7 +235,7 @@ def judged(facts: DataFrame, package: str = "package_id") -> DataFrame:
             x["out"]["percent"].alias("percent"),
         )
 
-    return settled(rows, checks=F.transform("checks", final)).select(package, "checks")
+    return settled(rows, checks=F.transform("checks", final)).select(package, *keep, "checks")
 
 
 def checks(facts: DataFrame, package: str = "package_id") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions import extract as x
 from ..functions.text import ADDRESS_WORDS
-from ..operators import recovery, rules, spatial
+from ..operators import inspection, recovery, rules, spatial
 from . import fixtures
 
 
@@ -125,12 +125,12 @@ _ALL = _options()
 _CARE_LINE = _ALL.pop("_care")
 
 
-def _rows(key: str) -> str:
+def _rows(key: str, relation: str = "n") -> str:
     options = _ALL[key]
     pick = lambda at: "case " + " ".join(f"when {o[0]} then {at(o)}" for o in options) + " end"
     columns = [f"{pick(lambda o: o[1])} as value", f"{pick(lambda o: o[2])} as evidence", f"{pick(lambda o: str(o[3]))}::double as confidence"]
     columns += [f"cast({pick(lambda o, a=a: o[4].get(a, 'null'))} as varchar) as {a}" for a in _ATTRS]
-    source = f"(select *, {_CARE_LINE} as care from n)" if key == "consumer_care" else "n"
+    source = f"(select *, {_CARE_LINE} as care from {relation})" if key == "consumer_care" else relation
     return f"select package_id, view_no, image_id, file_name, '{key}' as key, {', '.join(columns)} from {source} where {' or '.join(o[0] for o in options)}"
 
 
@@ -141,8 +141,7 @@ def _extractor(key: str, shown: str) -> str:
 
 DECLARATIONS = f"{VIEWS}, decl as ({' union all '.join(_rows(k) for k in _ALL)})"
 
-FUSED = f"""{DECLARATIONS},
-item as (select *, '[' || file_name || '] ' || evidence as said,
+_FUSE = f"""item as (select *, '[' || file_name || '] ' || evidence as said,
   case when key = 'mrp' and try_cast(amount as double) is not null then coalesce(currency, '') || '|' || try_cast(amount as double)
        when key = 'net_quantity' and try_cast(amount as double) is not null then try_cast(amount as double) || '|' || coalesce(unit, '')
        else regexp_replace(lower(value), '\\s+', ' ', 'g') end as same,
@@ -157,8 +156,9 @@ fused as (select package_id, key, count(*) as n_views, max(confidence) as confid
   count(distinct email) as n_emails, count(distinct phone) as n_phones, bool_or(coalesce(address_detected = 'true', false)) as any_address,
   first(value order by confidence desc, view_no) as value,
   {', '.join(f"first({a} order by confidence desc, view_no) as {a}" for a in _ATTRS)} from item group by package_id, key)"""
+FUSED = f"{DECLARATIONS}, {_FUSE}"
 
-TEXTS = """texts as (select package_id, string_agg('--- ' || file_name || ' ---' || chr(10) || ocr_text, chr(10) || chr(10) order by view_no) as raw_text
+TEXTS = """texts as (select package_id, string_agg('--- ' || file_name || ' ---' || chr(10) || regexp_replace(ocr_text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) order by view_no) as raw_text
   from views where regexp_matches(ocr_text, '\\S') group by package_id)"""
 
 _POINTER = rf"(?i){recovery.LABEL}[\s\S]{{0,180}}?{recovery.POINTER}"
@@ -200,13 +200,110 @@ def _fact(key: str, names: str) -> str:
     return f"left join (select package_id, {columns} from known where key = '{key}') using (package_id)"
 
 
+_POINTS = f"(?i){recovery.POINTER}"
+
+
+def _places(name: str, pattern: str, views: str) -> str:
+    """Matches of a pattern in views that point somewhere: their number i, place and text."""
+    return f"""{name} as (select package_id, view_no, t, i, ms[i] as said,
+  cast(coalesce(list_sum(list_transform(string_split_regex(t, {q(pattern)})[1:i], lambda z: length(z))), 0)
+    + coalesce(list_sum(list_transform(ms[1:i - 1], lambda z: length(z))), 0) as bigint) as place
+  from (select *, unnest(range(1, len(ms) + 1)) as i from (select package_id, view_no, ocr_text as t,
+    regexp_extract_all(ocr_text, {q(pattern)}, 0) as ms from {views} where {has('ocr_text', _POINTS)})))"""
+
+
+def _around(before: int, after: int) -> str:
+    return f"substr(t, greatest(0, lb - {before}) + 1, le + {after} - greatest(0, lb - {before}))"
+
+
+_TAX = "(?i)" + recovery.TAX
+_APART = compact(f"{compact(_around(28, 110), 150)} || ' ... ' || {compact('said', 90)}", 260)
+def _references(views: str) -> str:
+    return f"""{_places('direct', _POINTER, views)}, {_places('pointer', _POINTS, views)}, {_places('label', '(?i)' + recovery.LABEL, views)},
+near as (select p.package_id, p.view_no, p.t, p.i, p.said, l.place as lb, l.place + length(l.said) as le,
+    row_number() over (partition by p.package_id, p.view_no, p.i order by abs(l.place - p.place), l.place) as n
+  from pointer p join label l on l.package_id = p.package_id and l.view_no = p.view_no
+  where not exists (select 1 from direct d where d.package_id = p.package_id and d.view_no = p.view_no
+    and abs(d.place + length(d.said) - p.place - length(p.said)) <= 4)),
+said as (select package_id, view_no, 0 as apart, i, {group('said', _POINTER, 1)} as word, {compact('said', 260)} as evidence,
+    {has(compact('said', 260), _TAX)} as tax_inclusive_phrase from direct
+  union all select package_id, view_no, 1, i, {group('said', _POINTS, 1)}, {_APART}, {has(_around(180, 180), _TAX)} or {has(_APART, _TAX)} from near where n = 1),
+reference as (select package_id, view_no, apart, i, {_LOCATORS.format('lower(word)')} as locator, evidence, tax_inclusive_phrase from said
+  qualify row_number() over (partition by package_id, view_no, {_LOCATORS.format('lower(word)')} order by apart, i) = 1)"""
+
+
+REFERENCES = _references("views")
+
+_SAME_VIEW = "{0}.package_id = {1}.package_id and {0}.view_no = {1}.view_no"
+_SAME_PLACE = _SAME_VIEW + " and {0}.locator = {1}.locator"
+_SHOWS = lambda r: f"(regexp_matches(replace(lower({r}_text), '.', ''), 'rs|r5|inr') or contains({r}_text, '₹') or contains({r}_text, amount))"
+_TURN = "case when explicit then list_position(['wide', 'attention', 'direct'], stage) else list_position(['direct', 'wide', 'attention'], stage) end"
+
+
+def _parsed(name: str, relation: str) -> str:
+    """The price in the texts of readings: currency, amount and evidence; null if there is none."""
+    return f"""{name} as (select *, case when {has('m', _P)} or {has('text', recovery.BEFORE_RATE)} then 'INR' end as currency,
+  case when {has('m', _P)} then {_AMOUNT(group('m', _P, 2))} when {has('text', recovery.BEFORE_RATE)} then {_AMOUNT(group('text', recovery.BEFORE_RATE, 1))} end as amount,
+  case when {has('m', _P)} then {compact(group('m', _P, 0), 260)} when {has('text', recovery.BEFORE_RATE)}
+    then {compact(f"regexp_replace({group('text', recovery.BEFORE_RATE, 0)}, '^[^0-9Oo]', '')", 260)} end as evidence
+from (select *, regexp_replace(text, {q(recovery.RATE)}, ' ', 'g') as m from {relation}))"""
+
+
+#: What views point to, and what close-ups there came to: work (a row for each place), won, and done with the outcome of each place.
+WORK = f"""views0 as ({fixtures.plain(fixtures.VIEWS)}), n0 as (select *, {normal('ocr_text')} as t from views0), price0 as ({_rows('mrp', 'n0')}),
+{_references('views0')},
+hinted as (select package_id, view_no, row_number() over (partition by package_id, view_no order by apart, i) as hint_ord, locator, evidence, tax_inclusive_phrase as tax, true as explicit from reference),
+work as (select * from hinted union all select v.package_id, v.view_no, 1, 'seal', {q(inspection.UNASKED)}, {has('ocr_text', _TAX)}, false
+  from views0 v left join price0 p on {_SAME_VIEW.format('p', 'v')}
+  where not exists (select 1 from hinted h where {_SAME_VIEW.format('h', 'v')}) and not coalesce(p.currency = 'INR' and p.amount <> '', false)
+    and {has('ocr_text', f'(?i){recovery.LABEL}|{recovery.TAX}')}),
+closeup as (select * replace ({strip('text')} as text) from ({fixtures.plain(fixtures.CLOSEUPS)})), {_parsed('seen0', 'closeup')},
+seen as (select s.package_id, s.view_no, s.locator, s.stage, s.obs_ord, s.family, s.text, s.n_regions, s.r1_text, s.r1_confidence, s.r2_text, s.r2_confidence, s.sx, s.sy, s.sw, s.sh,
+    s.currency, s.amount, s.evidence, {_TURN} as turn, case when n_regions = 0 then 0 when amount is null then greatest(r1_confidence, r2_confidence)
+    when {_SHOWS('r1')} and not {_SHOWS('r2')} then r1_confidence when {_SHOWS('r2')} and not {_SHOWS('r1')} then r2_confidence else greatest(r1_confidence, r2_confidence) end as confidence
+  from seen0 s join work w on {_SAME_PLACE.format('s', 'w')}),
+turns as (select seen.*, upto from seen join (values (1), (2), (3)) a(upto) on turn <= upto),
+polls as ({_votes('turns', 'package_id, view_no, locator, upto')}), agreed as ({_won('polls', 'package_id, view_no, locator, upto')}),
+won as (select * from agreed qualify row_number() over (partition by package_id, view_no, locator order by upto) = 1),
+backing as (select s.*, w.families, w.votes, w.mean_confidence, row_number() over (partition by s.package_id, s.view_no, s.locator order by turn, obs_ord) as nth
+  from seen s join won w on {_SAME_PLACE.format('s', 'w')} and turn <= upto and s.currency = w.currency and s.amount = w.amount),
+backed as (select package_id, view_no, locator, any_value(families) as families, any_value(votes) as votes, any_value(mean_confidence) as mean_confidence, any_value(currency) as currency,
+    any_value(amount) as amount, arg_min(evidence, nth) as price_evidence, bool_or(stage = 'direct') as direct from backing group by all),
+quoted as (select package_id, view_no, locator, string_agg(text, chr(10) || '---' || chr(10) order by nth) as texts from
+  (select * from backing where text <> '' qualify row_number() over (partition by package_id, view_no, locator order by nth) <= 4) group by all),
+tried as (select w.*, b.currency, b.amount, b.families, b.votes, {_WON_CONF} as won_confidence, b.price_evidence, b.direct, quoted.texts, b.locator is not null as is_won,
+    p.value as own_value, p.evidence as own_evidence, p.confidence as own_confidence, p.amount as own_amount, p.currency as own_currency, p.tax_inclusive_phrase as own_tax,
+    coalesce(p.currency = 'INR' and p.amount <> '', false) as complete
+  from work w left join backed b on {_SAME_PLACE.format('b', 'w')} left join quoted on {_SAME_PLACE.format('quoted', 'w')} left join price0 p on {_SAME_VIEW.format('p', 'w')}),
+first_won as (select package_id, view_no, min(hint_ord) as k from tried where is_won and not complete group by all),
+known0 as (select t.*, f.k, s.tax as k_tax, s.currency || ' ' || s.amount as k_value, {compact("s.evidence || ' -> ' || s.price_evidence", 260)} as k_evidence, s.won_confidence as k_confidence, s.amount as k_amount, s.currency as k_currency
+  from tried t left join first_won f on {_SAME_VIEW.format('f', 't')} left join tried s on {_SAME_VIEW.format('s', 't')} and s.hint_ord = f.k),
+done as (select *, case when complete then case when tax and coalesce(own_tax, '') <> 'true' then 'enriched' else 'kept' end
+    when hint_ord = k then 'recovered' when hint_ord > k then case when tax and not k_tax then 'enriched' else 'kept' end when explicit then 'unresolved' else 'nothing' end as outcome from known0),
+more as (select package_id, view_no, hint_ord as src, outcome, case when outcome = 'unresolved' then 'mrp_reference' else 'mrp' end as key,
+    case outcome when 'unresolved' then 'See ' || locator when 'recovered' then currency || ' ' || amount else case when complete then own_value else k_value end end as value,
+    case outcome when 'unresolved' then evidence when 'recovered' then {compact("evidence || ' -> ' || price_evidence", 260)}
+      else {compact("(case when complete then own_evidence else k_evidence end) || ' -> ' || evidence", 260)} end as evidence,
+    case outcome when 'unresolved' then 0.82 when 'recovered' then won_confidence else least(0.96, greatest(case when complete then own_confidence else k_confidence end, 0.90)) end as confidence,
+    case outcome when 'unresolved' then null when 'recovered' then amount else case when complete then own_amount else k_amount end end as amount,
+    case outcome when 'unresolved' then null when 'recovered' then currency else case when complete then own_currency else k_currency end end as currency,
+    case outcome when 'enriched' then 'true' else cast(tax as varchar) end as tax_inclusive_phrase, locator
+  from done where outcome in ('unresolved', 'recovered', 'enriched'))"""
+
+#: Views with the text that close-ups added, the declarations of each view, and those of a package.
+INSPECTED = f"""{WORK}, added as (select package_id, view_no, string_agg({q(inspection.HEADER.partition('{')[0])} || locator || ']' || chr(10) || texts, chr(10) order by hint_ord) as added
+  from done where outcome = 'recovered' and texts is not null group by all),
+views as (select v.package_id, v.view_no, image_id, file_name, case when added is null then ocr_text else {strip("ocr_text || chr(10) || added")} end as ocr_text
+  from views0 v left join added a on {_SAME_VIEW.format('a', 'v')}), n as (select *, {normal('ocr_text')} as t from views),
+decl0 as ({' union all '.join(_rows(k) for k in _ALL)}),
+decl as (select * exclude (src) from (select *, 0 as src from decl0 union all by name
+    select m.* exclude (outcome, locator), v.image_id, v.file_name from more m join views v on {_SAME_VIEW.format('m', 'v')})
+  qualify row_number() over (partition by package_id, view_no, key order by confidence desc, src) = 1),
+{_FUSE}"""
+
 _GRAMS = "case net_unit when 'mg' then net_a / 1000 when 'kg' then net_a * 1000 when 'l' then net_a * 1000 when 'cl' then net_a * 10 else net_a end"
-FACTS = f"""{FUSED}, {TEXTS}, {CONTEXTS}, {HINTS}, {WON},
-recovered as (select package_id, 'mrp' as key, currency || ' ' || amount as value, currency || ' ' || amount as evidence, {_WON_CONF} as confidence, amount, currency from won
-  where package_id in (select package_id from hint) and package_id not in (select package_id from fused where key = 'mrp' and currency = 'INR' and amount <> '')),
-surer as (select r.* from recovered r left join fused f on f.package_id = r.package_id and f.key = 'mrp' where f.package_id is null or r.confidence > f.confidence),
-known as (select * from fused where key <> 'mrp' or package_id not in (select package_id from surer) union all by name select * from surer),
-open_hint as (select * from hint where package_id not in (select package_id from won)),
+FACTS = f"""{INSPECTED}, {TEXTS}, {CONTEXTS},
+known as (select * from fused where key <> 'mrp_reference'), open_hint as (select package_id, value as locator, evidence from fused where key = 'mrp_reference'),
 wide as (select *, try_cast(net_amount as decimal(18,6)) as net_a, try_cast(mrp_amount as decimal(18,6)) as mrp_a,
     coalesce(net_conflict, false) as nc, coalesce(mrp_conflict, false) as mc from ctx left join texts using (package_id)
   {_fact('net_quantity', 'amount unit conflict')} {_fact('mrp', 'amount conflict')}),
@@ -259,6 +356,14 @@ checks as (select *, case when short and status0 = 'fail' then 'warning' else st
   case when rule_key = 'consumer_care' then all_values else value end as shown,
   case when rule_key = 'mrp' and not there and not small_package then hint_evidence else evidence end as said from rated)"""
 
+#: The same checks without close-ups, and of packages that are their front's text alone.
+_HEAD = CHECKS[: CHECKS.index("wide as (")]
+_NO_HINTS = "known as (select * from fused), open_hint as (select 0 as package_id, '' as locator, '' as evidence where false),\n"
+_DIRECT_CHECKS = f"{FUSED}, {TEXTS}, {CONTEXTS}, {_NO_HINTS}" + CHECKS.removeprefix(_HEAD)
+_MANUAL_CHECKS = f"""{DECLARATIONS.replace("views as (", "views as (select * from (").replace("), n as (", ") where view_no = 1), n as (", 1)}, texts as (select package_id, ocr_text as raw_text from views), {CONTEXTS},
+fused as (select package_id, key, confidence, false as conflict, evidence, value as all_values, email as emails, phone as phones, coalesce(address_detected = 'true', false) as any_address,
+  value, {', '.join(_ATTRS)} from decl), {_NO_HINTS}""" + CHECKS.removeprefix(_HEAD)
+
 SUMMARY = f"""{CHECKS}, summary as (select package_id,
   case when sum(weight) filter (status <> 'not_applicable') > 0 then cast(round_even(sum(weight * percent) filter (status <> 'not_applicable') / (sum(weight) filter (status <> 'not_applicable'))::double, 0) as integer) end as score,
   case when count(*) filter (status <> 'not_applicable') = 0 then 'not_applicable' when count(*) filter (status = 'fail') > 0 then 'fail'
@@ -295,36 +400,6 @@ _TAXED = "exists (select 1 from r where r.package_id = c.package_id and sqrt((r.
 _DATE_A = f"case when {has('text', spatial.NUMBER_DATE)} then lpad({group('text', spatial.NUMBER_DATE, 1)}, 2, '0') else {_month(group('text', spatial.NAME_DATE, 1))} end"
 _DATE_B = f"case when {has('text', spatial.NUMBER_DATE)} then {_year(group('text', spatial.NUMBER_DATE, 2))} else {_year(group('text', spatial.NAME_DATE, 2))} end"
 
-_POINTS = f"(?i){recovery.POINTER}"
-
-
-def _places(name: str, pattern: str) -> str:
-    """Matches of a pattern in views that point somewhere: their number i, place and text."""
-    return f"""{name} as (select package_id, view_no, t, i, ms[i] as said,
-  cast(coalesce(list_sum(list_transform(string_split_regex(t, {q(pattern)})[1:i], lambda z: length(z))), 0)
-    + coalesce(list_sum(list_transform(ms[1:i - 1], lambda z: length(z))), 0) as bigint) as place
-  from (select *, unnest(range(1, len(ms) + 1)) as i from (select package_id, view_no, ocr_text as t,
-    regexp_extract_all(ocr_text, {q(pattern)}, 0) as ms from views where {has('ocr_text', _POINTS)})))"""
-
-
-def _around(before: int, after: int) -> str:
-    return f"substr(t, greatest(0, lb - {before}) + 1, le + {after} - greatest(0, lb - {before}))"
-
-
-_TAX = "(?i)" + recovery.TAX
-_APART = compact(f"{compact(_around(28, 110), 150)} || ' ... ' || {compact('said', 90)}", 260)
-REFERENCES = f"""{_places('direct', _POINTER)}, {_places('pointer', _POINTS)}, {_places('label', '(?i)' + recovery.LABEL)},
-near as (select p.package_id, p.view_no, p.t, p.i, p.said, l.place as lb, l.place + length(l.said) as le,
-    row_number() over (partition by p.package_id, p.view_no, p.i order by abs(l.place - p.place), l.place) as n
-  from pointer p join label l on l.package_id = p.package_id and l.view_no = p.view_no
-  where not exists (select 1 from direct d where d.package_id = p.package_id and d.view_no = p.view_no
-    and abs(d.place + length(d.said) - p.place - length(p.said)) <= 4)),
-said as (select package_id, view_no, 0 as apart, i, {group('said', _POINTER, 1)} as word, {compact('said', 260)} as evidence,
-    {has(compact('said', 260), _TAX)} as tax_inclusive_phrase from direct
-  union all select package_id, view_no, 1, i, {group('said', _POINTS, 1)}, {_APART}, {has(_around(180, 180), _TAX)} or {has(_APART, _TAX)} from near where n = 1),
-reference as (select package_id, view_no, apart, i, {_LOCATORS.format('lower(word)')} as locator, evidence, tax_inclusive_phrase from said
-  qualify row_number() over (partition by package_id, view_no, {_LOCATORS.format('lower(word)')} order by apart, i) = 1)"""
-
 SQL: dict[str, str] = {}
 
 
@@ -459,6 +534,33 @@ select package_id, string_agg(label, ',' order by n) as chosen from o join s usi
   row_number() over (partition by package_id order by region_ord) as row_number from region)
 select package_id, 'r' || row_number as region_id, {strip('text')} as text, round(case when region_ord = 3 then 0 when region_ord = 5 then 1 else confidence end, 6) as confidence,
   round(least(a, c), 6) as x, round(least(d, e), 6) as y, round(abs(c - a), 6) as w, round(abs(e - d), 6) as h from b where regexp_matches(text, '\\S')"""
+    SQL["place_consensus"] = f"""with {WORK} select w.package_id, w.view_no, w.locator, upto as turn, w.currency, w.amount, w.families, w.votes,
+  round(w.mean_confidence, 6) as mean_confidence, price_evidence as evidence, direct from won w join backed b on {_SAME_PLACE.format('b', 'w')}"""
+    SQL["lazy_stages"] = f"""with {WORK}, asked as (select w.*, a.turn from work w join (values (1), (2), (3)) a(turn) on true left join won on {_SAME_PLACE.format('won', 'w')} where upto is null or a.turn <= upto)
+select a.package_id, a.view_no, a.locator, a.turn, count(s.package_id) as read, coalesce(any_value(won.upto) = a.turn, false) as settled
+from asked a left join won on {_SAME_PLACE.format('won', 'a')} left join seen s on {_SAME_PLACE.format('s', 'a')} and s.turn = a.turn group by a.package_id, a.view_no, a.locator, a.turn"""
+    SQL["hint_outcomes"] = f"""with {WORK} select d.package_id, d.view_no, d.hint_ord, d.locator, d.explicit, d.outcome, m.value, m.evidence, round(m.confidence, 6) as confidence, m.tax_inclusive_phrase
+from done d left join more m on {_SAME_VIEW.format('m', 'd')} and m.src = d.hint_ord"""
+    SQL["second_extraction"] = f"with {INSPECTED} select d.package_id, d.view_no, key, value, evidence, round(confidence, 6) as confidence from decl d join added a on {_SAME_VIEW.format('a', 'd')}"
+    corners = lambda r, y, h: f"{r}_text as text, {r}_confidence as confidence, 0.1 as x, {y} as y, 0.4 as w, {h} as h"
+    inside = lambda v: f"round(least(1, greatest(0, {v})), 6)"
+    SQL["recovered_regions"] = f"""with {WORK}, b as (select s.*, {_SHOWS('r1')} as s1, {_SHOWS('r2')} as s2 from backing s
+  join work w on {_SAME_PLACE.format('w', 's')} join first_won f on {_SAME_VIEW.format('f', 's')} and w.hint_ord = f.k),
+e as (select package_id, view_no, nth, sx, sy, sw, sh, 1 as o, {corners('r1', 0.2, 0.3)} from b where s1 or not s2 union all
+  select package_id, view_no, nth, sx, sy, sw, sh, 2, {corners('r2', 0.6, 0.2)} from b where s2 or not s1)
+select package_id, view_no, 't' || row_number() over (partition by package_id, view_no order by nth, o) as id, text, round(confidence, 6) as confidence,
+  {inside('sx + x * sw')} as x0, {inside('sy + y * sh')} as y0, {inside('sx + (x + w) * sw')} as x1, {inside('sy + (y + h) * sh')} as y1 from e"""
+    lines = f"""lines as (select package_id, view_no, image_id, i, ls[i] as text, {key('ls[i]')} as rt from (select *, unnest(range(1, len(ls) + 1)) as i from (select *, string_split(ocr_text, chr(10)) as ls from {{}})))"""
+    half = "contains(ek, rt) or len(list_intersect(string_split(ek, ' '), string_split(rt, ' '))) / len(list_distinct(string_split(rt, ' '))) >= 0.5"
+    SQL["hint_regions"] = f"""with {WORK}, {lines.format('views0')}, h as (select *, {key('evidence')} as ek from hinted),
+l as (select h.package_id, h.view_no, h.locator, string_agg('r' || i, ',' order by i) as ids from h join lines r on {_SAME_VIEW.format('r', 'h')} where rt <> '' and ({half}) group by all)
+select h.package_id, h.view_no, h.locator, coalesce(ids, '') as region_ids from h left join l on {_SAME_PLACE.format('l', 'h')}"""
+    SQL["view_finding_regions"] = f"""with {_DIRECT_CHECKS}, {lines.format('views')}, k as (select *, {key('evidence')} as ek from decl),
+link as (select k.package_id, k.key, k.image_id || ':r' || i as id from k join lines r on {_SAME_VIEW.format('r', 'k')} where rt <> '' and evidence <> ''
+  and (contains(ek, rt) or contains(rt, ek) or len(list_intersect(string_split(ek, ' '), string_split(rt, ' '))) / len(list_distinct(string_split(rt, ' '))) >= 0.6))
+select package_id, id as region_id, arg_max(rule_id, rule_ord) as rule_id, arg_max(status, rule_ord) as status from link join checks using (package_id)
+where link.key = rule_key and status <> 'not_applicable' group by package_id, id"""
+    SQL["manual_inspection"] = f"""with {_MANUAL_CHECKS} select package_id, rule_id, status, value, evidence, round(confidence, 6) as confidence, message_code from checks"""
 
 
 _fill()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, text
 from ..functions.text import settled
-from ..operators import fusion, recovery, rules, spatial, vision
+from ..operators import fusion, inspection, recovery, rules, spatial, vision
 from ..sources import ingest, report
 from . import fixtures
 
@@ -31,7 +31,11 @@ SHOWN = {
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(fixtures.derive(spark, sf_dir, fixtures.VIEWS), ocr_text=F.col("ocr_text"))
+    """The corpus' views, dealt by package: they come from a table of one file, and extraction, the costly part, should keep all cores busy.
+
+    The number is stated, since views are small and would otherwise be put together again by their bytes.
+    """
+    return fixtures.derive(spark, sf_dir, fixtures.VIEWS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "package_id")
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,27 +69,105 @@ def _sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seal.where("hint is not null").select("package_id", "view_no", "hint.*")
 
 
+def closeups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of close-ups with their regions and the close-up's place in the image."""
+    rows = settled(fixtures.derive(spark, sf_dir, fixtures.CLOSEUPS), text=F.col("text"))
+    at = lambda n, y, h: F.struct(
+        F.lit(n).alias("id"), F.col(f"{n}_text").alias("text"), F.col(f"{n}_confidence").alias("confidence"),
+        F.lit(0.1).alias("x"), F.lit(y).alias("y"), F.lit(0.4).alias("w"), F.lit(h).alias("h"),
+    )
+    regions = F.when(F.col("n_regions") > 0, F.array(at("r1", 0.2, 0.3), at("r2", 0.6, 0.2)))
+    source = F.struct(F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sw").alias("w"), F.col("sh").alias("h"))
+    none = F.array().cast("array<struct<id:string,text:string,confidence:double,x:double,y:double,w:double,h:double>>")
+    return rows.select("package_id", "view_no", "locator", "stage", "obs_ord", "family", "text", F.coalesce(regions, none).alias("regions"), source.alias("source"))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row of facts for each package: fused views, prices that readings settle where a hint points to one and the text has none
-    that is complete, and a pseudo-fact where the readings settle nothing."""
-    columns = ["package_id", "key", "value", "evidence", "confidence", "attrs"]
-    known, sealed, won = fused(spark, sf_dir).select(columns), _sealed(spark, sf_dir), _won(spark, sf_dir)
-    complete = known.where("key = 'mrp'").where(~recovery.needs_recovery(F.struct("attrs"))).select("package_id")
-    wanted = sealed.select("package_id").distinct().join(complete, "package_id", "left_anti")
-    recovered = recovery.winner_facts(won).select(columns).join(wanted, "package_id", "left_semi")
-    known = fusion.merge(known, recovered, "package_id")
-    hints = recovery.unresolved(sealed, won)
-    return rules.facts_of(known.unionByName(hints), fusion.combined_text(views(spark, sf_dir)), contexts(spark, sf_dir))
+    """A row of facts for each package, inspected from end to end: prices that close-ups settle where a view points, and what the added text says."""
+    return inspection.package_facts(views(spark, sf_dir), contexts(spark, sf_dir), closeups(spark, sf_dir))
 
 
 def _conf(c: str | Column) -> Column:
     return F.round(c, 6).alias("confidence")
 
 
+def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspection.with_work(views(spark, sf_dir)).where(F.size("work") > 0)
+
+
+def place_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readings with regions come to at each place that a view points to: the first stage at which they agree."""
+    won = inspection.first_consensus(inspection.read_closeups(_work(spark, sf_dir), closeups(spark, sf_dir)))
+    return won.select("package_id", "view_no", "locator", "turn", "currency", "amount", "families", "votes", F.round("mean_confidence", 6).alias("mean_confidence"), "evidence", "direct")
+
+
+def lazy_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each stage read and settled, when later stages read only the places that earlier ones left open."""
+    rows = closeups(spark, sf_dir)
+    price = recovery.price_in(F.col("text"))
+    rows = rows.withColumn("confidence", recovery.reading_confidence(F.col("regions"), price)).drop("regions", "source")
+    read = lambda asked: rows.join(asked.drop("explicit"), [*inspection.PLACE, "stage"])
+    return inspection.lazily(_work(spark, sf_dir), read)[2]
+
+
+def hint_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each place that a view points to, in order: what it came to, given what was known before it."""
+    work = _work(spark, sf_dir)
+    won = inspection.settled_places(inspection.read_closeups(work, closeups(spark, sf_dir)))
+    rows = inspection.folded(work.join(won, list(inspection.VIEW), "left")).select("package_id", "view_no", F.posexplode("done").alias("n", "x"))
+    return rows.select(
+        "package_id", "view_no", (F.col("n") + 1).cast("long").alias("hint_ord"), "x.hint.locator", "x.hint.explicit", "x.outcome", "x.d.value", "x.d.evidence",
+        _conf("x.d.confidence"), F.col("x.d.attrs.tax_inclusive_phrase").alias("tax_inclusive_phrase"),
+    )
+
+
+def second_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of the views whose text grew, from the text that close-ups added to as well."""
+    grown = inspection.recovered_views(views(spark, sf_dir), closeups(spark, sf_dir)).where(F.contains("ocr_text", F.lit(inspection.HEADER.partition("{")[0])))
+    rows = inspection.by_view(inspection.declared(grown)).where(F.col("key") != inspection.TEXT)
+    return rows.select("package_id", "view_no", "key", "value", "evidence", _conf("confidence"))
+
+
+def recovered_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions behind recovered prices, numbered through a view, as places in its image."""
+    work = _work(spark, sf_dir)
+    made = inspection.recovered_regions(inspection.read_closeups(work, closeups(spark, sf_dir)), work)
+    corner = lambda n, axis: F.round(F.col("polygon")[n][axis], 6)
+    return made.select("package_id", "view_no", "id", "text", _conf("confidence"), corner(0, "x").alias("x0"), corner(0, "y").alias("y0"), corner(2, "x").alias("x1"), corner(2, "y").alias("y1"))
+
+
+def _with_lines(rows: DataFrame) -> DataFrame:
+    """Views with a region for each line of their text."""
+    lines = F.transform(F.split("ocr_text", "\n"), lambda x, n: F.struct(F.concat(F.lit("r"), (n + 1).cast("string")).alias("id"), x.alias("text")))
+    return rows.withColumn("regions", lines)
+
+
+def hint_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions of a view that its hints quote."""
+    rows = _with_lines(_work(spark, sf_dir)).select("package_id", "view_no", "regions", F.explode("work").alias("h")).where("h.explicit")
+    ids = recovery.reference_regions(F.col("h.evidence"), F.col("regions"))
+    return rows.select("package_id", "view_no", "h.locator", F.array_join(ids, ",").alias("region_ids"))
+
+
+def view_finding_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each region of any view of a package the last rule that says something about it; ids are told apart by image."""
+    rows = inspection.package_facts(_with_lines(views(spark, sf_dir)), contexts(spark, sf_dir))
+    keyed = F.map_from_arrays(F.array(*(F.lit(r.key) for r in rules.RULES)), F.array(*(F.col(f"facts.{r.key}.region_ids") for r in rules.RULES)))
+    linked = rules.judged(rows.withColumn("_ids", keyed), keep=["_ids"]).select("package_id", "_ids", F.explode("checks").alias("c"))
+    return report.finding_regions(linked.select("package_id", "c.rule_ord", "c.rule_id", "c.status", F.col("_ids")[F.col("c.key")].alias("region_ids")))
+
+
+def manual_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages inspected by the text of their front alone: no file's name, nothing fused."""
+    texts = views(spark, sf_dir).where("view_no = 1").select("package_id", "ocr_text")
+    rows = rules.checks(inspection.manual_facts(texts, contexts(spark, sf_dir)))
+    return rows.select("package_id", "rule_id", "status", "value", "evidence", _conf("confidence"), "message_code")
+
+
 def _extractor(key: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = settled(views(spark, sf_dir), normal=text.normal_text(F.col("ocr_text")))
-        rows = settled(rows, d=extract.EXTRACTORS[key](F.col("normal"))).where("d is not null")
+        rows, found = extract.searched(views(spark, sf_dir))
+        rows = settled(rows, d=extract.EXTRACTORS[key](found)).where("d is not null")
         shown = [F.col(f"d.attrs.{a}").alias(a) for a in SHOWN[key].split()]
         return rows.select("package_id", "view_no", "d.value", "d.evidence", _conf("d.confidence"), *shown)
 
@@ -400,7 +482,8 @@ QUERIES: dict[str, Query] = {
             rule_profile, evidence_regions, finding_regions, parse_price, vote_price, consensus_price, staged_price,
             best_readings, reference_hints, direct_hints, unresolved_reference, recovery_plan, crop_nms, crop_select,
             attention_tiles, remap_polygon, payload_regions, report_json, staged_price_fallback, reading_attempts, recovery_outcome,
-            spatial_first, evidence_facts,
+            spatial_first, evidence_facts, place_consensus, lazy_stages, hint_outcomes, second_extraction, recovered_regions, hint_regions,
+            view_finding_regions, manual_inspection,
         )
     },
 }
