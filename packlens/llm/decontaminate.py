@@ -6,26 +6,27 @@ Every window of an item is indexed; a document's windows are taken at a stride s
 them, aligned with a window of the item. A window's SimHash is the majority of its words' 64-bit hashes, from running
 sums. Fingerprints are looked up by four blocks of 16 bits and their one-bit neighbours, which finds every fingerprint within
 ``RADIUS`` = 7 differing bits (one of four blocks then differs in at most one). A candidate aligns item and document; the
-weighted Jaccard similarity of 5-word shingles (weight: mean rarity of the words among the items of a block) at that place and
+weighted Jaccard similarity of 5-word shingles (weight: mean rarity of the words among all items, counted once in Spark) at that place and
 up to two words beside it (``SHIFTS``: an inserted or dropped word moves what follows it) decides, at 0.8.
 
 A verbatim item is always found. A near copy is found if one of its windows stays within the radius, which is not guaranteed; a test
 holds the operator against all documents, items and places and asks for nine tenths of the pairs at 0.8 or more.
 
 The benchmark is read in blocks of at most about ``ITEMS`` items and ``ITEM_WORDS`` words, sent to the executors one block at a time,
-against all documents. Nothing is shuffled.
+against all documents. How it is cut makes no difference. No document is shuffled. A word's rarity comes from the items that hold a word of its counter, one of
+``COUNTERS`` (a fixed number), so what all tasks share is bounded however large the benchmark is.
 
-Defined results: a null or empty text or item matches nothing; items with fewer than five words are one shingle; an
+Defined results: rows have the columns of ``FOUND`` alone, ``clean`` keeps the columns of its table; null ids match like others; a null or empty text or item matches nothing; items with fewer than five words are one shingle; an
 item found several times in a row's text gives its best place (first on ties); rows that repeat give rows that repeat; empty tables
 give empty tables.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,11 +35,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
 from .words import WORD_HASHES
 
 RADIUS, BLOCKS, SHINGLE, SIMILARITY = 7, 4, 5, 0.8
 #: Items, and words of items, sent to the executors at once.
 ITEMS, ITEM_WORDS = 20_000, 500_000
+#: Counters of words, of a fixed number: words that share one have the frequency of both.
+COUNTERS = 1 << 22
 #: Words handled at once; longer texts are taken in overlapping parts.
 WORDS = 100_000
 #: Word offsets tried around the alignment that a window gives.
@@ -96,15 +100,56 @@ class _Class:
     lists: list[np.ndarray]
 
 
+class Rarity(dict):
+    """The logarithmic rarity of each word among all items; what a worker has looked up is remembered, within a bound."""
+
+    def __init__(self, counters: np.ndarray, counts: np.ndarray, n: int) -> None:
+        super().__init__()
+        order = np.argsort(counters)
+        self.counters, self.counts, self.n = counters[order], counts[order], n
+
+    def __reduce__(self) -> tuple:
+        return Rarity, (self.counters, self.counts, self.n)
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= 100_000:
+            self.clear()
+        counter = WORD_HASHES[word] % COUNTERS
+        at = int(np.searchsorted(self.counters, counter))
+        seen = int(self.counts[at]) if at < len(self.counters) and self.counters[at] == counter else 1
+        self[word] = value = float(np.log1p(self.n / seen))
+        return value
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Rarity:
+        seen, n = Counter(), 0
+        for text in texts:
+            if words := words_of(text):
+                seen.update({WORD_HASHES[w] % COUNTERS for w in set(words)})
+                n += 1
+        return cls(np.array(list(seen), np.int64), np.array(list(seen.values()), np.int64), n)
+
+
+def rarity_of(benchmark: DataFrame) -> Rarity:
+    """From all items, counted in Spark; at most ``COUNTERS`` numbers reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = Rarity.of(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *part.counters.tolist()], pa.int64()), pa.array([part.n, *part.counts.tolist()], pa.int64())], ["counter", "n"])
+
+    counted = benchmark.select("text").mapInArrow(run, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counters, counts = counted.column("counter").to_numpy(), counted.column("n").to_numpy()
+    return Rarity(counters[counters >= 0], counts[counters >= 0], int(counts[counters < 0].sum()))
+
+
 class Index:
-    """The fingerprints and shingles of a block of items."""
+    """The fingerprints and shingles of a block of items; ``rarity`` is that of all items (of these alone, if it isn't given)."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None]], rarity: Rarity | None = None) -> None:
         self.ids = [i for i, t in items if words_of(t)]
         words = [words_of(t) for _, t in items if words_of(t)]
-        seen = Counter(w for ws in words for w in set(ws))
-        self.n = len(words)
-        self.rarity = {w: math.log(1 + self.n / c) for w, c in seen.items()}
+        self.rarity = Rarity.of([t for _, t in items]) if rarity is None else rarity
         self.sizes = [len(ws) for ws in words]
         self.shingles = [self._shingles(ws) for ws in words]
         self.classes: dict[int, _Class] = {}
@@ -136,8 +181,7 @@ class Index:
         """Count and weight of each shingle."""
         k = min(SHINGLE, len(words))
         found = Counter(_runs(words, k))
-        rare = math.log(1 + self.n)
-        return {s: (c, sum(self.rarity.get(w, rare) for w in s) / k) for s, c in found.items()}
+        return {s: (c, sum(self.rarity[w] for w in s) / k) for s, c in found.items()}
 
     def similarity(self, item: int, words: list[bytes]) -> float:
         own = self.shingles[item]
@@ -224,9 +268,10 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     n, words = rows.agg(F.count("*"), F.sum(F.size(F.split("text", r"\s+")))).first()
     blocks = max(-(-n // ITEMS), -(-(words or 0) // ITEM_WORDS))
+    rarity = rarity_of(rows)
     for block in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = Index(sorted(((r[0], r[1]) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
+        index = Index(sorted(((r[0], r[1]) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), rarity)
         if index.ids:
             yield index
 
@@ -235,8 +280,11 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, word_start, n_words, hamming, similarity."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = spark.createDataFrame([], FOUND)
+    parts, shared = [spark.createDataFrame([], FOUND)], None
     for index in indexes(benchmark):
+        if shared is not None:  # a block's index is given up before the next one is sent
+            parts[-1] = stash(parts[-1], "hits")
+            shared.destroy()
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -253,8 +301,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("word_start", pa.int64()), ("n_words", pa.int64()), ("hamming", pa.int32()), ("similarity", pa.float64())]),
                 )
 
-        out = out.unionByName(rows.mapInArrow(run, FOUND))
-    return out
+        parts.append(rows.mapInArrow(run, FOUND))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _holds(shared: Broadcast) -> Callable[[Column], Column]:

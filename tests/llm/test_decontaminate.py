@@ -125,3 +125,23 @@ def test_every_fingerprint_within_the_radius_is_found():
             prints[k] ^= type(prints[k])(1 << b)
     found = {(w, x) for ws, xs, _ in index._near(size, prints) for w, x in zip(ws.tolist(), xs.tolist(), strict=True)}
     assert found >= {(k, k) for k in range(len(prints))}
+
+
+def test_how_the_benchmark_is_cut_makes_no_difference(spark, odd, monkeypatch):
+    """Near copies about the threshold: the same rows, with the same similarities, from one block and from one block an item."""
+    r = random.Random(11)
+    lead = sentence(r, 12)
+    items = [(i, f"{lead} {sentence(r, 30)}") for i in range(12)] + [(50 + i, sentence(r, 35)) for i in range(12)]
+    rows = []
+    for k in range(240):
+        words = items[k % len(items)][1].split()
+        for _ in range(r.randint(0, 2)):
+            words[r.randrange(len(words))] = r.choice(items[r.randrange(24)][1].split())
+        rows.append((k, " ".join([sentence(r, 5), *words, sentence(r, 5)]), "en", "s", 0))
+    docs, bench = spark.createDataFrame(rows, odd.schema), spark.createDataFrame(items, ITEM).repartition(3)
+    hits = lambda: sorted((x["doc_id"], x["item_id"], x["word_start"], round(x["similarity"], 12)) for x in d.find(docs, bench).collect())
+    whole = hits()
+    assert 100 < len(whole) < 240
+    monkeypatch.setattr(d, "ITEMS", 3)
+    assert hits() == whole
+    assert {x["doc_id"] for x in d.clean(docs, bench).collect()} == {k for k, *_ in rows} - {h[0] for h in whole}
