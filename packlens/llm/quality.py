@@ -7,7 +7,8 @@ third of all rows carry is counted in parts. Lines above the limits are taken ou
 left with too little are rejected.
 
 Defined results: a document is told by doc_id and text, so rows that repeat count once and copies under other ids count each; a null
-text counts as an empty one, a null source is a host of its own, rows that repeat are judged alike, an empty table gives an empty table, further columns pass through (names starting with ``_q_`` are reserved).
+text counts as an empty one, a null source is a host of its own, rows that repeat are judged alike, an empty table gives an empty table, further columns pass through (names
+starting with ``_q_`` are reserved); columns named as a result of ``judge`` (``RESULTS``) are replaced by it, while ``clean`` hands them on as they came.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ WORD = r"[^\x20\x09-\x0D]"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: The columns that ``judge`` adds.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_removed", "n_words_removed", "kept")
+
+
 @dataclass(frozen=True)
 class Limits:
     """A line is above the limits if at least ``min_docs`` distinct documents of a host have it, and more than ``percent`` % of them."""
@@ -117,6 +122,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     lines to remove (null if none). The text moves only if the frequent lines' matches exceed the broadcast bound and
     a later step asks for it.
     """
+    docs = docs.drop(*RESULTS)
     frequent = small(stash(frequent_lines(docs, limits).select("_q_host", "_q_line"), "lines"))
     frequent = frequent.withColumnsRenamed({"_q_host": "_q_host2", "_q_line": "_q_line2"})
     match = F.col("_q_host").eqNullSafe(F.col("_q_host2")) & (F.col("_q_line") == F.col("_q_line2"))
@@ -150,7 +156,9 @@ def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     lines = F.filter(
         F.split("text", "\n", -1), lambda x: ~F.array_contains("_q_gone", F.xxhash64(normal_line(x))) | ~x.rlike(WORD)
     )
-    df = judge(docs, limits).where("kept").withColumn(
+    # columns that share a result's name wait under another one
+    own = {c: f"_q_own_{c}" for c in docs.columns if c.lower() in RESULTS}
+    df = judge(docs.withColumnsRenamed(own), limits).where("kept").drop(*RESULTS).withColumnsRenamed({v: c for c, v in own.items()}).withColumn(
         "text", F.when(F.col("_q_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     )
     if "n_chars" in docs.columns:

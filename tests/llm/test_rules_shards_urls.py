@@ -105,3 +105,15 @@ def test_urls(spark):
     none = url_filter.filter_urls(df, ready.limit(0)).collect()
     assert len(none) == df.count() and {r["verdict"] for r in none} == {"allow"}
     assert url_filter.filter_urls(df.limit(0), ready).collect() == []
+
+
+def test_quality_rules_beside_columns_of_their_names(spark):
+    """``judge`` replaces them, ``clean`` hands them on; the verdicts are the same."""
+    rows = [(i, "shared line here\n" + " ".join(f"w{i}x{k}" for k in range(40)), "s") for i in range(30)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = plain.withColumns({c: F.lit(f"old {c}") for c in quality.RESULTS})
+    pick = lambda df: sorted((r["doc_id"], *(r[c] for c in quality.RESULTS)) for r in df.collect())
+    assert pick(quality.judge(clash)) == pick(quality.judge(plain))
+    cleaned = quality.clean(clash)
+    assert cleaned.columns == clash.columns and all(r[c] == f"old {c}" for r in cleaned.collect() for c in quality.RESULTS)
+    assert sorted((r["doc_id"], r["text"]) for r in cleaned.collect()) == sorted((r["doc_id"], r["text"]) for r in quality.clean(plain).collect())
