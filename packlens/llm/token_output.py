@@ -58,9 +58,9 @@ def train(docs: DataFrame, tokenizer: str, end: int, width: str, n: int) -> byte
     text = whole_text()
     sample = (
         docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
-        .where((F.octet_length("text") <= SAMPLE_BYTES) & (F.pmod("h", F.lit(n)) < SAMPLE_DOCS))
+        .where((F.octet_length("text") <= SAMPLE_BYTES) & (F.pmod("h", F.lit(n)) < 2 * SAMPLE_DOCS))
         .orderBy("h", "doc_id")
-        .limit(2 * SAMPLE_DOCS)
+        .limit(SAMPLE_DOCS)
     )
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     fs, root = _open(path)
     with fs.open_input_stream(f"{root}/manifest.json") as source:
         files = json.loads(source.read())["files"]
-    names = spark.createDataFrame([(f["file"], f["start"]) for f in files], "file string, start bigint")
+    names = spark.createDataFrame([(n, f["file"], f["start"]) for n, f in enumerate(files)], "n int, file string, start bigint")
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(path)
@@ -187,4 +187,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     # one file a task: a file is as large as its writer's partition
-    return names.repartition(max(len(files), 1), "file").mapInArrow(get, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return names.repartitionById(max(len(files), 1), "n").mapInArrow(get, "doc_id bigint, start bigint, n_tokens bigint, ids binary")

@@ -30,6 +30,19 @@ _SPLITS = {
     ),
     "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+"),
 }
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_WORDS = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+_LOWER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: The (normalizer, pre_tokenizer) entries of the files that have these splits.
+_LAYOUTS = {
+    "byte": [(None, _BYTE_LEVEL | {"use_regex": True})],
+    "word": [
+        (
+            {"type": "Sequence", "normalizers": _LOWER},
+            {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": _WORDS, "behavior": "Removed", "invert": True}, _BYTE_LEVEL | {"use_regex": False}]},
+        )
+    ],
+}
 #: The letters in which byte-level tokenizers write bytes: visible ones as they are, the others from U+0100 on.
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LETTERS = {b: chr(b) for b in _VISIBLE} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -68,9 +81,10 @@ class PieceEncoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        kinds = {(spec.get("pre_tokenizer") or {}).get("type"), (spec.get("normalizer") or {}).get("type")}
-        # only the two layouts above are split here; any other tokenizer always goes through the library
-        self.kind = {frozenset({"ByteLevel", None}): "byte", frozenset({"Sequence"}): "word"}.get(frozenset(kinds))
+        # only the two layouts above are split here, told by their whole entries; any other tokenizer always goes through the library
+        plain_model = spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges")
+        layout = (spec.get("normalizer"), spec.get("pre_tokenizer"))
+        self.kind = next((kind for kind, known in _LAYOUTS.items() if plain_model and layout in known), None)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.known = _Known(self.library)
 

@@ -1,5 +1,6 @@
 """Token counts, files and packing against the library itself."""
 
+import json
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from packlens.llm import packing, token_count, token_output
+from packlens.llm import packing, token_count, token_output, tokens
 from packlens.llm.common import scratch
 from packlens.llm.tokens import PieceEncoder, encoder
 
@@ -84,6 +85,24 @@ def test_file_of_another_dictionary(spark, odd, tmp_path):
         token_output.IdFile(fs, f"{root}/part-000000.ids", b"other")
 
 
+@pytest.mark.parametrize(("path", "change"), [
+    (BYTE, lambda s: s["pre_tokenizer"].update(add_prefix_space=True)),
+    (WORD, lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"[\p{L}]+|\S")),
+    (WORD, lambda s: s["normalizer"]["normalizers"].pop()),
+    (BYTE, lambda s: s["model"].update(ignore_merges=True)),
+])
+def test_files_of_another_layout_go_through_the_library(tmp_path, path, change):
+    spec = json.loads(open(path, encoding="utf-8").read())
+    change(spec)
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    texts = ["it's a Plain text, 12 words", " leading", "x-y  z"]
+    code = tokens.PieceEncoder(str(other))
+    assert code.kind is None
+    assert [np.frombuffer(x, "<u4").tolist() for x in code.encode_many(texts)] == [Tokenizer.from_file(str(other)).encode(t, add_special_tokens=False).ids for t in texts]
+    assert tokens.PieceEncoder(path).kind is not None
+
+
 def test_files_of_nothing(spark, empty):
     path = scratch(spark, "ids")
     token_output.write(empty, WORD, path, end=1)
