@@ -139,7 +139,8 @@ def settled_places(read: DataFrame) -> DataFrame:
 def recovered_price(hint: Column, won: Column) -> Column:
     """The declaration of a price that close-ups settled at the place of a hint."""
     value = F.concat_ws(" ", won["currency"], won["amount"])
-    confidence = F.least(F.lit(0.96), F.greatest(F.lit(0.68), 0.58 + 0.05 * won["families"] + 0.20 * won["mean_confidence"]))
+    # rounded, so that the order in which a mean is summed doesn't show
+    confidence = F.round(F.least(F.lit(0.96), F.greatest(F.lit(0.68), 0.58 + 0.05 * won["families"] + 0.20 * won["mean_confidence"])), 9)
     return candidate(
         value, compact(F.concat(hint["evidence"], F.lit(" -> "), won["evidence"]), 260), confidence, currency=won["currency"], amount=won["amount"],
         tax_inclusive_phrase=hint["tax_inclusive_phrase"], source=F.when(hint["explicit"], "referenced_region_ensemble").otherwise("required_mrp_visual_fallback"),

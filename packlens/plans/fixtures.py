@@ -104,7 +104,7 @@ READINGS = f"""select l_partkey as package_id, row_number() over (partition by l
     when 2 then 'Re ' || price || ' (Rs.0.21 per g)' when 3 then price || ' (Rs. 0.21/ 9)' when 4 then 'Rs.0.21 per g'
     when 5 then (case when l_partkey % 4 = 1 then 'Rs ' || other_price else '₹' || price end) when 6 then ''
     when 7 then 'INR:' || cast(cast(floor(paise / 100) as bigint) as string) else 'best before 12 months' end end as text
-from {{lineitem}} join ({_PRICED}) p on p.k = l_partkey"""
+from {{lineitem}} join ({_PRICED}) priced on priced.k = l_partkey"""
 
 #: Readings of close-ups: of a view that points elsewhere, at the place it points to, else of the front's seal; dealt to three stages of
 #: reading. Of a reading's two regions one or both show the price; places are shares of the close-up, whose own place in the image is sx, sy, sw, sh.

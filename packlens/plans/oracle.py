@@ -271,7 +271,7 @@ backed as (select package_id, view_no, locator, any_value(families) as families,
     any_value(amount) as amount, arg_min(evidence, nth) as price_evidence, bool_or(stage = 'direct') as direct from backing group by all),
 quoted as (select package_id, view_no, locator, string_agg(text, chr(10) || '---' || chr(10) order by nth) as texts from
   (select * from backing where text <> '' qualify row_number() over (partition by package_id, view_no, locator order by nth) <= 4) group by all),
-tried as (select w.*, b.currency, b.amount, b.families, b.votes, {_WON_CONF} as won_confidence, b.price_evidence, b.direct, quoted.texts, b.locator is not null as is_won,
+tried as (select w.*, b.currency, b.amount, b.families, b.votes, round({_WON_CONF}, 9) as won_confidence, b.price_evidence, b.direct, quoted.texts, b.locator is not null as is_won,
     p.value as own_value, p.evidence as own_evidence, p.confidence as own_confidence, p.amount as own_amount, p.currency as own_currency, p.tax_inclusive_phrase as own_tax,
     coalesce(p.currency = 'INR' and p.amount <> '', false) as complete
   from work w left join backed b on {_SAME_PLACE.format('b', 'w')} left join quoted on {_SAME_PLACE.format('quoted', 'w')} left join price0 p on {_SAME_VIEW.format('p', 'w')}),

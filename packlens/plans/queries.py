@@ -296,10 +296,12 @@ def evidence_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finding_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each quoted region the last rule that says something about it."""
-    linked = fused(spark, sf_dir).where("key in ('net_quantity', 'mrp')").join(regions(spark, sf_dir), "package_id")
-    linked = linked.select("package_id", "key", extract.linked_regions(F.col("evidence"), F.col("regions")).alias("region_ids"))
-    return report.finding_regions(rules.checks(facts(spark, sf_dir)).join(linked, ["package_id", "key"]))
+    """For each quoted region of a package's page the last rule that says something about it."""
+    checked = rules.judged(facts(spark, sf_dir), keep=["facts"]).join(regions(spark, sf_dir), "package_id")
+    rows = checked.select("package_id", "facts", "regions", F.explode("checks").alias("c")).where("c.key in ('net_quantity', 'mrp')")
+    quoted = F.when(F.col("c.key") == "mrp", F.col("facts.mrp.evidence")).otherwise(F.col("facts.net_quantity.evidence"))
+    rows = settled(rows.select("package_id", "regions", "c", quoted.alias("said")).where("said is not null"), region_ids=extract.linked_regions(F.col("said"), F.col("regions")))
+    return report.finding_regions(rows.select("package_id", "c.rule_ord", "c.rule_id", "c.status", "region_ids"))
 
 
 def parse_price(spark: SparkSession, sf_dir: str) -> DataFrame:
