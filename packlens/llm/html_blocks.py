@@ -1,7 +1,8 @@
 """Reads a page into its leaf blocks in order: each block's tag path, text and share of link text.
 
-A block is the text between two block-level tags; inline tags join, line breaks are white space. Markup, comments, scripts, styles,
-frames, form fields, graphics, templates (which are never shown) and the head are dropped here; text inside math, object and noscript is
+A block is the text between two block-level tags; inline tags join, line breaks are white space, and so is every character that Unicode calls
+a space (a no-break space too). Markup, comments, scripts, styles,
+frames, form fields (also lists to choose from and buttons), graphics, templates (which are never shown) and the head are dropped here; text inside math, object and noscript is
 read like any other. Whether a block is main text is for the labeller to say. Broken pages (unclosed or cut tags,
 stray brackets, unfinished comments) give the blocks that can be read.
 """
@@ -23,7 +24,7 @@ _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _PART = re.compile(r"[a-z]+")
 
 #: HTML's elements by how their text is read.
-RAW = frozenset("script style template iframe svg title textarea head".split())
+RAW = frozenset("script style template iframe svg title textarea head select datalist button".split())
 #: Of these, the ones that run to the page's end if they aren't closed; the text after any other unclosed one is read.
 TO_END = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

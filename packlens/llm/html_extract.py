@@ -38,12 +38,12 @@ MARK = "\ue000"
 
 @dataclass(frozen=True)
 class Training:
-    made: int = 700
-    read: int = 200
+    made: int = 1600
+    read: int = 100
     #: Characters that a page of the table may have to be trained on; all pages are labelled.
     longest: int = 50_000
     hidden: int = 24
-    rounds: int = 6
+    rounds: int = 8
     batch: int = 24
     rate: float = 0.012
     seed: int = 11
@@ -233,12 +233,14 @@ NAMES = {
     "header": "header head masthead top logo branding site banner topbar title tagline".split(),
     "footer": "footer foot bottom copyright legal colophon credits".split(),
     "side": "sidebar side aside widget related recommended trending popular more rail secondary tags categories archive teaser".split(),
-    "notice": "notice cookie consent gdpr alert banner warning message info popup modal overlay privacy toast disclaimer".split(),
+    "notice": "notice cookie cookies consent gdpr alert banner warning popup modal overlay privacy toast disclaimer".split(),
     "advert": "ad ads advert advertisement sponsored sponsor promo promotion adsense adbox commercial affiliate banner".split(),
     "form": "form newsletter subscribe signup login search contact register feedback field".split(),
     "comments": "comment comments reply replies discussion respond reader disqus thread commentlist".split(),
     "share": "share social sharing follow like byline meta author date".split(),
 }
+#: Words that name a box of the article itself.
+_BOXES = "info note fact facts box highlight summary key quote pull figure caption lead intro code example tip step list inner row wrap".split()
 _TAGS = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form", "comments": "section"}
 
 
@@ -259,7 +261,7 @@ class _Maker:
     def names(self, kind: str) -> str:
         """Attributes of an element of a kind; sometimes none, or of no meaning."""
         r = self.r
-        if r.random() < 0.15:
+        if r.random() < (0.25 if kind == "main" else 0.05):
             return f' class="{r.choice(["c", "col", "row", "box", "wrap", "x", "l"])}{r.randint(1, 99)}"'
         words = r.sample(NAMES[kind], r.randint(1, 2))
         value = r.choice("-_ ").join(words) + (r.choice(["", "", "-wrap", "-box", " left", "-1", " inner"]))
@@ -325,15 +327,20 @@ class _Maker:
                 out.append(f"<blockquote><p>{body}</p></blockquote>")
             elif kind < 0.93:
                 out.append("<table><tr>" + "".join(f"<td>{MARK}{self.text(4)}</td>" for _ in range(r.randint(2, 4))) + "</tr></table>")
-            elif kind < 0.96:
-                out.append(f"<div>{body}</div>")
+            elif kind < 0.95:
+                names = f' class="{r.choice(_BOXES)}"' if r.random() < 0.7 else ""
+                out.append(f"<{(t := r.choice(['div', 'div', 'figure', 'section', 'pre']))}{names}>{body}</{t}>")
             else:
-                out.append(self.around(r.choice(["advert", "advert", "notice", "side", "share", "form"])))
-        if r.random() < 0.15:
-            out.append(self.around(r.choice(["comments", "share", "side"])))
+                out.append(self.around(r.choice(["advert", "advert", "advert", "notice", "side", "share", "form", "comments"])))
+        if r.random() < 0.35:
+            out.append(self.around(r.choice(["comments", "comments", "comments", "share", "side", "advert"])))
         inner = "".join(out)
         kind = r.random()
-        if kind < 0.55:
+        if kind < 0.12:
+            return inner
+        if kind < 0.34:
+            return f"<div>{inner}</div>"
+        if kind < 0.65:
             tag, names = r.choice(["article", "article", "main"]), self.names("main") if r.random() < 0.3 else ""
         else:
             tag, names = r.choice(["div", "section"]), self.names("main")
@@ -406,8 +413,8 @@ def fit(pages: list[tuple[list[Block], np.ndarray]], t: Training) -> Labeller:
             labels = np.zeros(x.shape[:2], np.float32)
             for j, (_, y) in enumerate(batches[k]):
                 labels[: len(y), j] = y
-            # words of class names are left out now and then: no single one decides
-            x = x * (r.random((1, 1, WIDTH)) > 0.05)
+            # features are left out now and then: no single one decides
+            x = x * (r.random((1, 1, WIDTH)) > 0.01)
             _, grads = model.gradients(x.astype(np.float32), lengths, labels)
             size = np.sqrt(sum(float((g * g).sum()) for g in grads))
             step += 1

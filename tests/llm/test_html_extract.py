@@ -117,3 +117,47 @@ def test_odd_pages(spark, model):
     assert next(r["n_chars"] for r in got if r["page_id"] == 5) > 50_000
     assert h.extract(df.limit(0), model).collect() == []
     assert h.train(df.limit(0), h.Training(made=30, rounds=1)).weights
+
+
+P = [
+    "The river rose two metres in a night, and the old bridge, built by hand, held.",
+    "Nobody in the village had seen such a flood before, although the oldest spoke of one.",
+    "By noon the water fell again; what it left behind was mud, wood and a single boat.",
+]
+ARTICLE = " ".join(P)
+BODY = "".join(f"<p>{x}</p>" for x in P)
+NAV, FOOT = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>", "<footer>© 2024 All rights reserved</footer>"
+BOX = "A box of facts: the bridge is forty metres long."
+#: Pages that no generator made: what stands around or inside the article, and the text that is to come out.
+FOREIGN = {
+    "article": (f"{NAV}<article>{BODY}</article>{FOOT}", ARTICLE),
+    "main": (f"{NAV}<main>{BODY}</main>{FOOT}", ARTICLE),
+    "plain div": (f"{NAV}<div>{BODY}</div>{FOOT}", ARTICLE),
+    "nothing around": (BODY, ARTICLE),
+    "named div": (f"{NAV}<div class='story'>{BODY}</div>{FOOT}", ARTICLE),
+    "id": (f"{NAV}<div id=content>{BODY}</div><div id=footer>Contact us | Terms</div>", ARTICLE),
+    "comments in article": (f"{NAV}<article>{BODY}<section class='comments'><h3>Comments</h3><p>Great read, thanks!</p><p>I was there too.</p></section></article>{FOOT}", ARTICLE),
+    "comments after": (f"{NAV}<article>{BODY}</article><div class='comments'><p>Great read, thanks!</p><p>I was there too.</p></div>{FOOT}", ARTICLE),
+    "advert in article": (f"{NAV}<article><p>{P[0]}</p><div class='ad'>Buy boots now, half price!</div><p>{P[1]}</p><p>{P[2]}</p></article>{FOOT}", ARTICLE),
+    "advert in div": (f"{NAV}<div class='post'><p>{P[0]}</p><div class='advertisement'><p>Buy boots now!</p></div><p>{P[1]}</p><p>{P[2]}</p></div>{FOOT}", ARTICLE),
+    "choice": (f"{NAV}<article><p>{P[0]}</p><select><option>One</option><option>Two</option></select><button>Go</button><p>{P[1]}</p><p>{P[2]}</p></article>{FOOT}", ARTICLE),
+    "box": (f"{NAV}<div class='story'><p>{P[0]}</p><div class='info'>{BOX}</div><p>{P[1]}</p></div>{FOOT}", f"{P[0]} {BOX} {P[1]}"),
+    "caption": (f"{NAV}<article><h1>Flood in the valley</h1><p>{P[0]}</p><figure><img src=x><figcaption>The bridge at noon.</figcaption></figure><p>{P[1]}</p></article>{FOOT}", f"Flood in the valley {P[0]} The bridge at noon. {P[1]}"),
+    "pre": (f"{NAV}<article><p>{P[0]}</p><pre>x = 1\ny = 2</pre><p>{P[1]}</p></article>{FOOT}", f"{P[0]} x = 1 y = 2 {P[1]}"),
+    "aside": (f"{NAV}<main>{BODY}</main><aside><h3>Related</h3><ul><li><a href=/x>More floods</a></li></ul></aside>{FOOT}", ARTICLE),
+    "sidebar": (f"{NAV}<div class=content>{BODY}</div><div class=sidebar><h3>Popular</h3><a href=/x>More floods</a></div>{FOOT}", ARTICLE),
+    "cookie notice": (f"<div class='cookie-notice'><p>We use cookies to improve this site.</p></div>{NAV}<article>{BODY}</article>{FOOT}", ARTICLE),
+    "newsletter": (f"{NAV}<article>{BODY}</article><form class=newsletter><p>Subscribe to our letter</p><input name=e></form>{FOOT}", ARTICLE),
+    "header": (f"<header><a href=/>The Valley Times</a></header>{NAV}<article>{BODY}</article>{FOOT}", ARTICLE),
+    "list": (f"{NAV}<article><p>{P[0]}</p><ul><li>{P[1]}</li><li>{P[2]}</li></ul></article>{FOOT}", ARTICLE),
+}
+
+
+#: Still wrong: a first paragraph in a nameless element right behind the menu goes.
+WRONG = [pytest.param(k, marks=pytest.mark.xfail(strict=False)) if k == "plain div" else k for k in FOREIGN]
+
+
+@pytest.mark.parametrize("kind", WRONG)
+def test_foreign_pages(model, kind):
+    page, want = FOREIGN[kind]
+    assert h.main_texts([f"<html><head><title>t</title></head><body>{page}</body></html>"], model) == [want]
