@@ -5,8 +5,10 @@ indexed: those at anchors, the least of the hashes of ``gram`` bytes within any
 have their anchors at the same offsets, so two places with an equal string have an equal entry in the arrays.
 
 An entry has the hash of the suffix's first ``gram`` bytes (its order in the array) and the hash of its context, the bytes that any string with
-this anchor can reach. A new batch of documents becomes an array sorted by the first; it is merge-scanned against every level of the
-family for entries in common, and levels of equal size are merged, so that each entry is rewritten a logarithmic number of times.
+this anchor can reach. A new batch of documents becomes an array sorted by the first, dealt by both, so that an entry with very many contexts
+is in no single task; it is merge-scanned against every level of the family for entries in common, and levels of equal size are
+merged, so that each entry is rewritten a logarithmic number of times. There are as many batches as the bytes ask for, and at least ``BATCHES``;
+which batch a document is in changes no result.
 
 What the scans find is then settled exactly. A context that occurs twice repeats whole. Other contexts of one entry are compared by their
 strings of ``length`` bytes: the first and the last one that another context has at the same offset bound what is
@@ -37,6 +39,8 @@ from .common import drop, stash, whole_text
 
 #: Contexts of one entry that one task compares at most; contexts of short lists that are compared at once, about.
 LIST, TOGETHER = 16_384, 2048
+#: Bytes of text in a batch, about, and the least number of batches.
+BATCH_BYTES, BATCHES = 4 << 40, 4
 #: Bytes hashed at once; longer texts are taken in overlapping parts.
 PART = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -146,13 +150,13 @@ ENTRY = "batch int, h bigint, c bigint, th bigint, n bigint, pos bigint"
 
 
 def index_entries(docs: DataFrame, r: Repeats, batches: int) -> DataFrame:
-    """An entry for each anchor of each row; the batch comes from the text's hash."""
+    """An entry for each anchor of each row; a batch takes whole partitions of the input, so that a task writes to one batch."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in source:
             for start in range(0, len(whole), 512):
                 part = whole.slice(start, 512)
-                texts, hashes = part.column("text").to_pylist(), part.column("th").to_numpy()
+                texts, hashes, slices = part.column("text").to_pylist(), part.column("th").to_numpy(), part.column("slice").to_numpy()
                 raws = [t.encode("utf-8", "surrogatepass") for t in texts]
                 made = [entries(raw, r) for raw in raws]
                 counts = [len(m[0]) for m in made]
@@ -162,7 +166,7 @@ def index_entries(docs: DataFrame, r: Repeats, batches: int) -> DataFrame:
                 at, h, c = (np.concatenate(x) for x in zip(*made, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((th % batches).astype(np.int32)),
+                        pa.array(np.repeat(slices % batches, counts).astype(np.int32)),
                         pa.array(h.view(np.int64)),
                         pa.array(c.view(np.int64)),
                         pa.array(th),
@@ -173,14 +177,25 @@ def index_entries(docs: DataFrame, r: Repeats, batches: int) -> DataFrame:
                 )
 
     text = whole_text()
-    return docs.select(F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, ENTRY)
+    return docs.select(F.xxhash64(text).alias("th"), text.alias("text"), F.spark_partition_id().alias("slice")).mapInArrow(run, ENTRY)
+
+
+def batches_for(docs: DataFrame) -> int:
+    """How many batches the bytes of the texts ask for."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(BATCHES, -(-size // BATCH_BYTES))
 
 
 def as_array(batch: DataFrame) -> DataFrame:
-    """The suffix array of a batch: (h, c, k) in the order of h; k counts the entries with this context."""
+    """The suffix array of a batch: (h, c, k); k counts the entries with this context."""
     return batch.groupBy("h", "c").agg(F.count("*").alias("k"))
 
 
+def _in_order(array: DataFrame) -> DataFrame:
+    """An array as a table, each part in order. It has just been gathered by (h, c) and is dealt no other way: the contexts of a common entry lie apart."""
+    return stash(array.sortWithinPartitions("h", "c"), "array")
+
+
 @dataclass
 class Family:
     """Level i is empty or the array of 2^i batches. ``found`` has the entry hashes that occurred twice."""
@@ -190,18 +205,19 @@ class Family:
 
     def add(self, array: DataFrame) -> None:
         """Scans a new batch's array against itself and all levels, then merges levels of equal size."""
-        array = stash(array.repartition("h").sortWithinPartitions("h", "c"), "array")
-        here = array.groupBy("h").agg(F.sum("k").alias("k"))
-        twice = here.where("k > 1").select("h")
+        array = _in_order(array)
+        # one scan of the batch and all levels: rows of an entry meet in partial sums, not in one task
+        both = array.select("h", "k", F.lit(False).alias("old"))
         for level in self.levels:
             if level is not None:
-                twice = twice.unionByName(here.select("h").join(level.select("h"), "h", "left_semi"))
-        self.found.append(stash(twice.distinct(), "found"))
+                both = both.unionByName(level.select("h", F.lit(0).cast("long").alias("k"), F.lit(True).alias("old")))
+        here = both.groupBy("h").agg(F.sum("k").alias("k"), F.bool_or("old").alias("old"))
+        self.found.append(stash(here.where("k > 1 or (k = 1 and old)").select("h"), "found"))
         at = 0
         while at < len(self.levels) and (level := self.levels[at]) is not None:
             merged = level.unionByName(array).groupBy("h", "c").agg(F.sum("k").alias("k"))
             old = array
-            array = stash(merged.repartition("h").sortWithinPartitions("h", "c"), "array")
+            array = _in_order(merged)
             drop(array.sparkSession, old, level)
             self.levels[at] = None
             at += 1
@@ -402,9 +418,17 @@ def _contexts(docs: DataFrame, wanted: DataFrame, r: Repeats) -> DataFrame:
     return rows.mapInArrow(run, "h bigint, c bigint, parts bigint, left bigint, raw binary")
 
 
-def spans(docs: DataFrame, r: Repeats = Repeats(), batches: int = 4) -> DataFrame:
-    """(th, n, at): for each text, by hash and size, the byte intervals (lo, hi) to remove."""
-    index = stash(index_entries(docs, r, batches), "entries")
+def by_batch(entries: DataFrame) -> DataFrame:
+    """Entries as a table in which each batch has its own files, so that it is read alone."""
+    spark, path = entries.sparkSession, common.scratch(entries.sparkSession, "entries")
+    entries.write.partitionBy("batch").parquet(path)
+    return spark.read.schema(entries.schema).parquet(path)
+
+
+def spans(docs: DataFrame, r: Repeats = Repeats(), batches: int | None = None) -> DataFrame:
+    """(th, n, at): for each text, by hash and size, the byte intervals (lo, hi) to remove. ``batches``: else as many as the bytes ask for."""
+    batches = batches or batches_for(docs)
+    index = by_batch(index_entries(docs, r, batches))
     family = Family()
     for batch in range(batches):
         family.add(as_array(index.where(F.col("batch") == batch)))
@@ -450,7 +474,7 @@ def _runs(at: list[dict] | None) -> list[tuple[int, int]]:
 RESULT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept_text": "string"}
 
 
-def remove(docs: DataFrame, r: Repeats = Repeats(), batches: int = 4) -> DataFrame:
+def remove(docs: DataFrame, r: Repeats = Repeats(), batches: int | None = None) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans (long), kept_sha256 and kept_text (a character that lost a byte goes whole)."""
     text = whole_text()
     rows = _with_texts(docs, spans(docs, r, batches), "left").withColumn("_text", text).drop("_th", "_n", *RESULT)
@@ -477,7 +501,7 @@ def remove(docs: DataFrame, r: Repeats = Repeats(), batches: int = 4) -> DataFra
     return rows.mapInArrow(run, schema)
 
 
-def clean(docs: DataFrame, r: Repeats = Repeats(), batches: int = 4) -> DataFrame:
+def clean(docs: DataFrame, r: Repeats = Repeats(), batches: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes taken out of the text; n_chars follows; a text that loses nothing stays as it is."""
     done = remove(docs, r, batches).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from packlens.llm import suffix_dedup
 from packlens.llm.suffix_dedup import Repeats
@@ -106,3 +107,36 @@ def test_family_merges_geometrically(spark, odd):
         sizes.append([x is not None for x in family.levels])
     assert sizes == [[True], [False, True], [True, True], [False, False, True], [True, False, True]]
     assert family.levels[2].where("h is not null").count() > 0
+
+
+def test_batches_by_bytes_change_no_result(spark, monkeypatch):
+    r, texts = Repeats(20, 8), passages(11)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(9)
+    want = sorted(((i, *x) for i, x in enumerate(brute(texts, 20))), key=repr)
+    assert suffix_dedup.batches_for(df) == suffix_dedup.BATCHES
+    size = sum(len((t or "").encode()) for t in texts)
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", size // 6)
+    assert suffix_dedup.batches_for(df) in (6, 7)
+    assert run(df, r, None) == want
+
+
+def test_a_batch_is_read_alone_and_no_part_of_an_array_holds_an_entry(spark):
+    """One beginning in very many contexts: its entries lie in many parts of every array."""
+    r, rand = Repeats(20, 8), random.Random(5)
+    letters = lambda k: "".join(rand.choice("abcdefgh") for _ in range(k))
+    gram = letters(26)
+    df = spark.createDataFrame([(i, letters(30) + gram + letters(30)) for i in range(400)], "doc_id bigint, text string").repartition(8)
+    index = suffix_dedup.by_batch(suffix_dedup.index_entries(df, r, 4))
+    read = index.where("batch = 1").selectExpr("input_file_name() as f").distinct().collect()
+    assert read and all("batch=1/" in x["f"] for x in read)
+    family = suffix_dedup.Family()
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for b in range(2):
+            family.add(suffix_dedup.as_array(index.where(f"batch = {b}")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    array = family.levels[1].selectExpr("h", "input_file_name() as f")
+    parts = array.groupBy("h").agg(F.count("*").alias("rows"), F.countDistinct("f").alias("files")).orderBy("rows", ascending=False).first()
+    assert parts["rows"] > 50 and parts["files"] > 1
