@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import release, stash
 from .words import WORD_HASHES
 
 RADIUS, BLOCKS, SHINGLE, SIMILARITY = 7, 4, 5, 0.8
@@ -307,8 +307,10 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _holds(shared: Broadcast) -> Callable[[Column], Column]:
     @F.pandas_udf("boolean")
-    def holds(text: pd.Series) -> pd.Series:
-        return pd.Series([bool(x) for x in shared.value.scan(text.tolist())], dtype=bool)
+    def holds(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            yield pd.Series([bool(x) for x in shared.value.scan(text.tolist())], dtype=bool)
+        release()
 
     return holds
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, small, stash, whole_text
+from .common import drop, in_parts, small, stash, whole_text
 from .words import WORD_HASHES
 
 #: Counters of the sketch, in chunks; its size is fixed, whatever the input.
@@ -99,7 +99,7 @@ def scan(docs: DataFrame, join: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
-        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, len(whole), 512)):
+        for batch in in_parts(batches):
             sets = [shingles(t, join.n) for t in batch.column("text").to_pylist()]
             np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             none = [None] * len(sets)
@@ -166,25 +166,24 @@ def postings(docs: DataFrame, join: Join, classes: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, last = shared.value, set()
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                sets = [shingles(t, join.n) for t in whole.column("text").slice(at, 512).to_pylist()]
-                found = {set_id(s): s for s in sets if join.per * len(s) >= join.share * (len(s) + 1)}
-                ids = [i for i in found if i not in last]  # copies nearby need no second posting
-                last = set(found)
-                if not ids:
-                    continue
-                parts = [_prefix(found[i], rank, join) for i in ids]
-                sizes = [len(p) for p in parts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(parts).view(np.int64)),
-                        pa.array(np.repeat(np.array(ids, np.int64), sizes)),
-                        pa.array(np.repeat(np.array([len(found[i]) for i in ids], np.int32), sizes)),
-                        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])),
-                    ],
-                    ["token", "id", "size", "pos"],
-                )
+        for part in in_parts(batches):
+            sets = [shingles(t, join.n) for t in part.column("text").to_pylist()]
+            found = {set_id(s): s for s in sets if join.per * len(s) >= join.share * (len(s) + 1)}
+            ids = [i for i in found if i not in last]  # copies nearby need no second posting
+            last = set(found)
+            if not ids:
+                continue
+            parts = [_prefix(found[i], rank, join) for i in ids]
+            sizes = [len(p) for p in parts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(parts).view(np.int64)),
+                    pa.array(np.repeat(np.array(ids, np.int64), sizes)),
+                    pa.array(np.repeat(np.array([len(found[i]) for i in ids], np.int32), sizes)),
+                    pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])),
+                ],
+                ["token", "id", "size", "pos"],
+            )
 
     return docs.select(whole_text().alias("text")).mapInArrow(run, "token bigint, id bigint, size int, pos int")
 
@@ -194,12 +193,11 @@ def sets_of(docs: DataFrame, join: Join, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                sets = (shingles(t, join.n) for t in whole.column("text").slice(at, 512).to_pylist())
-                found = {i: s.tobytes() for s in sets if (i := set_id(s)) not in done}
-                done = set(found) | (done if len(done) < 100_000 else set())  # copies nearby
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "set"])
+        for part in in_parts(batches):
+            sets = (shingles(t, join.n) for t in part.column("text").to_pylist())
+            found = {i: s.tobytes() for s in sets if (i := set_id(s)) not in done}
+            done = set(found) | (done if len(done) < 100_000 else set())  # copies nearby
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "set"])
 
     text = whole_text()
     wanted = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(small(texts), "th", "left_semi")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, whole_text
+from .common import in_parts, stash, whole_text
 from .sharding import _quantiles, _range_of, _sample
 from .tokens import encoder, id_width
 
@@ -80,22 +80,20 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, width: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, axes = encoder(tokenizer), directions()
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                made = code.batches(batch.column("text").to_pylist())
-                arrays = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)) for x in made]
-                packed = [a.astype(width).tobytes() for a in arrays]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(packed, pa.binary()),
-                        pa.array([len(a) for a in arrays], pa.int64()),
-                        pa.array(curve_keys(arrays, axes), pa.int64()),
-                        pa.array([zlib.crc32(p) for p in packed], pa.int64()),
-                    ],
-                    ["doc_id", "ids", "size", "_s_key", "crc"],
-                )
+        for batch in in_parts(batches, 256):
+            made = code.batches(batch.column("text").to_pylist())
+            arrays = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)) for x in made]
+            packed = [a.astype(width).tobytes() for a in arrays]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(packed, pa.binary()),
+                    pa.array([len(a) for a in arrays], pa.int64()),
+                    pa.array(curve_keys(arrays, axes), pa.int64()),
+                    pa.array([zlib.crc32(p) for p in packed], pa.int64()),
+                ],
+                ["doc_id", "ids", "size", "_s_key", "crc"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, ids binary, size bigint, _s_key bigint, crc bigint").withColumn(

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import common
-from .common import drop, stash, whole_text
+from .common import drop, in_parts, stash, whole_text
 
 #: Contexts of one entry that one task compares at most; contexts of short lists that are compared at once, about.
 LIST, TOGETHER = 16_384, 2048
@@ -153,28 +153,26 @@ def index_entries(docs: DataFrame, r: Repeats, batches: int) -> DataFrame:
     """An entry for each anchor of each row; a batch takes whole partitions of the input, so that a task writes to one batch."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in source:
-            for start in range(0, len(whole), 512):
-                part = whole.slice(start, 512)
-                texts, hashes, slices = part.column("text").to_pylist(), part.column("th").to_numpy(), part.column("slice").to_numpy()
-                raws = [t.encode("utf-8", "surrogatepass") for t in texts]
-                made = [entries(raw, r) for raw in raws]
-                counts = [len(m[0]) for m in made]
-                if not sum(counts):
-                    continue
-                th = np.repeat(hashes, counts)
-                at, h, c = (np.concatenate(x) for x in zip(*made, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(slices % batches, counts).astype(np.int32)),
-                        pa.array(h.view(np.int64)),
-                        pa.array(c.view(np.int64)),
-                        pa.array(th),
-                        pa.array(np.repeat(np.array([len(x) for x in raws], np.int64), counts)),
-                        pa.array(at.astype(np.int64)),
-                    ],
-                    ["batch", "h", "c", "th", "n", "pos"],
-                )
+        for part in in_parts(source):
+            texts, hashes, slices = part.column("text").to_pylist(), part.column("th").to_numpy(), part.column("slice").to_numpy()
+            raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+            made = [entries(raw, r) for raw in raws]
+            counts = [len(m[0]) for m in made]
+            if not sum(counts):
+                continue
+            th = np.repeat(hashes, counts)
+            at, h, c = (np.concatenate(x) for x in zip(*made, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(slices % batches, counts).astype(np.int32)),
+                    pa.array(h.view(np.int64)),
+                    pa.array(c.view(np.int64)),
+                    pa.array(th),
+                    pa.array(np.repeat(np.array([len(x) for x in raws], np.int64), counts)),
+                    pa.array(at.astype(np.int64)),
+                ],
+                ["batch", "h", "c", "th", "n", "pos"],
+            )
 
     text = whole_text()
     return docs.select(F.xxhash64(text).alias("th"), text.alias("text"), F.spark_partition_id().alias("slice")).mapInArrow(run, ENTRY)
@@ -397,7 +395,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, r: Repeats) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for batch in source:
+        for batch in in_parts(source):
             out = []
             for th, text, at in zip(*(batch.column(k).to_pylist() for k in ("_th", "text", "_at")), strict=True):
                 if th in done:  # a copy
@@ -483,7 +481,7 @@ def remove(docs: DataFrame, r: Repeats = Repeats(), batches: int | None = None)
         schema = schema.add(name, kind)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in in_parts(source):
             made = []
             for text, at in zip(batch.column("_text").to_pylist(), batch.column("_at").to_pylist(), strict=True):
                 raw, runs = text.encode("utf-8", "surrogatepass"), _runs(at)
