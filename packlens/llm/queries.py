@@ -65,11 +65,12 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive in two halves: the second one's contents that the first had are counted from the cache."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Documents arrive in two halves: contents of the second that the first had aren't encoded again. All are looked up in the cache."""
+    docs, tokenizer = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")
     cache, half = scratch(spark, "token-counts"), F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    count = lambda part: token_count.count_tokens(part, public_tokenizers.path("word_bpe_49k.json"), cache)
-    counted = count(docs.where(half == 0)).unionByName(count(docs.where(half == 1)))
+    for n in (0, 1):
+        token_count.remember(docs.where(half == n), tokenizer, cache)
+    counted = token_count.look_up(docs, tokenizer, cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 

@@ -3,16 +3,18 @@
 import json
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from packlens.llm import packing, token_count, token_output, tokens
-from packlens.llm.common import scratch
+from packlens.llm.common import scratch, shared_dir
 from packlens.llm.tokens import PieceEncoder, encoder
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +67,38 @@ def test_counts_of_nothing(spark, empty):
     assert token_count.count_tokens(empty, WORD, scratch(spark, "cache")).collect() == []
 
 
+def test_many_tasks_add_few_files(spark, odd):
+    many = {"spark.sql.shuffle.partitions": 40, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in many}
+    cache, shared = scratch(spark, "cache"), Path(shared_dir(spark).removeprefix("file://"))
+    written = lambda: set(shared.rglob("part-*.parquet"))
+    old = written()
+    try:
+        for key, value in many.items():
+            spark.conf.set(key, value)
+        half = F.col("doc_id") % 2 == 0
+        token_count.count_tokens(odd.where(half), WORD, cache)
+        got = token_count.count_tokens(odd, WORD, cache)
+        # nothing but the cache is written, and a few files in each of two turns
+        assert all(str(f).startswith(cache.removeprefix("file://")) for f in written() - old)
+        assert 0 < len(written() - old) <= 2 * token_count.FILES
+        assert Counter((r["doc_id"], r["text"], r["n_tokens"]) for r in got.collect()) == Counter(
+            (r["doc_id"], r["text"], len(ids_of(WORD, r["text"]))) for r in odd.collect()
+        )
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_only_remembered_contents_are_looked_up(spark, odd):
+    cache, some = scratch(spark, "cache"), F.coalesce(F.col("doc_id") < 20, F.lit(False))
+    token_count.remember(odd.where(some), WORD, cache)
+    held = {r["text"] or "" for r in odd.where(some).collect()}
+    got = token_count.look_up(odd, WORD, cache).collect()
+    assert len(got) == odd.count()
+    assert {(r["n_tokens"] is not None) == ((r["text"] or "") in held) for r in got} == {True}
+
+
 def test_files_round_trip(spark, odd):
     path = scratch(spark, "ids")
     token_output.write(odd, WORD, path, end=1, files=3)
