@@ -129,3 +129,36 @@ def test_text_functions(spark):
     assert df.select(text.normal_text(c)).first()[0] == "a\n\n b c"
     places = spark.createDataFrame([(t,) for t in ("Seam", "crimp", "BASE", "lid", "seal", None)], "t string")
     assert [r[0] for r in places.select(text.locator(c)).collect()] == ["seal", "seal", "bottom", "top", "seal", None]
+
+
+def test_lazy_stages_derive_the_close_ups_once(spark, sf, monkeypatch):
+    """Readings of packages with work are derived once for all turns, those of other packages not at all."""
+    from packlens.plans import fixtures, queries
+
+    wanted = queries.closeups(spark, sf, queries._work(spark, sf)).count()
+    assert 0 < wanted < queries.closeups(spark, sf).count()
+    made, derive = spark.sparkContext.accumulator(0), fixtures.derive
+
+    @F.udf("string")
+    def counted(said):
+        made.add(1)
+        return said
+
+    def counting(spark, sf_dir, sql, *given):
+        rows = derive(spark, sf_dir, sql, *given)
+        return rows.withColumn("text", counted.asNondeterministic()("text")) if sql == fixtures.CLOSEUPS else rows
+
+    monkeypatch.setattr(fixtures, "derive", counting)
+    queries.lazy_stages(spark, sf).collect()
+    assert made.value == wanted
+
+
+def test_lazy_readings_may_bring_regions(spark):
+    from packlens.operators import inspection
+
+    work = spark.createDataFrame([(1, 1, [("seal", "see the seal", False, True)])], f"package_id long, view_no int, work array<{inspection.HINT}>")
+    kind = "package_id long, view_no int, locator string, stage string, obs_ord int, family string, text string, regions array<struct<text:string,confidence:double>>"
+    read = spark.createDataFrame([(1, 1, "seal", "wide", 1, "a", "Rs. 12", [("Rs. 12", 0.97), ("Batch", 0.1)])], kind)
+    won, made, _ = inspection.lazily(work, lambda asked: read.join(asked.drop("explicit"), [*inspection.PLACE, "stage"]))
+    assert [(r["amount"], r["mean_confidence"]) for r in won.collect()] == [("12", 0.97)]
+    assert [r["confidence"] for r in made.collect()] == [0.97]
