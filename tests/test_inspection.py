@@ -162,3 +162,37 @@ def test_lazy_readings_may_bring_regions(spark):
     won, made, _ = inspection.lazily(work, lambda asked: read.join(asked.drop("explicit"), [*inspection.PLACE, "stage"]))
     assert [(r["amount"], r["mean_confidence"]) for r in won.collect()] == [("12", 0.97)]
     assert [r["confidence"] for r in made.collect()] == [0.97]
+
+
+def test_facts_of_some_kinds(spark):
+    """The kinds that are asked for come out as among all of them, prices from close-ups too; each view is searched for work once, close-ups are made for views with work."""
+    from packlens.operators import inspection
+
+    texts = [(1, 1, GOLDEN), (2, 1, GOLDEN.replace("MRP: Rs. 250.00 (inclusive of all taxes)\n", "")), (2, 2, "MRP incl. of all taxes see the seal"), (3, 1, "MRP see the lid"), (4, 1, "Net Qty 5 g")]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(said):
+        seen.add(1)
+        return said
+
+    kind = "package_id long, view_no int, image_id string, file_name string, ocr_text string"
+    views = spark.createDataFrame([(p, n, f"image-{n}", f"{n}.png", said) for p, n, said in texts], kind)
+    contexts = spark.createDataFrame([(p, *rules.CONTEXT.values()) for p in range(1, 6)], context_of(spark).schema)
+    read = [(2, 2, "seal", "wide", n, "ab"[n], "Rs. 12", 0.9) for n in (0, 1)]
+    readings = spark.createDataFrame(read, "package_id long, view_no int, locator string, stage string, obs_ord int, family string, text string, confidence double")
+    wanted = []
+
+    def closeups(work):
+        wanted.extend(tuple(r) for r in work.select("package_id", "view_no").collect())
+        return readings
+
+    def checks(kinds, views, closeups):
+        facts = inspection.package_facts(views, contexts, closeups, kinds)
+        rows = rules.judged(facts, kinds=kinds).select("package_id", F.explode("checks").alias("c")).select("package_id", "c.*")
+        return sorted((tuple(r) for r in rows.where("key in ('net_quantity', 'mrp')").collect()), key=repr)
+
+    some = checks(("net_quantity", "mrp"), views.withColumn("ocr_text", counted.asNondeterministic()("ocr_text")), closeups)
+    assert seen.value == len(texts) and sorted(wanted) == [(2, 2), (3, 1)]
+    assert len(some) == 10 and some == checks(tuple(extract.LABELS), views, readings)
+    assert [r for r in some if r[0] == 2 and "INR 12" in r] and {"mrp_unresolved_ref", "low_text", "ok"} <= {v for r in some for v in r}
